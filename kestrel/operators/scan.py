@@ -22,7 +22,7 @@ With no key the scan is global (a running total over the whole ordered table), w
 ROC-AUC and global row positions need.
 
 Aggregates: ``("count", None)``, ``("sum", col)``, ``("last", col)`` (last non-null
-value) and ``("first", col)`` (value on the key's first row).  Each is exclusive of the
+value), ``("first", col)`` (value on the key's first row) and ``("first_nonnull", col)``.  Each is exclusive of the
 current row unless ``inclusive=True`` is given as a third element.
 """
 from __future__ import annotations
@@ -88,6 +88,8 @@ def running_scan(
             local = local.withColumn(f"_l_{name}", F.last(col, ignorenulls=True).over(frame))
         elif kind == "first":
             local = local.withColumn(f"_l_{name}", F.first(col).over(frame))
+        elif kind == "first_nonnull":
+            local = local.withColumn(f"_l_{name}", F.first(col, ignorenulls=True).over(frame))
         else:
             raise ValueError(f"unknown scan aggregate {kind!r}")
 
@@ -107,6 +109,8 @@ def running_scan(
             tot_exprs.append(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), ostruct)).alias(f"_t_{name}"))
         elif kind == "first":
             tot_exprs.append(F.min_by(F.col(col), ostruct).alias(f"_t_{name}"))
+        elif kind == "first_nonnull":
+            tot_exprs.append(F.min_by(F.col(col), F.when(F.col(col).isNotNull(), ostruct)).alias(f"_t_{name}"))
     totals = edge.groupBy(_PID, *keys).agg(*tot_exprs)
     w_blk = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     off_exprs = [F.sum("_t_count").over(w_blk).alias("_o_rows")]
@@ -119,6 +123,8 @@ def running_scan(
             off_exprs.append(F.last(f"_t_{name}", ignorenulls=True).over(w_blk).alias(f"_o_{name}"))
         elif kind == "first":
             off_exprs.append(F.first(f"_t_{name}").over(w_blk).alias(f"_o_{name}"))
+        elif kind == "first_nonnull":
+            off_exprs.append(F.first(f"_t_{name}", ignorenulls=True).over(w_blk).alias(f"_o_{name}"))
     offsets = totals.select(_PID, *keys, *off_exprs).where(F.col("_o_rows") > 0)
 
     # -- 4. combine ---------------------------------------------------------------------
@@ -130,6 +136,8 @@ def running_scan(
             final.append((lo + F.coalesce(off, F.lit(0))).alias(name))
         elif kind == "last":
             final.append(F.coalesce(lo, off).alias(name))
+        elif kind == "first_nonnull":
+            final.append(F.coalesce(off, lo).alias(name))
         else:  # first: when an earlier block holds the key, its first row is there
             final.append(F.when(F.col("_o_rows").isNotNull(), off).otherwise(lo).alias(name))
     base_cols = [c for c in df.columns if c != _CONST]

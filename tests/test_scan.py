@@ -25,6 +25,7 @@ def test_scan_matches_window(spark):
         "s_incl": ("sum", "v", True),
         "last_v": ("last", "v"),
         "first_v": ("first", "v", True),
+        "first_nn": ("first_nonnull", "v", True),
     }
     got = running_scan(df, ["k"], ["t", "id"], aggs, num_blocks=6)
     w = Window.partitionBy("k").orderBy("t", "id")
@@ -37,8 +38,9 @@ def test_scan_matches_window(spark):
         F.coalesce(F.sum("v").over(inc), F.lit(0)).alias("s_incl"),
         F.last("v", True).over(ex).alias("last_v"),
         F.first("v").over(inc).alias("first_v"),
+        F.first("v", True).over(inc).alias("first_nn"),
     )
-    cols = ["k", "t", "id", "v", "n_before", "s_before", "s_incl", "last_v", "first_v"]
+    cols = ["k", "t", "id", "v", "n_before", "s_before", "s_incl", "last_v", "first_v", "first_nn"]
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
 
 
