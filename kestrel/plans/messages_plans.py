@@ -17,11 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import text_rules as T
-from kestrel.functions.hashing import TWO_POW_32
 from kestrel.operators import messages as MS
 from kestrel.operators import retrieval as RT
 from kestrel.plans.orders_plans import t_star
-from kestrel.plans.oracle_orders import sweep_cte, with_orders
 from kestrel.plans.registry import register
 from kestrel.sources.tables import read_table
 
@@ -295,3 +293,26 @@ def q_transcript_lines(spark, sf_dir):
                                                          F.col("injection_pattern"))),
                        F.concat(F.lit("Answer: "), F.coalesce(F.col("answer"), F.lit("N/A"))))
     return a.select("conv_id", "turn", line.alias("line"))
+
+
+def _turn_stream(spark, sf_dir) -> DataFrame:
+    """Conversations as a file stream (the table's parquet files are the arriving batches)."""
+    schema = "conv_id long, turn long, role string, text string"
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("pathGlobFilter", "conversations*.parquet").parquet(sf_dir))
+    idx = F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(N_TEMPLATES))
+    return src.where(F.col("role") == "user").select(
+        "conv_id", "turn",
+        F.element_at(F.array(*[F.lit(t) for t in SUPPORT_TEMPLATES]), (idx + 1).cast("int")).alias("text"))
+
+
+@register("order_context_stream", f"WITH {_resolved_sql()} SELECT conv_id, turn, mentions_details, price_inr, discount_pct, "
+          f"product_category, payment_method FROM resolved WHERE intent = '{T.RISK}'")
+def q_order_context_stream(spark, sf_dir):
+    """The carried order context computed by the stateful stream (equals C9)."""
+    from kestrel.streaming.conversations import carry_stream, features_from_source, run_to_table
+
+    out = run_to_table(spark, carry_stream(_turn_stream(spark, sf_dir)), "order-context")
+    out = features_from_source(out.where((F.col("intent") == T.RISK) & ~F.col("late")))
+    return out.select("conv_id", "turn", "mentions_details", "price_inr", "discount_pct", "product_category",
+                      "payment_method")
