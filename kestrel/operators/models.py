@@ -33,3 +33,137 @@ def baseline_majority(train: DataFrame, test: DataFrame, label: str) -> DataFram
         F.round(safe_div(F.col("correct"), F.col("n")), 4).alias("accuracy"),
         F.round(safe_div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 4).alias("f1_class1"),
     )
+
+
+# ------------------------------------------------------------------ preparation + fitted models
+import json  # noqa: E402
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier  # noqa: E402
+from pyspark.ml.evaluation import BinaryClassificationEvaluator  # noqa: E402
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: E402
+
+from kestrel.operators import prep as P  # noqa: E402
+
+
+class Prepared:
+    """P4-P8 fitted on train: medians, mean/std, one-hot model; ``apply`` adds ``features``."""
+
+    def __init__(self, train: DataFrame, numeric: list[str], categorical: list[str]):
+        self.numeric, self.categorical = numeric, categorical
+        cast = train.select("*", *[F.col(c).cast("double").alias(f"__{c}") for c in numeric])
+        cast = cast.drop(*numeric).withColumnsRenamed({f"__{c}": c for c in numeric})
+        self.medians = P._as_dict(P.exact_medians(cast, numeric), "column", "median")
+        self.modes = P._as_dict(P.modes(train, categorical), "column", "mode")
+        imputed = P.impute(cast, self.medians)
+        self.scaling = P.scaling_stats(imputed, numeric)
+        self.onehot = P.one_hot_model(P.impute(train, self.modes), categorical)
+        self.slot_names = list(numeric) + P.one_hot_names(self.onehot, categorical)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        d = df.withColumns({c: F.col(c).cast("double") for c in self.numeric})
+        d = P.standard_scale(P.impute(P.impute(d, self.medians), self.modes), self.scaling)
+        d = P.one_hot_columns(self.onehot, d, self.categorical)
+        return VectorAssembler(inputCols=self.slot_names, outputCol="features").transform(d)
+
+
+def weighted(train: DataFrame, label: str) -> DataFrame:
+    return P.with_class_weight(train, label, P.class_weights(train, label))
+
+
+def fit_logistic(train_prepared: DataFrame, label: str, max_iter: int = 1000):
+    """M2: class-weighted L2 logistic regression; C=1 on a weight sum of n is regParam 1/n."""
+    n = train_prepared.count()
+    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
+                            regParam=1.0 / n, elasticNetParam=0.0, standardization=False, tol=1e-8)
+    return lr.fit(weighted(train_prepared, label))
+
+
+def positive_score(df: DataFrame, out: str = "score") -> DataFrame:
+    """Probability of class 1 from an ML model's ``probability`` vector."""
+    return df.withColumn(out, vector_to_array(F.col("probability"))[1])
+
+
+def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "fold",
+                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 4):
+    """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all train.
+
+    An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).
+    """
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
+                                featureSubsetStrategy="sqrt", seed=seed)
+    grid = ParamGridBuilder().addGrid(rf.numTrees, list(n_trees)).addGrid(rf.maxDepth, list(depths)).build()
+    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
+                                       metricName="areaUnderROC", numBins=0)
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
+                        parallelism=parallelism, seed=seed)
+    model = cv.fit(weighted(train_prepared, label))
+    results = [
+        {"num_trees": pm[rf.numTrees], "max_depth": pm[rf.maxDepth], "cv_roc_auc": float(m)}
+        for pm, m in zip(grid, model.avgMetrics)
+    ]
+    return model, results
+
+
+def importance_rows(spark, model, slot_names: list[str]) -> DataFrame:
+    """Impurity importances, one row per slot, descending."""
+    imp = model.featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(slot_names, imp)), "feature string, importance double") \
+        .orderBy(F.col("importance").desc(), "feature")
+
+
+def save_model(model, meta: dict, path: str) -> None:
+    """The fitted model directory plus a one-row JSON metadata table next to it."""
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    s = SparkSession.getActiveSession()
+    s.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_model(path: str, loader=PipelineModel):
+    """Reload model and metadata; a clear error when either is missing."""
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    try:
+        model = loader.load(f"{path}/model")
+        meta = json.loads(s.read.text(f"{path}/meta").first()[0])
+    except Exception as e:  # noqa: BLE001
+        raise FileNotFoundError(f"no saved model at {path}: train and save it first") from e
+    return model, meta
+
+
+def permutation_importance(test: DataFrame, id_col: str, label: str, columns: list[str], scorer,
+                           n_repeats: int = 20, seed: int = 42, num_blocks: int | None = None) -> DataFrame:
+    """Mean and population std over repeats of the ROC-AUC drop when one column is shuffled.
+
+    A shuffle of column c in repeat r moves c's value from the row at position p to the row
+    at position ``perm(p)``, where perm orders the rows by a seeded hash of (id, c, r).  All
+    (column, repeat) copies are rows of one frame keyed by (c, r): positions come from
+    ``running_scan`` (no global single-task row_number), the donor value is an equi-join on
+    (c, r, position), and the AUC is grouped by (c, r) in one job.  ``scorer(df)`` must add
+    a ``score`` column from the feature columns.
+    """
+    from kestrel.functions.hashing import uniform
+    from kestrel.operators.evaluate import roc_auc
+    from kestrel.operators.scan import running_scan
+
+    base = running_scan(test, [], [id_col], {"_pos": ("count", None)}, num_blocks)
+    keys = [F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in columns for r in range(n_repeats)]
+    copies = base.select("*", F.explode(F.array(*keys)).alias("_k")).select("*", "_k.c", "_k.r").drop("_k")
+    tag = F.concat(F.col("c"), F.lit("|"), F.col("r").cast("string"))
+    copies = copies.withColumn("_u", uniform(F.concat(F.col(id_col).cast("string"), F.lit("|"), tag), "perm", seed))
+    copies = running_scan(copies, ["c", "r"], ["_u", id_col], {"_ppos": ("count", None)}, num_blocks)
+    donors = base.select(F.col("_pos").alias("_ppos"), *[F.col(c).alias(f"_d_{c}") for c in columns])
+    j = copies.join(donors, "_ppos")
+    j = j.withColumns({c: F.when(F.col("c") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
+    scored = scorer(j.drop(*[f"_d_{c}" for c in columns]))
+    per = roc_auc(scored, label, "score", by=["c", "r"], num_blocks=num_blocks)
+    ref = roc_auc(scorer(test), label, "score").select(F.col("roc_auc").alias("_ref"))
+    ref_auc = ref.first()["_ref"]
+    drops = per.select("c", "r", (F.lit(ref_auc) - F.col("roc_auc")).alias("drop"))
+    return drops.groupBy(F.col("c").alias("feature")).agg(
+        F.avg("drop").alias("perm_importance_mean"), F.stddev_pop("drop").alias("perm_importance_std"))

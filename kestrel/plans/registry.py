@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from kestrel.plans import messages_plans, orders_plans, prep_plans, retrieval_plans, vector_plans  # noqa: F401
+    from kestrel.plans import messages_plans, models_plans, orders_plans, prep_plans, retrieval_plans, vector_plans  # noqa: F401
