@@ -86,7 +86,7 @@ def positive_score(df: DataFrame, out: str = "score") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
-def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "fold",
+def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "fold", n_folds: int = 5,
                        n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 4):
     """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all train.
 
@@ -97,7 +97,7 @@ def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "f
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(n_trees)).addGrid(rf.maxDepth, list(depths)).build()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=n_folds,
                         parallelism=parallelism, seed=seed)
     model = cv.fit(weighted(train_prepared, label))
     results = [
