@@ -20,7 +20,7 @@ from kestrel.functions import text_rules as T
 from kestrel.operators import messages as MS
 from kestrel.operators import retrieval as RT
 from kestrel.plans.orders_plans import t_star
-from kestrel.plans.registry import register
+from kestrel.plans.registry import ORACLE, register
 from kestrel.sources.tables import read_table
 
 # ---------------------------------------------------------------------------------------
@@ -316,3 +316,73 @@ def q_order_context_stream(spark, sf_dir):
     out = features_from_source(out.where((F.col("intent") == T.RISK) & ~F.col("late")))
     return out.select("conv_id", "turn", "mentions_details", "price_inr", "discount_pct", "product_category",
                       "payment_method")
+
+
+def _compose_sql() -> str:
+    from kestrel.functions import rules as R
+    from kestrel.plans.oracle_orders import order_features_cte, sweep_cte
+
+    names = "[" + ", ".join(f"'{n}'" for n in T.CLASS_NAMES) + "]"
+    z = (f"{R.Z_INTERCEPT} + {R.Z_PREV_RETURN_RATIO} * 0.0"
+         f" + {R.Z_FIT_RISK} * (CASE WHEN product_category IN ('Apparel','Footwear') THEN 1.0 ELSE 0.0 END)"
+         f" + {R.Z_DISCOUNT} * (discount_pct - 20) / 10"
+         f" + {R.Z_COD} * (CASE WHEN payment_method = 'COD' THEN 1.0 ELSE 0.0 END)"
+         f" + {R.Z_DELIVERY_DAYS} * (CAST(4 AS DOUBLE) - 4.5) / 2"
+         f" + {R.Z_PRICE} * (price_inr / {R.PRICE_SCALE})"
+         f" + {R.Z_WEEKEND} * 0"
+         f" + ({R.Z_TENURE}) * tanh(100 / {R.TENURE_SCALE})")
+    pct = lambda x: f"CAST(CAST(round({x} * 100) AS BIGINT) AS VARCHAR) || '%'"
+    deflect = T.DEFLECTION_ANSWER.replace("'", "''")
+    return f"""WITH {order_features_cte()}, {sweep_cte()}, {_resolved_sql()},
+nv AS (SELECT count(*) AS n FROM embeddings),
+ts AS (SELECT threshold AS t FROM t_star),
+turns AS (
+  SELECT r.*,
+         CASE WHEN r.intent = '{T.RISK}' THEN 1.0 / (1.0 + exp(-({z}))) END AS risk_p,
+         CASE WHEN r.intent = '{T.POLICY}' THEN (r.conv_id * 7 + r.turn) % nv.n END AS qvec,
+         CASE WHEN r.image_path IS NOT NULL THEN (('0x' || substr(md5(r.image_path), 1, 8))::BIGINT) % nv.n END AS ivec
+  FROM resolved r, nv),
+qv AS (SELECT DISTINCT qvec FROM turns WHERE qvec IS NOT NULL),
+pp AS (SELECT q.qvec AS query_id, c.vec_id AS cand_id, CAST(c.label AS VARCHAR) AS cand_doc,
+              list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+       FROM qv q JOIN embeddings e ON e.vec_id = q.qvec JOIN embeddings c ON c.vec_id <> q.qvec),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id ASC) AS rank FROM pp),
+top12 AS (SELECT query_id,
+           max(CASE WHEN rank = 1 THEN score END) AS top1_score, max(CASE WHEN rank = 1 THEN cand_doc END) AS top1_doc,
+           max(CASE WHEN rank = 1 THEN 'chunk ' || cand_id END) AS top1_text,
+           max(CASE WHEN rank = 2 THEN cand_doc END) AS top2_doc, max(CASE WHEN rank = 2 THEN 'chunk ' || cand_id END) AS top2_text
+          FROM pr WHERE rank <= 3 GROUP BY query_id),
+el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+cent AS (SELECT label AS c, list(m ORDER BY pos) AS centroid FROM (
+           SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM el GROUP BY label, pos) GROUP BY label),
+iv AS (SELECT DISTINCT ivec FROM turns WHERE ivec IS NOT NULL),
+lg AS (SELECT iv.ivec, c.c, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.centroid) AS l
+       FROM iv JOIN embeddings e ON e.vec_id = iv.ivec JOIN cent c ON true),
+mx AS (SELECT ivec, max(l) AS lmax FROM lg GROUP BY ivec),
+img AS (SELECT g.ivec, {names}[min(CASE WHEN g.l = m.lmax THEN g.c END) + 1] AS cls,
+               round(1.0 / sum(exp(g.l - m.lmax)), 4) AS conf FROM lg g JOIN mx m USING (ivec) GROUP BY g.ivec),
+j AS (SELECT t.*, p.top1_score, p.top1_doc, p.top1_text, p.top2_doc, p.top2_text, i.cls, i.conf, ts.t,
+             coalesce(p.top1_score, 0.0) AS top,
+             CASE WHEN t.risk_p < ts.t THEN 'Low' WHEN t.risk_p >= ts.t + {R.HIGH_BUCKET_MARGIN} THEN 'High' ELSE 'Medium' END AS bucket
+      FROM turns t LEFT JOIN top12 p ON p.query_id = t.qvec LEFT JOIN img i ON i.ivec = t.ivec, ts)
+SELECT conv_id, turn, route, intent,
+  CASE WHEN intent = '{T.RISK}' THEN bucket END AS risk_bucket,
+  CASE WHEN route = 'deflect' THEN '{deflect}'
+       WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN
+            CASE WHEN top2_doc = top1_doc THEN top1_text || ' ' || top2_text ELSE top1_text END
+       WHEN intent = '{T.POLICY}' THEN 'I can''t answer that confidently: no retrieved policy chunk cleared the similarity threshold (top score '
+            || CAST(round(top, 4) AS VARCHAR) || ' < threshold 0.45).'
+       WHEN intent = '{T.RISK}' THEN 'This order has an estimated return probability of ' || {pct('round(risk_p, 4)')}
+            || ', which places it in the ''' || bucket || ''' risk bucket (anchored to this model''s own threshold t*_rf='
+            || CAST(t AS VARCHAR) || ').'
+       WHEN intent = '{T.IMAGE}' THEN 'This product image is classified as ''' || cls || ''' with ' || {pct('conf')} || ' confidence.'
+  END AS answer,
+  CASE WHEN route = 'deflect' OR intent = '{T.POLICY}' THEN 'policy_kb' WHEN intent = '{T.RISK}' THEN 'return_risk_tool'
+       WHEN intent = '{T.IMAGE}' THEN 'image_classifier_tool' END AS source,
+  round(CASE WHEN route = 'deflect' THEN 0.0 WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN round(top, 4)
+             WHEN intent = '{T.POLICY}' THEN 0.0 WHEN intent = '{T.RISK}' THEN round(risk_p, 4)
+             WHEN intent = '{T.IMAGE}' THEN round(conf, 4) END, 4) AS confidence
+FROM j"""
+
+
+ORACLE["compose_answer"] = _compose_sql()
