@@ -58,3 +58,13 @@ def test_intent_and_guardrail_rules(spark):
     assert out[2].c.intent == "product_category_query"
     assert out[3].p == T.INJECTION_PATTERNS[0]
     assert out[4].c.intent == "policy_question" and out[4].c.method == "keyword_fallback"  # "cod" in "codes"
+
+
+def test_split_size_guard(spark):
+    import pytest
+
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 10).cast("int").alias("y"))
+    s = P.stratified_split(df, "y", "id", 20)  # absolute size
+    assert s.where("split = 'test'").count() == 20
+    with pytest.raises(ValueError):
+        P.stratified_split(df, "y", "id", 20, min_test=50)
