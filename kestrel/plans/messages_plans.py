@@ -198,7 +198,7 @@ def q_injection_filter(spark, sf_dir):
 
 
 @register("injection_scan_raw", f"SELECT conv_id, turn, role, {_inj_sql('text')} AS injection_pattern, "
-          "length(text) AS n_chars FROM conversations")
+          "CAST(length(text) AS INTEGER) AS n_chars FROM conversations")
 def q_injection_scan_raw(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return conv.select("conv_id", "turn", "role", T.injection_pattern(F.col("text")).alias("injection_pattern"),

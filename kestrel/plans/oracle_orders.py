@@ -14,10 +14,9 @@ def _case(expr: str, mapping: dict) -> str:
     return f"CASE {expr} {arms} END"
 
 
-def order_features_cte() -> str:
-    u = lambda tag: uniform_sql("o.o_orderkey", tag)
-    pay = _case("substr(o.o_orderpriority, 1, 1)", R.PAYMENT_BY_PRIORITY)
-    z = (
+def z_sql() -> str:
+    """The closed-form score's linear term over columns named like the order table."""
+    return (
         f"{R.Z_INTERCEPT} + {R.Z_PREV_RETURN_RATIO} * prev_return_ratio"
         f" + {R.Z_FIT_RISK} * (CASE WHEN product_category IN ('Apparel','Footwear') THEN 1.0 ELSE 0.0 END)"
         f" + {R.Z_DISCOUNT} * (discount_pct - 20) / 10"
@@ -27,6 +26,12 @@ def order_features_cte() -> str:
         f" + {R.Z_WEEKEND} * is_weekend_order"
         f" + ({R.Z_TENURE}) * tanh(customer_tenure_days / {R.TENURE_SCALE})"
     )
+
+
+def order_features_cte() -> str:
+    u = lambda tag: uniform_sql("o.o_orderkey", tag)
+    pay = _case("substr(o.o_orderpriority, 1, 1)", R.PAYMENT_BY_PRIORITY)
+    z = z_sql()
     return f"""
 lines AS (
   SELECT l_orderkey,

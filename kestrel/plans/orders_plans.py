@@ -192,3 +192,49 @@ def q_risk_bucket(spark, sf_dir):
 def q_risk_flag(spark, sf_dir):
     t = t_star(spark, sf_dir)
     return risk.risk_flag(scored_orders(spark, sf_dir), "score", t).select(F.col("id").alias("order_id"), "risk_flag")
+
+
+@register("order_features_scan", with_orders(
+    "q AS (SELECT 1) SELECT order_id, product_category, price_inr, discount_pct, payment_method, "
+    "customer_tenure_days, num_previous_orders, num_previous_returns, delivery_distance_km, delivery_days, "
+    "is_weekend_order, rating_given, returned FROM order_features"))
+def q_order_features_scan(spark, sf_dir):
+    """S1 + S2: the order table written as CSV (no index) and scanned back with its typed schema."""
+    import os
+    import uuid
+
+    from kestrel.session import ensure_checkpoint_dir
+    from kestrel.sources import sinks
+
+    path = os.path.join(ensure_checkpoint_dir(spark), f"orders-csv-{uuid.uuid4().hex}")
+    order_features(spark, sf_dir).select(*FEATURE_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    return sinks.read_orders_csv(spark, path)
+
+
+@register("evaluation_report")
+def q_evaluation_report(spark, sf_dir):
+    """One row of nested metrics for the closed-form score (baseline, metrics at 0.5,
+    ROC-AUC, best threshold, subgroups as arrays of structs); ``sinks.write_report_json``
+    writes it as a JSON document."""
+    from kestrel.operators import models as M
+    from kestrel.plans.prep_plans import split_orders
+
+    split = split_orders(spark, sf_dir)
+    test = split.where("split = 'test'").select(F.col("returned").alias("label"), F.col("prob_return").alias("score"),
+                                                "product_category", "payment_method")
+    base = M.baseline_majority(split.where("split = 'train'"), split.where("split = 'test'"), "returned").first()
+    m = E.binary_metrics(test, "label", "score", 0.5).first()
+    auc = E.roc_auc(test, "label", "score").first()["roc_auc"]
+    best = E.best_threshold(E.threshold_sweep(test, "label", "score")).first()
+    sub = E.subgroup_metrics(test, ["product_category", "payment_method"], "label", "score", 0.5)
+    groups = sub.groupBy("dimension").agg(F.array_sort(F.collect_list(F.struct("group_value", "n", "recall", "precision")))
+                                          .alias("rows"))
+    report = groups.agg(F.map_from_entries(F.collect_list(F.struct("dimension", "rows"))).alias("subgroups"))
+    return report.select(
+        F.struct(F.lit(base["accuracy"]).alias("accuracy"), F.lit(base["f1_class1"]).alias("f1_class1")).alias("baseline"),
+        F.struct(*[F.lit(round(m[k], 4)).alias(k) for k in ("accuracy", "precision", "recall", "f1")],
+                 F.lit(round(auc, 4)).alias("roc_auc")).alias("closed_form_default"),
+        F.struct(*[F.lit(round(best[k], 4)).alias(k) for k in ("threshold", "f1", "recall", "precision")])
+        .alias("closed_form_best_threshold"),
+        "subgroups",
+    )

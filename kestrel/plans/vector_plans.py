@@ -126,3 +126,17 @@ def q_top_confused_pairs(spark, sf_dir):
 def q_first_per_class(spark, sf_dir):
     v = read_table(spark, sf_dir, "embeddings", ["vec_id", "label"])
     return MC.first_per_class(v, "label", "vec_id", T.CLASS_NAMES)
+
+
+@register("confusion_matrix_wide", "WITH " + _PRED_SQL + " SELECT " + _NAMES_SQL + "[y_true + 1] AS class, " + ", ".join(
+    f"CAST(sum(CASE WHEN y_pred = {i} THEN n ELSE 0 END) AS BIGINT) AS {name}" for i, name in enumerate(T.CLASS_NAMES))
+    + " FROM cm GROUP BY y_true")
+def q_confusion_matrix_wide(spark, sf_dir):
+    """E10 wide / S3 shape: rows = true class (named), columns = predicted class."""
+    return MC.confusion_wide(MC.confusion_long(val_predictions(spark, sf_dir), len(T.CLASS_NAMES)), T.CLASS_NAMES)
+
+
+@register("prediction_records")
+def q_prediction_records(spark, sf_dir):
+    """The prediction record per vector: class, confidence, all class probabilities."""
+    return centroid_predictions(spark, sf_dir).select("vec_id", "predicted_class", "confidence", "all_probabilities")
