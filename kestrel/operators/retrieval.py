@@ -76,7 +76,9 @@ def embed_text(model, df: DataFrame) -> DataFrame:
 def unit_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """Normalise an array<float> column to unit length once (S7), so search needs no norms."""
     norm = F.sqrt(F.aggregate(F.col(vec), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return df.withColumn(vec, F.transform(F.col(vec), lambda x: (x.cast("double") / norm).cast("float")))
+    out = df.withColumn("_norm", norm)  # a column, so the lambda does not recompute it per element
+    return out.withColumn(vec, F.transform(F.col(vec), lambda x: (x.cast("double") / F.col("_norm")).cast("float"))) \
+        .drop("_norm")
 
 
 def vector_norms(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -153,12 +155,15 @@ def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, ex
 
         cands = corpus.select("id", "doc", "embedding").mapInPandas(score, CANDIDATE_SCHEMA)
         return _final_topk(cands, k)
-    return _topk_blocked(queries, corpus, k, exclude_self, blocks or _pick_blocks(nq, dim, max_broadcast_bytes))
+    if blocks is None:
+        blocks = _pick_blocks(nq, corpus.count(), dim, max_broadcast_bytes)
+    return _topk_blocked(queries, corpus, k, exclude_self, blocks)
 
 
-def _pick_blocks(nq: int, dim: int, max_bytes: int) -> tuple[int, int]:
-    qb = max(1, -(-nq * max(dim, 1) * 8 // max_bytes))
-    return qb, qb
+def _pick_blocks(nq: int, nc: int, dim: int, max_bytes: int) -> tuple[int, int]:
+    """Query and corpus block counts so that each side of a block pair is at most max_bytes."""
+    per_row = max(dim, 1) * 8
+    return max(1, -(-nq * per_row // max_bytes)), max(1, -(-nc * per_row // max_bytes))
 
 
 def _topk_blocked(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool,

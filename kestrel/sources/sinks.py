@@ -2,7 +2,7 @@
 
 Only result tables (a sweep, a confusion matrix, a report row) are coalesced to one file;
 per-conversation transcripts are written by partition column, one folder per conversation,
-by all tasks in parallel.
+by all tasks in parallel, without gathering any conversation into one row.
 """
 from __future__ import annotations
 
@@ -27,16 +27,18 @@ def write_report_json(df: DataFrame, path: str) -> None:
 
 
 def write_transcripts(lines: DataFrame, path: str, key: str = "conv_id", order: Sequence[str] = ("turn",),
-                      line: str = "line") -> None:
-    """One text output per conversation, its lines in turn order.
+                      line: str = "line", num_partitions: int | None = None) -> None:
+    """One text folder per conversation, its lines in turn order.
 
-    Lines are grouped per conversation (bounded by turns per conversation) and sorted in an
-    array before writing; the partition column gives one folder per conversation.
+    Rows are range-partitioned on (conversation, turn) and sorted within each partition, then
+    streamed to the writer: nothing gathers a conversation into one row or one task.  A very
+    long conversation spans several consecutive range partitions, i.e. several part files in
+    its folder whose name order (part number) is turn order.
     """
-    grouped = lines.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(line).alias("_l")))).alias("_ls"))
-    text = grouped.select(key, F.concat_ws("\n", F.transform("_ls", lambda s: s["_l"])).alias("value"))
-    text.write.mode("overwrite").partitionBy(key).text(path)
+    n = num_partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [key, *order]
+    ordered = lines.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ordered.select(key, F.col(line).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def read_orders_csv(spark, path: str) -> DataFrame:

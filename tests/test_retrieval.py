@@ -57,3 +57,11 @@ def test_sentence_split_edges(spark):
         "3-00": "Dr.",
         "3-01": "Smith said so. Études follow no split.",
     }
+
+
+def test_blocked_path_chosen_by_size(spark):
+    _, q, c = _vectors(spark)
+    a = _rows(RT.topk_inner_product(q, c, 3, exclude_self=True))
+    b = _rows(RT.topk_inner_product(q, c, 3, exclude_self=True, max_broadcast_bytes=64 * 8 * 64))  # forces blocks
+    assert a == b
+    assert RT._pick_blocks(1000, 10**6, 64, 1 << 20) == (1, 489)
