@@ -133,17 +133,21 @@ def q_permutation_importance(spark, sf_dir):
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """S5 + S6 + M6: save the fitted model with metadata, reload, score every order; equal scores."""
+    """S5 + S6 + M6: save the fitted model with metadata, reload it, score the whole order
+    table with both; the scores must be equal."""
     from pyspark.ml.classification import LogisticRegressionModel
 
+    from kestrel.operators.features import order_features
+
     prep, tr, te = _prepared(spark, sf_dir)
     model = M.fit_logistic(tr, "returned")
     path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
     M.save_model(model, {"feature_columns": NUMERIC_FEATURES + CATEGORICAL_FEATURES, "model_type": "LogisticRegression",
                          "slots": prep.slot_names}, path)
     loaded, meta = M.load_model(path, LogisticRegressionModel)
-    a = M.positive_score(model.transform(te), "s1").select("order_id", "s1")
-    b = M.positive_score(loaded.transform(te), "s2").select("order_id", "s2")
+    everything = prep.apply(order_features(spark, sf_dir)).select("order_id", "features")
+    a = M.positive_score(model.transform(everything), "s1").select("order_id", "s1")
+    b = M.positive_score(loaded.transform(everything), "s2").select("order_id", "s2")
     j = a.join(b, "order_id")
     return j.agg(F.count(F.lit(1)).alias("n_scored"), F.max(F.abs(F.col("s1") - F.col("s2"))).alias("max_abs_diff"),
                  F.min("s1").alias("min_score"), F.max("s1").alias("max_score")) \

@@ -41,6 +41,17 @@ def write_transcripts(lines: DataFrame, path: str, key: str = "conv_id", order:
     ordered.select(key, F.col(line).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_vector_table(df: DataFrame, path: str, vec: str = "embedding") -> None:
+    """The vector table (ids, document metadata, unit-length float vectors) as parquet.
+
+    Vectors are normalised once here so that search is a plain inner product; no separate
+    index file exists: the table is the index.
+    """
+    from kestrel.operators.retrieval import unit_vectors
+
+    unit_vectors(df, vec).write.mode("overwrite").parquet(path)
+
+
 def read_orders_csv(spark, path: str) -> DataFrame:
     """The typed 13-column orders table from CSV (explicit schema, no inference)."""
     schema = ("order_id long, product_category string, price_inr double, discount_pct double, "
