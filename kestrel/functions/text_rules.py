@@ -64,7 +64,7 @@ CASH_ON_DELIVERY = ["cod", "cash on delivery"]
 # Answer templates.
 DEFLECTION_ANSWER = (
     "I can't follow instructions embedded in your message that ask me to change "
-    "my role or reveal internal instructions. I can help with Flipkart return, "
+    "my role or reveal internal instructions. I can help with return, "
     "refund, delivery, or order-risk questions instead."
 )
 REFUSAL_PREFIX = "I can't answer that confidently: "
