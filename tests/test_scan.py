@@ -49,3 +49,21 @@ def test_global_scan(spark):
     got = running_scan(df, [], ["t", "id"], {"pos": ("count", None)}, num_blocks=5)
     positions = sorted(r.pos for r in got.collect())
     assert positions == list(range(500))
+
+
+def test_composite_key_and_null_order(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(2000):
+        a = 0 if i % 2 == 0 else rnd.randint(1, 5)          # half the rows share a = 0
+        b = "x" if i % 3 else "y"
+        t = None if rnd.random() < 0.05 else rnd.randint(0, 30)
+        rows.append((a, b, t, i, rnd.randint(0, 4)))
+    df = spark.createDataFrame(rows, "a long, b string, t long, id long, v long")
+    got = running_scan(df, ["a", "b"], ["t", "id"], {"n": ("count", None), "s": ("sum", "v", True)}, num_blocks=7)
+    w = Window.partitionBy("a", "b").orderBy(F.col("t").asc_nulls_first(), "id")
+    want = df.select("a", "b", "t", "id", "v",
+                     F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("n"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    cols = ["a", "b", "t", "id", "v", "n", "s"]
+    assert sorted(got.select(*cols).collect(), key=lambda r: r.id) == sorted(want.select(*cols).collect(), key=lambda r: r.id)
