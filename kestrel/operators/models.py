@@ -87,7 +87,7 @@ def positive_score(df: DataFrame, out: str = "score") -> DataFrame:
 
 
 def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "fold", n_folds: int = 5,
-                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 4):
+                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int | None = None):
     """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all train.
 
     An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).  Deep trees
@@ -100,8 +100,9 @@ def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "f
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(n_trees)).addGrid(rf.maxDepth, list(depths)).build()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
+    # all grid points of a fold train concurrently against that fold's one cached training set
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=n_folds,
-                        parallelism=parallelism, seed=seed)
+                        parallelism=parallelism or len(grid), seed=seed)
     model = cv.fit(weighted(train_prepared, label))
     results = [
         {"num_trees": pm[rf.numTrees], "max_depth": pm[rf.maxDepth], "cv_roc_auc": float(m)}
