@@ -180,7 +180,7 @@ def _resolved_sql() -> str:
     f = _features_sql("src")
     return _routed_sql() + f""",
 resolved AS (
-  SELECT conv_id, turn, intent, route, image_path, mentions_details, src,
+  SELECT conv_id, turn, text, intent_method, blocked, injection_pattern, intent, route, image_path, mentions_details, src,
          CASE WHEN intent = '{T.RISK}' THEN {f['price_inr']} END AS price_inr,
          CASE WHEN intent = '{T.RISK}' THEN {f['discount_pct']} END AS discount_pct,
          CASE WHEN intent = '{T.RISK}' THEN {f['product_category']} END AS product_category,
@@ -256,7 +256,7 @@ def q_order_context_carry(spark, sf_dir):
                     f["payment_method"].alias("payment_method"))
 
 
-_FRESH = _features_sql("text")
+_FRESH = _features_sql("s.text")
 
 
 @register("context_reset", f"WITH {_resolved_sql()} SELECT conv_id, turn, price_inr AS carried_price, "
@@ -318,7 +318,7 @@ def q_order_context_stream(spark, sf_dir):
                       "payment_method")
 
 
-def _compose_sql() -> str:
+def _compose_sql(final: str | None = None) -> str:
     from kestrel.functions import rules as R
     from kestrel.plans.oracle_orders import order_features_cte, sweep_cte
 
@@ -365,7 +365,8 @@ j AS (SELECT t.*, p.top1_score, p.top1_doc, p.top1_text, p.top2_doc, p.top2_text
              coalesce(p.top1_score, 0.0) AS top,
              CASE WHEN t.risk_p < ts.t THEN 'Low' WHEN t.risk_p >= ts.t + {R.HIGH_BUCKET_MARGIN} THEN 'High' ELSE 'Medium' END AS bucket
       FROM turns t LEFT JOIN top12 p ON p.query_id = t.qvec LEFT JOIN img i ON i.ivec = t.ivec, ts)
-SELECT conv_id, turn, route, intent,
+, answers AS (
+SELECT conv_id, turn, route, intent, text, intent_method, blocked, injection_pattern,
   CASE WHEN intent = '{T.RISK}' THEN bucket END AS risk_bucket,
   CASE WHEN route = 'deflect' THEN '{deflect}'
        WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN
@@ -382,7 +383,13 @@ SELECT conv_id, turn, route, intent,
   round(CASE WHEN route = 'deflect' THEN 0.0 WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN round(top, 4)
              WHEN intent = '{T.POLICY}' THEN 0.0 WHEN intent = '{T.RISK}' THEN round(risk_p, 4)
              WHEN intent = '{T.IMAGE}' THEN round(conf, 4) END, 4) AS confidence
-FROM j"""
+FROM j)
+""" + (final or "SELECT conv_id, turn, route, intent, risk_bucket, answer, source, confidence FROM answers")
 
 
 ORACLE["compose_answer"] = _compose_sql()
+ORACLE["transcript_lines"] = _compose_sql(
+    "SELECT conv_id, turn, concat_ws(' | ', 'Turn ' || CAST(turn AS VARCHAR), 'User: ' || text, "
+    "'Intent: ' || coalesce(intent, 'N/A') || ' (method: ' || coalesce(intent_method, 'N/A') || ')', "
+    "CASE WHEN blocked THEN '[GUARDRAIL] Blocked -- matched pattern: ' || injection_pattern END, "
+    "'Answer: ' || coalesce(answer, 'N/A')) AS line FROM answers")
