@@ -168,7 +168,21 @@ def q_linear_head(spark, sf_dir):
                       F.lit(len(model.summary.objectiveHistory)).alias("iterations"))
 
 
-@register("feature_slots")
+def _slots_sql() -> str:
+    from kestrel.plans.oracle_orders import with_orders
+    from kestrel.plans.prep_plans import split_sql
+
+    nums = ", ".join(f"({i}, '{c}')" for i, c in enumerate(NUMERIC_FEATURES))
+    cats = " UNION ALL ".join(
+        f"SELECT '{c}_' || v AS feature, {g} AS grp, v FROM (SELECT DISTINCT {c} AS v FROM train)"
+        for g, c in enumerate(CATEGORICAL_FEATURES))
+    return with_orders(split_sql() + f""", num AS (SELECT CAST(slot AS INTEGER) AS slot, feature FROM (VALUES {nums}) t(slot, feature)),
+cats AS ({cats}),
+catslots AS (SELECT CAST({len(NUMERIC_FEATURES)} + row_number() OVER (ORDER BY grp, v) - 1 AS INTEGER) AS slot, feature FROM cats)
+SELECT slot, feature FROM num UNION ALL SELECT slot, feature FROM catslots""")
+
+
+@register("feature_slots", _slots_sql())
 def q_feature_slots(spark, sf_dir):
     """The assembled vector's slot names in order (numeric, then one-hot per category)."""
     prep = M.Prepared(split_orders(spark, sf_dir).where("split = 'train'"), NUMERIC_FEATURES, CATEGORICAL_FEATURES)
