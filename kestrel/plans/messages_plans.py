@@ -393,3 +393,27 @@ ORACLE["transcript_lines"] = _compose_sql(
     "'Intent: ' || coalesce(intent, 'N/A') || ' (method: ' || coalesce(intent_method, 'N/A') || ')', "
     "CASE WHEN blocked THEN '[GUARDRAIL] Blocked -- matched pattern: ' || injection_pattern END, "
     "'Answer: ' || coalesce(answer, 'N/A')) AS line FROM answers")
+
+
+@register("policy_text_retrieval")
+def q_policy_text_retrieval(spark, sf_dir):
+    """R1-R5 on text: policy turns' messages against every sentence chunk of ``documents``.
+
+    Chunks and messages share one hashed TF-IDF embedder fitted on the chunks; each distinct
+    message text is searched once (exact top 3 by cosine) and joined back to its turns with
+    the groundedness flag.  Fitted IDF: rows-only check.
+    """
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    chunks = RT.sentence_chunks(docs)
+    model = RT.text_embedder(chunks)
+    corpus = RT.embed_text(model, chunks).select(
+        F.xxhash64("chunk_id").alias("id"), F.col("chunk_id").alias("doc"), "embedding")
+    turns = MS.guard_and_route(support_turns(spark, sf_dir)).where(F.col("intent") == T.POLICY) \
+        .select("conv_id", "turn", "text", F.xxhash64("text").alias("query_id"))
+    msgs = turns.select("query_id", "text").distinct()
+    queries = RT.embed_text(model, msgs).select("query_id", "embedding")
+    topk = RT.topk_inner_product(queries, corpus, RT.TOP_K)
+    ground = RT.groundedness(queries, topk)
+    out = turns.join(topk, "query_id", "left").join(ground, "query_id", "left")
+    return out.select("conv_id", "turn", "rank", F.col("cand_doc").alias("chunk_id"),
+                      F.round("score", 4).alias("score"), "top_score", "grounded")
