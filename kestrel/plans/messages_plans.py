@@ -87,6 +87,7 @@ def answered_turns(spark, sf_dir) -> DataFrame:
             F.max(F.when(F.col("rank") == r, F.col("cand_doc"))).alias(f"top{r}_doc"),
             F.max(F.when(F.col("rank") == r, F.format_string("chunk %d", F.col("cand_id")))).alias(f"top{r}_text"),
         )])
+    turns = turns.withColumn("t_star_rf", F.lit(float(t)))
     turns = turns.join(top12, turns.qvec == top12.query_id, "left").drop("query_id")
     # image branch: nearest-centroid scorer fitted on all vectors
     cents = MS.class_centroids(emb)
@@ -282,8 +283,20 @@ def q_compose_answer(spark, sf_dir):
 
 @register("transcript_lines")
 def q_transcript_lines(spark, sf_dir):
-    """S8 rows: one rendered line per turn, in turn order within each conversation."""
+    """S8 rows: a title row per conversation (turn -1), then one rendered line per turn with
+    the user text, intent, guardrail note, retrieved chunks, tool output and answer JSON."""
     a = answered_turns(spark, sf_dir)
+    js = {"ignoreNullFields": "false"}
+    retrieved = F.when(F.col("top1_text").isNotNull(), F.concat_ws(
+        "; ", F.concat(F.col("top1_text"), F.lit(" score="), F.round("top1_score", 4).cast("string")),
+        F.when(F.col("top2_text").isNotNull(),
+               F.concat(F.col("top2_text"), F.lit(" score="), F.round("top2_score", 4).cast("string")))))
+    tool = (F.when(F.col("intent") == T.RISK, F.to_json(F.struct(
+                F.round("risk_p", 4).alias("return_probability"), F.col("risk_bucket"), F.col("t_star_rf")), js))
+            .when(F.col("intent") == T.IMAGE, F.to_json(F.struct(
+                F.col("predicted_class"), F.round("confidence", 4).alias("confidence")), js)))
+    answer = F.to_json(F.struct(F.col("answer"), F.col("source"),
+                                F.round("answer_confidence", 4).alias("confidence")), js)
     line = F.concat_ws(" | ",
                        F.format_string("Turn %d", F.col("turn")),
                        F.concat(F.lit("User: "), F.col("text")),
@@ -291,8 +304,13 @@ def q_transcript_lines(spark, sf_dir):
                                 F.coalesce(F.col("intent_method"), F.lit("N/A")), F.lit(")")),
                        F.when(F.col("blocked"), F.concat(F.lit("[GUARDRAIL] Blocked -- matched pattern: "),
                                                          F.col("injection_pattern"))),
-                       F.concat(F.lit("Answer: "), F.coalesce(F.col("answer"), F.lit("N/A"))))
-    return a.select("conv_id", "turn", line.alias("line"))
+                       F.when(retrieved.isNotNull(), F.concat(F.lit("Retrieved chunks: "), retrieved)),
+                       F.when(tool.isNotNull(), F.concat(F.lit("Tool output: "), tool)),
+                       F.concat(F.lit("Agent response: "), answer))
+    titles = a.select("conv_id").distinct().select(
+        "conv_id", F.lit(-1).cast("long").alias("turn"),
+        F.format_string("# Conversation %d", F.col("conv_id")).alias("line"))
+    return a.select("conv_id", "turn", line.alias("line")).unionByName(titles)
 
 
 def _turn_stream(spark, sf_dir) -> DataFrame:
@@ -350,7 +368,8 @@ pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 top12 AS (SELECT query_id,
            max(CASE WHEN rank = 1 THEN score END) AS top1_score, max(CASE WHEN rank = 1 THEN cand_doc END) AS top1_doc,
            max(CASE WHEN rank = 1 THEN 'chunk ' || cand_id END) AS top1_text,
-           max(CASE WHEN rank = 2 THEN cand_doc END) AS top2_doc, max(CASE WHEN rank = 2 THEN 'chunk ' || cand_id END) AS top2_text
+           max(CASE WHEN rank = 2 THEN cand_doc END) AS top2_doc, max(CASE WHEN rank = 2 THEN 'chunk ' || cand_id END) AS top2_text,
+           max(CASE WHEN rank = 2 THEN score END) AS top2_score
           FROM pr WHERE rank <= 3 GROUP BY query_id),
 el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 cent AS (SELECT label AS c, list(m ORDER BY pos) AS centroid FROM (
@@ -361,12 +380,13 @@ lg AS (SELECT iv.ivec, c.c, list_dot_product(CAST(e.embedding AS DOUBLE[]), c.ce
 mx AS (SELECT ivec, max(l) AS lmax FROM lg GROUP BY ivec),
 img AS (SELECT g.ivec, {names}[min(CASE WHEN g.l = m.lmax THEN g.c END) + 1] AS cls,
                round(1.0 / sum(exp(g.l - m.lmax)), 4) AS conf FROM lg g JOIN mx m USING (ivec) GROUP BY g.ivec),
-j AS (SELECT t.*, p.top1_score, p.top1_doc, p.top1_text, p.top2_doc, p.top2_text, i.cls, i.conf, ts.t,
+j AS (SELECT t.*, p.top1_score, p.top1_doc, p.top1_text, p.top2_doc, p.top2_text, p.top2_score, i.cls, i.conf, ts.t,
              coalesce(p.top1_score, 0.0) AS top,
              CASE WHEN t.risk_p < ts.t THEN 'Low' WHEN t.risk_p >= ts.t + {R.HIGH_BUCKET_MARGIN} THEN 'High' ELSE 'Medium' END AS bucket
       FROM turns t LEFT JOIN top12 p ON p.query_id = t.qvec LEFT JOIN img i ON i.ivec = t.ivec, ts)
 , answers AS (
 SELECT conv_id, turn, route, intent, text, intent_method, blocked, injection_pattern,
+  top1_text, top1_score, top2_text, top2_score, risk_p, t, cls, conf,
   CASE WHEN intent = '{T.RISK}' THEN bucket END AS risk_bucket,
   CASE WHEN route = 'deflect' THEN '{deflect}'
        WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN
@@ -392,7 +412,15 @@ ORACLE["transcript_lines"] = _compose_sql(
     "SELECT conv_id, turn, concat_ws(' | ', 'Turn ' || CAST(turn AS VARCHAR), 'User: ' || text, "
     "'Intent: ' || coalesce(intent, 'N/A') || ' (method: ' || coalesce(intent_method, 'N/A') || ')', "
     "CASE WHEN blocked THEN '[GUARDRAIL] Blocked -- matched pattern: ' || injection_pattern END, "
-    "'Answer: ' || coalesce(answer, 'N/A')) AS line FROM answers")
+    "CASE WHEN top1_text IS NOT NULL THEN 'Retrieved chunks: ' || concat_ws('; ', "
+    "top1_text || ' score=' || CAST(round(top1_score, 4) AS VARCHAR), "
+    "CASE WHEN top2_text IS NOT NULL THEN top2_text || ' score=' || CAST(round(top2_score, 4) AS VARCHAR) END) END, "
+    f"CASE WHEN intent = '{T.RISK}' THEN 'Tool output: ' || json_object('return_probability', round(risk_p, 4), "
+    "'risk_bucket', risk_bucket, 't_star_rf', t)::VARCHAR "
+    f"WHEN intent = '{T.IMAGE}' THEN 'Tool output: ' || json_object('predicted_class', cls, 'confidence', round(conf, 4))::VARCHAR END, "
+    "'Agent response: ' || json_object('answer', answer, 'source', source, 'confidence', confidence)::VARCHAR) AS line "
+    "FROM answers UNION ALL SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, '# Conversation ' || CAST(conv_id AS VARCHAR) AS line "
+    "FROM answers")
 
 
 @register("policy_text_retrieval")
