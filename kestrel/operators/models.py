@@ -157,12 +157,13 @@ def permutation_importance(test: DataFrame, id_col: str, label: str, columns: li
 
     base = running_scan(test, [], [id_col], {"_pos": ("count", None)}, num_blocks)
     keys = [F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in columns for r in range(n_repeats)]
-    copies = base.select("*", F.explode(F.array(*keys)).alias("_k")).select("*", "_k.c", "_k.r").drop("_k")
+    # rank only narrow (id, column, repeat, hash) rows; features are attached afterwards
+    narrow = base.select(id_col, F.explode(F.array(*keys)).alias("_k")).select(id_col, "_k.c", "_k.r")
     tag = F.concat(F.col("c"), F.lit("|"), F.col("r").cast("string"))
-    copies = copies.withColumn("_u", uniform(F.concat(F.col(id_col).cast("string"), F.lit("|"), tag), "perm", seed))
-    copies = running_scan(copies, ["c", "r"], ["_u", id_col], {"_ppos": ("count", None)}, num_blocks)
+    narrow = narrow.withColumn("_u", uniform(F.concat(F.col(id_col).cast("string"), F.lit("|"), tag), "perm", seed))
+    narrow = running_scan(narrow, ["c", "r"], ["_u", id_col], {"_ppos": ("count", None)}, num_blocks).drop("_u")
     donors = base.select(F.col("_pos").alias("_ppos"), *[F.col(c).alias(f"_d_{c}") for c in columns])
-    j = copies.join(donors, "_ppos")
+    j = narrow.join(base.drop("_pos"), id_col).join(donors, "_ppos")
     j = j.withColumns({c: F.when(F.col("c") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
     scored = scorer(j.drop(*[f"_d_{c}" for c in columns]))
     per = roc_auc(scored, label, "score", by=["c", "r"], num_blocks=num_blocks)
