@@ -68,7 +68,8 @@ DEFLECTION_ANSWER = (
     "refund, delivery, or order-risk questions instead."
 )
 REFUSAL_PREFIX = "I can't answer that confidently: "
-UNGROUNDED_REASON = "no retrieved policy chunk cleared the similarity threshold (top score {top} < threshold {thr})."
+UNGROUNDED_ANSWER = (REFUSAL_PREFIX + "no retrieved policy chunk cleared the similarity threshold "
+                     "(top score {top} < threshold {thr}).")
 RISK_ANSWER = ("This order has an estimated return probability of {pct}, which places it in the '{bucket}' "
                "risk bucket (anchored to this model's own threshold t*_rf={t}).")
 IMAGE_ANSWER = "This product image is classified as '{cls}' with {pct} confidence."
@@ -168,6 +169,32 @@ def image_path(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, IMAGE_PATH_PATTERN, 1), F.lit(""))
 
 
+def _parts(template: str) -> list[tuple[bool, str]]:
+    """Split ``"a {x} b"`` into [(False, "a "), (True, "x"), (False, " b")]."""
+    import re
+
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            out.append((False, template[pos:m.start()]))
+        out.append((True, m.group(1)))
+        pos = m.end()
+    if pos < len(template):
+        out.append((False, template[pos:]))
+    return out
+
+
+def render(template: str, **values: Column) -> Column:
+    """An answer template as a string column (null when any placeholder value is null)."""
+    return F.concat(*[values[v] if is_var else F.lit(v) for is_var, v in _parts(template)])
+
+
+def render_sql(template: str, **values: str) -> str:
+    """The same template as a SQL string expression (for the oracle)."""
+    lit = lambda t: "'" + t.replace("'", "''") + "'"
+    return "(" + " || ".join(f"({values[v]})" if is_var else lit(v) for is_var, v in _parts(template)) + ")"
+
+
 def percent0(p: Column) -> Column:
     """``{p:.0%}``-style text; halves round up (Python rounds them to even)."""
     return F.concat(F.round(p * 100, 0).cast("long").cast("string"), F.lit("%"))

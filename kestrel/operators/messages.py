@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import text_rules as T
 from kestrel.functions.rules import logistic_score, safe_div
+from kestrel.operators.retrieval import GROUNDEDNESS_THRESHOLD
 from kestrel.operators.risk import risk_bucket_col
 from kestrel.operators.scan import running_scan
 
@@ -126,18 +127,14 @@ def compose_answer(df: DataFrame, t_star: float) -> DataFrame:
     columns (policy turns) and ``predicted_class``/``confidence`` (image turns).
     """
     top = F.coalesce(F.col("top1_score"), F.lit(0.0))
-    grounded = top >= 0.45
+    grounded = top >= GROUNDEDNESS_THRESHOLD
     policy_text = F.when(F.col("top2_doc") == F.col("top1_doc"),
                          F.concat_ws(" ", F.col("top1_text"), F.col("top2_text"))).otherwise(F.col("top1_text"))
-    refusal = F.concat(F.lit(T.REFUSAL_PREFIX), F.lit("no retrieved policy chunk cleared the similarity threshold (top score "),
-                       F.round(top, 4).cast("string"), F.lit(" < threshold 0.45)."))
+    refusal = T.render(T.UNGROUNDED_ANSWER, top=F.round(top, 4).cast("string"), thr=F.lit(str(GROUNDEDNESS_THRESHOLD)))
     p = F.round(F.col("risk_p"), 4)
     bucket = risk_bucket_col(F.col("risk_p"), F.lit(float(t_star)))
-    risk_text = F.concat(F.lit("This order has an estimated return probability of "), T.percent0(p),
-                         F.lit(", which places it in the '"), bucket,
-                         F.lit(f"' risk bucket (anchored to this model's own threshold t*_rf={t_star!r})."))
-    image_text = F.concat(F.lit("This product image is classified as '"), F.col("predicted_class"), F.lit("' with "),
-                          T.percent0(F.col("confidence")), F.lit(" confidence."))
+    risk_text = T.render(T.RISK_ANSWER, pct=T.percent0(p), bucket=bucket, t=F.lit(repr(float(t_star))))
+    image_text = T.render(T.IMAGE_ANSWER, cls=F.col("predicted_class"), pct=T.percent0(F.col("confidence")))
     answer = (F.when(F.col("route") == "deflect", F.lit(T.DEFLECTION_ANSWER))
               .when((F.col("intent") == T.POLICY) & grounded, policy_text)
               .when(F.col("intent") == T.POLICY, refusal)

@@ -391,12 +391,9 @@ SELECT conv_id, turn, route, intent, text, intent_method, blocked, injection_pat
   CASE WHEN route = 'deflect' THEN '{deflect}'
        WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN
             CASE WHEN top2_doc = top1_doc THEN top1_text || ' ' || top2_text ELSE top1_text END
-       WHEN intent = '{T.POLICY}' THEN 'I can''t answer that confidently: no retrieved policy chunk cleared the similarity threshold (top score '
-            || CAST(round(top, 4) AS VARCHAR) || ' < threshold 0.45).'
-       WHEN intent = '{T.RISK}' THEN 'This order has an estimated return probability of ' || {pct('round(risk_p, 4)')}
-            || ', which places it in the ''' || bucket || ''' risk bucket (anchored to this model''s own threshold t*_rf='
-            || CAST(t AS VARCHAR) || ').'
-       WHEN intent = '{T.IMAGE}' THEN 'This product image is classified as ''' || cls || ''' with ' || {pct('conf')} || ' confidence.'
+       WHEN intent = '{T.POLICY}' THEN {T.render_sql(T.UNGROUNDED_ANSWER, top="CAST(round(top, 4) AS VARCHAR)", thr="'0.45'")}
+       WHEN intent = '{T.RISK}' THEN {T.render_sql(T.RISK_ANSWER, pct=pct('round(risk_p, 4)'), bucket='bucket', t='CAST(t AS VARCHAR)')}
+       WHEN intent = '{T.IMAGE}' THEN {T.render_sql(T.IMAGE_ANSWER, cls='cls', pct=pct('conf'))}
   END AS answer,
   CASE WHEN route = 'deflect' OR intent = '{T.POLICY}' THEN 'policy_kb' WHEN intent = '{T.RISK}' THEN 'return_risk_tool'
        WHEN intent = '{T.IMAGE}' THEN 'image_classifier_tool' END AS source,
