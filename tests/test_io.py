@@ -26,7 +26,13 @@ def test_report_and_transcripts(spark):
                                 F.array(F.struct(F.lit("a").alias("feature"))).alias("top"))
     sinks.write_report_json(rep, os.path.join(d, "report"))
     assert spark.read.json(os.path.join(d, "report")).first()["baseline"]["accuracy"] == 0.77
-    lines = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "conv_id long, turn long, line string")
-    sinks.write_transcripts(lines, os.path.join(d, "tr"))
-    text = spark.read.text(os.path.join(d, "tr", "conv_id=1")).collect()
-    assert [r.value for r in text] == ["a", "b"]
+    rows = [(1, t, f"line {t:02d}") for t in range(40, 0, -1)] + [(2, 1, "c")]
+    lines = spark.createDataFrame(rows, "conv_id long, turn long, line string")
+    sinks.write_transcripts(lines, os.path.join(d, "tr"), num_partitions=4)
+    # a transcript is its part files in name order (range partition order), each sorted by turn
+    folder = os.path.join(d, "tr", "conv_id=1")
+    text = []
+    for name in sorted(f for f in os.listdir(folder) if f.startswith("part-")):
+        with open(os.path.join(folder, name)) as fh:
+            text.extend(fh.read().splitlines())
+    assert text == [f"line {t:02d}" for t in range(1, 41)]
