@@ -45,7 +45,9 @@ def _num_blocks(df: DataFrame, num_blocks: int | None) -> int:
 
 
 def _key_struct(keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(k) for k in keys]) if len(keys) > 1 else F.col(keys[0])
+    # always a struct: struct ordering puts null fields first (as the range partitioning
+    # does), whereas min/max over a bare column would skip null keys
+    return F.struct(*[F.col(k) for k in keys])
 
 
 def running_scan(
@@ -99,7 +101,8 @@ def running_scan(
     # -- 3. carry-in offsets for keys that continue across blocks -----------------------
     kstruct = _key_struct(keys)
     bounds = local.groupBy(_PID).agg(F.min(kstruct).alias("_lo"), F.max(kstruct).alias("_hi"))
-    edge = local.join(F.broadcast(bounds), _PID).where((kstruct == F.col("_lo")) | (kstruct == F.col("_hi")))
+    # null-safe: a null key is one group for the window, so it must match here too
+    edge = local.join(F.broadcast(bounds), _PID).where(kstruct.eqNullSafe(F.col("_lo")) | kstruct.eqNullSafe(F.col("_hi")))
     ostruct = F.struct(*[F.col(c) for c in order])
     tot_exprs = [F.count(F.lit(1)).alias("_t_count")]
     for name, (kind, col, _) in specs.items():
@@ -128,7 +131,10 @@ def running_scan(
     offsets = totals.select(_PID, *keys, *off_exprs).where(F.col("_o_rows") > 0)
 
     # -- 4. combine ---------------------------------------------------------------------
-    out = local.join(F.broadcast(offsets), [_PID, *keys], "left")
+    offsets = offsets.select(F.col(_PID).alias("_o_pid"), *[F.col(k).alias(f"_ok_{k}") for k in keys],
+                             *[c for c in offsets.columns if c.startswith("_o_")])
+    cond = [F.col(_PID) == F.col("_o_pid")] + [F.col(k).eqNullSafe(F.col(f"_ok_{k}")) for k in keys]
+    out = local.join(F.broadcast(offsets), cond, "left")
     final = []
     for name, (kind, col, inclusive) in specs.items():
         lo, off = F.col(f"_l_{name}"), F.col(f"_o_{name}")

@@ -67,3 +67,17 @@ def test_composite_key_and_null_order(spark):
                      F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     cols = ["a", "b", "t", "id", "v", "n", "s"]
     assert sorted(got.select(*cols).collect(), key=lambda r: r.id) == sorted(want.select(*cols).collect(), key=lambda r: r.id)
+
+
+def test_null_keys_span_blocks(spark):
+    rows = [(None if i % 2 == 0 else i % 7, i, i % 3) for i in range(1500)]   # half the rows have a null key
+    df = spark.createDataFrame(rows, "k long, id long, v long")
+    got = running_scan(df, ["k"], ["id"], {"n": ("count", None), "s": ("sum", "v"), "f": ("first", "v", True)},
+                       num_blocks=9)
+    w = Window.partitionBy("k").orderBy("id")
+    want = df.select("k", "id", "v",
+                     F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("n"),
+                     F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"),
+                     F.first("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
+    cols = ["k", "id", "v", "n", "s", "f"]
+    assert sorted(got.select(*cols).collect(), key=lambda r: r.id) == sorted(want.select(*cols).collect(), key=lambda r: r.id)
