@@ -107,3 +107,21 @@ def test_carry_blocked_turn_between(spark):
     assert r[(1, 2)].order_features.price_inr == 2400.0       # carried over the blocked turn
     assert r[(2, 0)].order_features.price_inr == 1500.0       # same follow-up, fresh conversation
     assert r[(3, 1)].order_features.payment_method == "Wallet"  # first risk turn set the context
+
+
+def test_sweep_bin_matches_brute_force(spark):
+    import math
+    import random
+
+    from kestrel.functions.rules import sweep_grid
+    from kestrel.operators.evaluate import _sweep_bin
+
+    grid = sweep_grid()
+    rnd = random.Random(3)
+    scores = [rnd.random() for _ in range(2000)] + [0.0, 1.0, -0.5, 1.5]
+    for t in grid:  # every threshold and its floating-point neighbours
+        scores += [t, math.nextafter(t, 0.0), math.nextafter(t, 1.0)]
+    df = spark.createDataFrame([(s,) for s in scores], "score double")
+    got = {r.score: r.bin for r in df.select("score", _sweep_bin(F.col("score")).alias("bin")).collect()}
+    for s in scores:
+        assert got[s] == sum(1 for t in grid if s >= t), s
