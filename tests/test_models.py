@@ -48,3 +48,13 @@ def test_vector_table_sink(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "vt"))
     norms = back.select(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
     assert norms.agg(F.max(F.abs(F.col("n") - 1.0))).first()[0] < 1e-6
+
+
+def test_missing_model_has_clear_error(spark, tmp_path):
+    import pytest
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from kestrel.operators.models import load_model
+
+    with pytest.raises(FileNotFoundError, match="no saved model"):
+        load_model(str(tmp_path / "absent"), LogisticRegressionModel)
