@@ -29,11 +29,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import ensure_checkpoint_dir
+from kestrel.session import materialise
 
 _PID = "_scan_pid"
 _CONST = "_scan_key"
@@ -96,12 +95,7 @@ def running_scan(
         else:
             raise ValueError(f"unknown scan aggregate {kind!r}")
 
-    ensure_checkpoint_dir(df.sparkSession)
-    # cached only while the checkpoint is written, so the window runs once (the eager
-    # checkpoint otherwise computes it for its count and again for the files)
-    cached = local.persist(StorageLevel.MEMORY_AND_DISK)
-    local = cached.checkpoint(eager=True)
-    cached.unpersist()
+    local = materialise(local)
 
     # -- 3. carry-in offsets for keys that continue across blocks -----------------------
     kstruct = _key_struct(keys)

@@ -17,7 +17,7 @@ from kestrel.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from kestrel.plans.prep_plans import split_orders
 from kestrel.plans.registry import register
 from kestrel.plans.vector_plans import split_vectors
-from kestrel.session import ensure_checkpoint_dir
+from kestrel.session import ensure_checkpoint_dir, materialise
 
 
 def _prepared(spark, sf_dir):
@@ -29,8 +29,8 @@ def _prepared(spark, sf_dir):
     prep = M.Prepared(train, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
     n = spark.sparkContext.defaultParallelism
     keep = ["order_id", "returned", "features"]
-    tr = prep.apply(train).select(*keep).repartition(n, "order_id").checkpoint(eager=True)
-    te = prep.apply(test).select(*keep).repartition(n, "order_id").checkpoint(eager=True)
+    tr = materialise(prep.apply(train).select(*keep).repartition(n, "order_id"))
+    te = materialise(prep.apply(test).select(*keep).repartition(n, "order_id"))
     return prep, tr, te
 
 
@@ -55,7 +55,7 @@ def q_logreg_eval(spark, sf_dir):
 def q_forest_cv(spark, sf_dir):
     """M3 + M4 + M5: 2x3 grid, 5 stratified folds, ROC-AUC; best row and test AUC."""
     prep, tr, te = _prepared(spark, sf_dir)
-    tr = P.kfold_assign(tr, "returned", "order_id", 5).checkpoint(eager=True)
+    tr = materialise(P.kfold_assign(tr, "returned", "order_id", 5))
     model, results = M.forest_grid_search(tr, "returned")
     scored = M.positive_score(model.bestModel.transform(te)).select(F.col("returned").alias("label"), "score")
     test_auc = E.roc_auc(scored, "label", "score").first()[0]

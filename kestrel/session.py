@@ -48,3 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialise(df):
+    """Reliable checkpoint of ``df`` in the shared checkpoint folder, computing it once.
+
+    The frame is cached only while the checkpoint is written (an eager checkpoint would
+    otherwise compute it for its count and again for the files), then released; readers see
+    the checkpoint files, so lineage is cut and a lost executor re-reads, not recomputes.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
