@@ -5,10 +5,19 @@ every scoring and evaluation pass is a distributed transform.
 """
 from __future__ import annotations
 
+import json
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.rules import safe_div
+from kestrel.operators import prep as P
 
 
 def majority_class(train: DataFrame, label: str) -> int:
@@ -36,16 +45,6 @@ def baseline_majority(train: DataFrame, test: DataFrame, label: str) -> DataFram
 
 
 # ------------------------------------------------------------------ preparation + fitted models
-import json  # noqa: E402
-
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier  # noqa: E402
-from pyspark.ml.evaluation import BinaryClassificationEvaluator  # noqa: E402
-from pyspark.ml.feature import VectorAssembler  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: E402
-
-from kestrel.operators import prep as P  # noqa: E402
 
 
 class Prepared:
