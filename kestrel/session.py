@@ -36,18 +36,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder, as named by the session's ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only invent one (under /tmp) when the
-    setting is absent, which happens in local tests.
+    Lookup order: the folder already set on this context, then ``spark.checkpoint.dir`` from
+    the session/context configuration (a cluster names a shared folder there), and only when
+    both are absent (local tests) a fresh local temporary folder.  The session configuration
+    itself is never modified.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001 - not set anywhere
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="kestrel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df):
