@@ -101,9 +101,11 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", b
     )
     if by:
         grid = counts.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("bin"))
+        g = grid.join(counts, [*by, "bin"], "left")
     else:
         grid = spark.range(0, n + 1).select(F.col("id").cast("int").alias("bin"))
-    g = grid.join(counts, [*by, "bin"], "left").fillna(0, ["pos", "cnt"])
+        g = grid.join(F.broadcast(counts), "bin", "left")  # at most n + 1 = 42 rows
+    g = g.fillna(0, ["pos", "cnt"])
     w_all = Window.partitionBy(*by) if by else Window.partitionBy()
     w_suffix = w_all.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select(
