@@ -34,3 +34,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.bpe import encode_documents, read_ranks
 
     return encode_documents(table(spark, sf_dir, "documents"), read_ranks(ranks_path()))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
