@@ -41,3 +41,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.substring import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
