@@ -48,3 +48,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
