@@ -55,3 +55,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
