@@ -5,6 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kestrel.llm.lines import dedup_sql
+from kestrel.llm.quality import judge_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -62,3 +65,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.decontam import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_quality_rules", judge_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup", dedup_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kestrel.llm.lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
