@@ -50,7 +50,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     common = written(cross_site_lines(lines, min_sites, lg_k), "cross-site-lines")
     hits = lines.join(common, ["h1", "h2"]).select("d", "th", "no", "h1", "h2")
     place = F.struct("d", "th", "no")
-    first = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    # written, so that the join below reads it anew and can split a line that many documents hold
+    first = written(hits.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-lines")
     again = hits.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     gone = again.groupBy("d", "th").agg(F.array_distinct(F.collect_list("no")).alias("gone"))
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -197,4 +197,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     grouped = firsts.join(member, "fp")
     lowest = grouped.groupBy("component").agg(F.min("first").alias("low"))
     named = firsts.join(member.join(lowest, "component").select("fp", "low"), "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    named = written(named, "named-fingerprints")  # read anew, so that the join below can split a fingerprint of many copies
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
