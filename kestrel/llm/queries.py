@@ -82,3 +82,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kestrel.llm.unigram import count_tokens, read_pieces
+
+    return count_tokens(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
