@@ -91,3 +91,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.unigram import count_tokens, read_pieces
 
     return count_tokens(table(spark, sf_dir, "documents"), read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
