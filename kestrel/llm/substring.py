@@ -169,12 +169,16 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Data
     keyed = plain(docs, "doc_id", "text").select("doc_id", F.hash("text").alias("th"), "text")
     found = written(keyed.mapInArrow(lambda it: _pieces(it, k, m), f"doc_id {kind}, th int, mini bigint, words bigint, start int, n int"), "pieces")
 
+    # aggregates are written before they are joined: read anew, both sides are shuffled, and Spark can split a
+    # minimizer, piece or edge that very many documents hold
     minis = found.groupBy("mini").agg(F.count("*").alias("c"), F.min("words").alias("low"), F.max("words").alias("high")).filter("c > 1")
-    repeated = written(found.join(minis.select("mini", (F.col("low") != F.col("high")).alias("branches")), "mini"), "repeats")
+    minis = written(minis.select("mini", (F.col("low") != F.col("high")).alias("branches")), "minimizers")
+    repeated = written(found.join(minis, "mini"), "repeats")
 
     at = F.struct("doc_id", "th", "start")
     types = (repeated.filter("branches").groupBy("mini", "words").agg(F.count("*").alias("c"), F.min(at).alias("source"))
              .select("mini", "words", (F.col("c") > 1).alias("twice"), "source"))
+    types = written(types, "types")
     code = F.shiftleft(F.col("start").cast("bigint"), 8) + F.shiftleft(F.col("n"), 2)
     single = repeated.filter("not branches").select("doc_id", "th", (code + 1).alias("code"))
     branching = repeated.filter("branches").join(types, ["mini", "words"]).select(
@@ -187,6 +191,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, m: int = MINIMIZER) -> Data
     open_edges = placed.filter("edge is not null").select(
         "doc_id", "th", F.explode(F.arrays_zip("edge", "e1", "e2")).alias("x")).select("doc_id", "th", "x.edge", "x.e1", "x.e2")
     twice = open_edges.groupBy("e1", "e2").agg(F.count("*").alias("c")).filter("c > 1").select("e1", "e2")
+    twice = written(twice, "edges")
     hits = open_edges.join(twice, ["e1", "e2"]).groupBy("doc_id", "th").agg(F.collect_list("edge").alias("hits"))
     rest = placed.filter("edge is not null").select("doc_id", "th", "text", "decided")
     rest = rest.join(hits, same_row(rest, hits), "left").select(rest["doc_id"], "text", "decided", "hits")
