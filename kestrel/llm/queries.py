@@ -98,3 +98,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.licenses import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
