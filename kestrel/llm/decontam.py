@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.shared import plain, written
+from kestrel.llm.shared import plain, without, written
 from kestrel.llm.text import Powers, flat_bytes, mix, prefix, slices, span_hash, word_hashes, word_spans
 
 WINDOW = 8
@@ -196,12 +196,7 @@ def _lengths(batches, size: int):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.minimum(count, size).astype(np.int32))], names=["id", "n"])
 
 
-BROADCAST_IDS = 1_000_000  # ids are broadcast up to this count (some tens of MB), beyond it they are shuffled
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` (all columns) that hold no benchmark item."""
-    bad = written(contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    if bad.count() <= BROADCAST_IDS:
-        bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    bad = contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("gone_doc_id"))
+    return without(docs, bad, "contaminated")

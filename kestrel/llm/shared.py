@@ -32,6 +32,22 @@ def plain(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+BROADCAST_ROWS = 1_000_000  # keys are broadcast up to this count (some tens of MB); beyond it they are shuffled
+
+
+def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` that match no row of ``keys`` in all its columns (nulls match nulls); the columns of
+    ``keys`` bear names ``docs`` has not."""
+    keys = written(keys.distinct(), name)
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    match = None
+    for c in keys.columns:
+        own = docs[c.removeprefix("gone_")].eqNullSafe(keys[c])
+        match = own if match is None else match & own
+    return docs.join(keys, match, "left_anti")
+
+
 def ship(spark: SparkSession, model):
     """Broadcast a model of bounded size, classes included, so that workers need not have this package."""
     from pyspark import cloudpickle
