@@ -13,10 +13,15 @@ SEED = 42
 TWO_POW_32 = 4294967296.0
 
 
-def uniform(key: Column | str, tag: str, seed: int = SEED) -> Column:
+def hash32(key: Column | str, tag: str, seed: int = SEED) -> Column:
+    """The 32 bits behind ``uniform`` as a long; the order is the same."""
     key = F.col(key) if isinstance(key, str) else key
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{tag}|{seed}")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def uniform(key: Column | str, tag: str, seed: int = SEED) -> Column:
+    return hash32(key, tag, seed).cast("double") / F.lit(TWO_POW_32)
 
 
 def uniform_sql(key_sql: str, tag: str, seed: int = SEED) -> str:

@@ -24,7 +24,12 @@ CATEGORY_BY_PART_TYPE = {
 PAYMENT_BY_PRIORITY = {"1": "COD", "2": "COD", "3": "Prepaid_Card", "4": "Prepaid_UPI", "5": "Wallet"}
 # Clamp bounds.
 TENURE_MIN, TENURE_MAX = 1, 2500
+DISCOUNT_MIN, DISCOUNT_MAX = 0.0, 75.0
+DISTANCE_MAX = 2200.0
+DELIVERY_DAYS_MIN, DELIVERY_DAYS_MAX = 1, 21
 DELIVERY_DAYS_MOD = 21
+# An order without lines: its price, discount, category and delivery days (the stated defaults of an order).
+NO_LINES_PRICE, NO_LINES_DISCOUNT, NO_LINES_CATEGORY, NO_LINES_DAYS = 1500.0, 20.0, "Apparel", 4
 DISTANCE_MIN, DISTANCE_SPAN = 2.0, 2198.0
 # Rating missingness rate: COD and everything else.
 MISSING_RATE_COD, MISSING_RATE_OTHER = 0.22, 0.06

@@ -43,26 +43,33 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders joined with their line aggregates and top part: the per-order columns."""
+    """All orders with their line aggregates and top part: the per-order columns.
+
+    An order without lines stays, with the stated defaults of an order and as not returned.
+    """
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
     lines = order_lines(spark, sf_dir)
-    j = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+    j = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
     j = j.join(part, j["top.l_partkey"] == part.p_partkey, "left")
     day = F.to_date("o_orderdate")
+    has_lines = F.col("n_lines").isNotNull()
     payment = R.map_values(F.substring("o_orderpriority", 1, 1), R.PAYMENT_BY_PRIORITY)
     return j.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         day.alias("order_day"),
-        R.map_values(F.substring_index("p_type", " ", 1), R.CATEGORY_BY_PART_TYPE).alias("product_category"),
-        F.round(F.col("top.l_extendedprice"), 0).alias("price_inr"),
-        F.round(F.col("disc_sum") / F.col("n_lines"), 1).alias("discount_pct"),
+        F.when(has_lines, R.map_values(F.substring_index("p_type", " ", 1), R.CATEGORY_BY_PART_TYPE))
+        .otherwise(R.NO_LINES_CATEGORY).alias("product_category"),
+        F.when(has_lines, F.round(F.col("top.l_extendedprice"), 0)).otherwise(R.NO_LINES_PRICE).alias("price_inr"),
+        F.when(has_lines, F.round(R.clamp(F.col("disc_sum") / F.col("n_lines"), R.DISCOUNT_MIN, R.DISCOUNT_MAX), 1))
+        .otherwise(R.NO_LINES_DISCOUNT).alias("discount_pct"),
         payment.alias("payment_method"),
-        (F.col("n_returned_lines") * 2 > F.col("n_lines")).cast("int").alias("lr"),
-        (F.pmod(F.datediff(F.to_date("first_ship"), day), F.lit(R.DELIVERY_DAYS_MOD)) + 1)
-        .cast("int").alias("delivery_days"),
-        F.round(F.lit(R.DISTANCE_MIN) + R.DISTANCE_SPAN * uniform("o_orderkey", "dist"), 1)
+        F.coalesce((F.col("n_returned_lines") * 2 > F.col("n_lines")).cast("int"), F.lit(0)).alias("lr"),
+        F.when(has_lines, R.clamp(F.pmod(F.datediff(F.to_date("first_ship"), day), F.lit(R.DELIVERY_DAYS_MOD)) + 1,
+                                  R.DELIVERY_DAYS_MIN, R.DELIVERY_DAYS_MAX))
+        .otherwise(R.NO_LINES_DAYS).cast("int").alias("delivery_days"),
+        F.round(R.clamp(F.lit(R.DISTANCE_MIN) + R.DISTANCE_SPAN * uniform("o_orderkey", "dist"), R.DISTANCE_MIN, R.DISTANCE_MAX), 1)
         .alias("delivery_distance_km"),
         F.dayofweek(day).isin(1, 7).cast("int").alias("is_weekend_order"),
         F.when(
@@ -123,28 +130,17 @@ def build_order_features(spark: SparkSession, sf_dir: str, num_blocks: int | Non
     return df.select(*FEATURE_COLUMNS, "prob_return", "prev_return_ratio", "customer_id")
 
 
-_MATERIALISED: dict[tuple[str, str], str] = {}
+TABLE_SETTING = "kestrel.orderTable."  # + input folder: where the caller has written its order table
 
 
-def order_features(spark: SparkSession, sf_dir: str, num_blocks: int | None = None,
-                   materialise: bool = True) -> DataFrame:
-    """The order feature table, written once per application as parquet in the shared
-    checkpoint folder and scanned by every later query (pruning and pushdown apply).
+def write_order_features(spark: SparkSession, sf_dir: str, path: str, num_blocks: int | None = None) -> None:
+    """The feature-table step: write the order table of ``sf_dir`` to ``path`` (the caller's, who also removes it)
+    and let this session's queries over ``sf_dir`` read it.  After a change of the sources, write it anew."""
+    build_order_features(spark, sf_dir, num_blocks).write.mode("overwrite").parquet(path)
+    spark.conf.set(TABLE_SETTING + sf_dir, path)
 
-    This is the feature-table step of the workload (the reference also writes its order
-    table once and trains from the file); ``materialise=False`` returns the lazy plan.
-    """
-    if not materialise:
-        return build_order_features(spark, sf_dir, num_blocks)
-    import os
-    import uuid
-
-    from kestrel.session import ensure_checkpoint_dir
-
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    path = _MATERIALISED.get(key)
-    if path is None:
-        path = os.path.join(ensure_checkpoint_dir(spark), f"order_features-{uuid.uuid4().hex}")
-        build_order_features(spark, sf_dir, num_blocks).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = path
-    return spark.read.parquet(path)
+
+def order_features(spark: SparkSession, sf_dir: str, num_blocks: int | None = None) -> DataFrame:
+    """The order table: from where ``write_order_features`` put it in this session, else built from the sources."""
+    path = spark.conf.get(TABLE_SETTING + sf_dir, None)
+    return spark.read.parquet(path) if path else build_order_features(spark, sf_dir, num_blocks)

@@ -54,7 +54,7 @@ class Prepared:
         self.numeric, self.categorical = numeric, categorical
         cast = train.select("*", *[F.col(c).cast("double").alias(f"__{c}") for c in numeric])
         cast = cast.drop(*numeric).withColumnsRenamed({f"__{c}": c for c in numeric})
-        self.medians = P._as_dict(P.exact_medians(cast, numeric), "column", "median")
+        self.medians = P.exact_medians(cast, numeric)
         self.modes = P._as_dict(P.modes(train, categorical), "column", "mode")
         imputed = P.impute(cast, self.medians)
         self.scaling = P.scaling_stats(imputed, numeric)

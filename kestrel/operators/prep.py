@@ -7,6 +7,7 @@ fitting on train and applying to test is what keeps the preparation leak-free.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -15,103 +16,170 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.hashing import uniform
-from kestrel.operators.scan import running_scan
+from kestrel.functions.hashing import hash32
 
 
-def project(df: DataFrame, feature_cols: Sequence[str], label: str | None = None) -> DataFrame:
-    """Select the ordered feature list (and label)."""
-    return df.select(*feature_cols, *([label] if label else []))
+MAX_CLASSES = 10_000  # the class list is held on the driver; more labels than this are an error
+BOUNDARY_ROWS = 10_000  # rows around a cut that are looked at one by one, for each class or column
 
 
-def _class_quotas(counts: DataFrame, label: str, n_test: Column) -> DataFrame:
-    """Per-class test quota: floor share plus largest remainder (ties to the lower label).
+def _quotas(counts: dict, n_test: int) -> dict:
+    """Test rows of each class: floor share plus largest remainder (ties to the lower label)."""
+    total = sum(counts.values())
+    share = {c: divmod(n_test * n, total) for c, n in counts.items()}
+    left = n_test - sum(base for base, _ in share.values())
+    order = sorted(counts, key=lambda c: (-share[c][1], (c is not None, c)))
+    return {c: share[c][0] + (i < left) for i, c in enumerate(order)}
 
-    ``counts`` has one row per class, so the windows here run over the class list only.
+
+def _is(label: str, value) -> Column:
+    return F.col(label).isNull() if value is None else F.col(label) == F.lit(value)
+
+
+def _cuts(rows: DataFrame, label: str, id_col: str, quotas: dict) -> dict:
+    """The last ``(h, id)`` of each class's first ``quota`` rows, found without sorting the table.
+
+    Rows are counted by class and leading bits of the hash; only the bucket in which a class's quota ends is
+    looked into, with more bits as long as it is large, and at last row by row.  Each pass is one aggregation of
+    narrow rows; what comes to the driver is bounded by classes x 4096 counts and classes x BOUNDARY_ROWS rows.
     """
-    w_all = Window.partitionBy()
-    c = counts.withColumn("_n", F.sum("n_c").over(w_all)).withColumn("_nt", n_test)
-    # n_test * n_c can pass 2^63 at very large n: exact decimal(38,0) integer arithmetic
-    c = c.withColumn("_num", F.col("_nt").cast("decimal(38,0)") * F.col("n_c").cast("decimal(38,0)"))
-    c = c.withColumn("_n", F.col("_n").cast("decimal(38,0)"))
-    c = c.withColumn("_base", F.expr("_num div _n")).withColumn("_rem", F.expr("_num % _n"))
-    c = c.withColumn("_left", F.col("_nt") - F.sum("_base").over(w_all))
-    c = c.withColumn("_rk", F.row_number().over(w_all.orderBy(F.col("_rem").desc(), F.col(label).asc())))
-    return c.select(label, "n_c", (F.col("_base") + (F.col("_rk") <= F.col("_left")).cast("long")).alias("quota"))
+    todo = {c: (0, q) for c, q in quotas.items() if q > 0}  # class: leading bits so far, rows still to take
+    bits, cuts = 0, {}
+    sizes = dict.fromkeys(todo, BOUNDARY_ROWS + 1)
+    while todo and bits < 32 and max(sizes[c] for c in todo) > BOUNDARY_ROWS:
+        step = min(12, 32 - bits)
+        inside = None
+        for c, (lead, _) in todo.items():
+            cond = _is(label, c) & (F.shiftright("h", 32 - bits) == lead) if bits else _is(label, c)
+            inside = cond if inside is None else inside | cond
+        bits += step
+        found: dict = {}
+        for r in rows.where(inside).groupBy(label, F.shiftright("h", 32 - bits).alias("lead")).count().collect():
+            found.setdefault(r[0], []).append((r[1], r[2]))
+        for c, (_, need) in list(todo.items()):
+            for lead, n in sorted(found[c]):
+                if need <= n:
+                    todo[c], sizes[c] = (lead, need), n
+                    break
+                need -= n
+    for c, (lead, need) in todo.items():
+        # the bucket is small by now (or all of one hash), so taking its first rows is a bounded top-k
+        first = rows.where(_is(label, c) & (F.shiftright("h", 32 - bits) == lead)).select("h", id_col).orderBy("h", id_col).limit(need)
+        cuts[c] = tuple(first.agg(F.max(F.struct("h", id_col))).first()[0])
+    return cuts
 
 
 def stratified_split(
     df: DataFrame, label: str, id_col: str, test_size: float | int = 0.2, seed: int = 42,
     min_test: int | None = None, names: tuple[str, str] = ("train", "test"), tag: str = "split",
-    num_blocks: int | None = None,
 ) -> DataFrame:
     """Add a ``split`` column with an exact stratified test share.
 
-    ``test_size`` is a fraction (test rows = ceil(fraction * n)) or an absolute row count.
-    Rows are ranked within their class by a seeded hash of the id; the first ``quota`` of
-    each class go to test.  The per-class rank is a ``running_scan`` keyed by the label,
-    so a class holding most rows is still split across tasks.  ``min_test`` raises if
-    the test share would be smaller (the reference's size assertion).
+    ``test_size`` is a fraction (test rows = ceil(fraction * n)) or an absolute row count.  The rows of a class
+    that are first by a seeded hash of the (unique) id go to test.  The cut of each class is found by counting
+    (``_cuts``), so the table itself is neither moved nor written: the result is a projection of ``df``.
+    ``min_test`` raises if the test share would be smaller (the reference's size assertion).
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    if isinstance(test_size, float):
-        n_test = F.ceil(F.round(F.lit(test_size) * F.sum("n_c").over(Window.partitionBy()), 9)).cast("long")
-    else:
-        n_test = F.lit(int(test_size)).cast("long")
-    quotas = _class_quotas(counts, label, n_test)
-    if min_test is not None:
-        total = quotas.agg(F.sum("quota")).first()[0] or 0
-        if total < min_test:
-            raise ValueError(f"split too small: {total} < {min_test}")
-    ranked = running_scan(
-        df.withColumn("_u", uniform(id_col, tag, seed)), [label], ["_u", id_col], {"_pos": ("count", None)},
-        num_blocks,
-    )
-    # quotas has one row per class: a broadcast bounded by the number of classes
-    out = ranked.join(F.broadcast(quotas.select(label, "quota")), label, "left")
-    return out.withColumn("split", F.when(F.col("_pos") < F.col("quota"), F.lit(names[1])).otherwise(F.lit(names[0]))) \
-        .drop("_u", "_pos", "quota")
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
+    n = sum(counts.values())
+    n_test = math.ceil(round(test_size * n, 9)) if isinstance(test_size, float) else min(int(test_size), n)
+    if min_test is not None and n_test < min_test:
+        raise ValueError(f"split too small: {n_test} < {min_test}")
+    if not counts:
+        return df.withColumn("split", F.lit(names[0]))
+    h = hash32(id_col, tag, seed)
+    cuts = _cuts(df.select(label, id_col, h.alias("h")), label, id_col, _quotas(counts, n_test))
+    test = F.lit(False)
+    for c, (cut, last) in cuts.items():
+        test = F.when(_is(label, c), (h < cut) | ((h == cut) & (F.col(id_col) <= F.lit(last)))).otherwise(test)
+    return df.withColumn("split", F.when(test, F.lit(names[1])).otherwise(F.lit(names[0])))
 
 
 def kfold_assign(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42,
-                 num_blocks: int | None = None) -> DataFrame:
-    """P10: stratified, shuffled fold numbers 0..k-1 (position within class mod k)."""
-    ranked = running_scan(
-        df.withColumn("_u", uniform(id_col, "fold", seed)), [label], ["_u", id_col], {"_pos": ("count", None)},
-        num_blocks,
-    )
-    return ranked.withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_u", "_pos")
-
-
-def exact_medians(df: DataFrame, cols: Sequence[str], num_blocks: int | None = None,
-                  approximate: bool = False, accuracy: int = 10000) -> DataFrame:
-    """P4 fit: the interpolated median of each column, ignoring nulls (one row per column).
-
-    Long form ``(column, value)`` -> counts per distinct value -> running count per column
-    (a ``running_scan``) -> the values at the two middle ranks, averaged.  Exact, and no task
-    ever holds all distinct values of a column.  ``approximate=True`` uses
-    ``percentile_approx`` (one pass, bounded sketch, rank error about 1/accuracy) instead.
+                 rows_per_bucket: int = 50_000) -> DataFrame:
+    """P10: stratified, shuffled fold numbers 0..k-1 (position within class mod k).
+
+    A row's position is the number of rows in the buckets before its own (a bucket is a class and the leading
+    bits of the hash; at most classes x 2**20 counts) plus its rank in the bucket, so one shuffle of the given
+    rows by bucket does and a class of most rows is spread over its buckets.
     """
-    if approximate:
-        return df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-        ])).alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull()) \
-            .groupBy("column").agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull())
-    per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    scanned = running_scan(per_value, ["column"], ["value"], {"rows_below": ("sum", "cnt")}, num_blocks)
-    totals = per_value.groupBy("column").agg(F.sum("cnt").alias("n"))
-    # totals has one row per feature column: a broadcast bounded by the column list
-    j = scanned.join(F.broadcast(totals), "column")
-    lo_rank = F.floor((F.col("n") - 1) / 2)
-    hi_rank = F.ceil((F.col("n") - 1) / 2)
-    covers = lambda r: (F.col("rows_below") <= r) & (r < F.col("rows_below") + F.col("cnt"))
-    return j.groupBy("column").agg(
-        ((F.max(F.when(covers(lo_rank), F.col("value"))) + F.max(F.when(covers(hi_rank), F.col("value")))) / 2)
-        .alias("median")
-    )
+    n = df.count()
+    bits = min(20, max(0, math.ceil(math.log2(max(1, n / rows_per_bucket)))))
+    rows = df.withColumns({"_h": hash32(id_col, "fold", seed)}).withColumn("_lead", F.shiftright("_h", 32 - bits) if bits else F.lit(0).cast("long"))
+    counts = rows.groupBy(label, "_lead").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(label).alias("_label"), F.col("_lead").alias("_l"), F.coalesce(F.sum("_n").over(
+        Window.partitionBy(label).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(label, "_lead").orderBy("_h", id_col)) - 1
+    ranked = rows.withColumn("_rank", rank)
+    if bits <= 12:
+        before = F.broadcast(before)  # classes x 4096 rows at most
+    out = ranked.join(before, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_lead") == F.col("_l")))
+    return out.withColumn("fold", F.pmod(F.col("_before") + F.col("_rank"), F.lit(k)).cast("int")).select(*df.columns, "fold")
+
+
+def _halfway(n: int) -> tuple[int, int]:
+    return (n - 1) // 2, n // 2
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """P4 fit: the interpolated median of each column, ignoring nulls.
+
+    Passes over the table narrow all columns' ranges at once: quantile sketches just below and above the middle
+    bound the median, the rows below are counted exactly, until at most BOUNDARY_ROWS rows of a column are
+    left in its range, whose distinct values and counts decide.  No row is copied and nothing is sorted.
+    """
+    value = {c: F.col(c).cast("double") for c in cols}
+    row = df.agg(*[e for i, c in enumerate(cols) for e in (F.count(value[c]).alias(f"n{i}"), F.min(value[c]).alias(f"lo{i}"), F.max(value[c]).alias(f"hi{i}"))]).first()
+    # column: (low, high, rows below low, rows in the range, rows in all)
+    state = {c: (row[f"lo{i}"], row[f"hi{i}"], 0, row[f"n{i}"], row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
+
+    def large(c):
+        lo, hi, _, inside, _ = state[c]
+        return inside > BOUNDARY_ROWS and lo < hi
+
+    while any(map(large, state)):
+        todo = [c for c in state if large(c)]
+        asked = []
+        for i, c in enumerate(todo):
+            lo, hi, below, inside, n = state[c]
+            a, b = _halfway(n)
+            shares = [max(0.0, (a - below) / inside - 0.002), min(1.0, (b - below + 1) / inside + 0.002)]
+            asked.append(F.percentile_approx(F.when(value[c].between(lo, hi), value[c]), shares, 2000).alias(f"q{i}"))
+        bounds = df.agg(*asked).first()
+        counts = []
+        for i, c in enumerate(todo):
+            lo, hi = bounds[f"q{i}"]
+            counts += [F.count(F.when(value[c] < lo, 1)).alias(f"b{i}"), F.count(F.when(value[c].between(lo, hi), 1)).alias(f"i{i}")]
+        row = df.agg(*counts).first()
+        for i, c in enumerate(todo):
+            (lo, hi), (_, _, _, before, n) = bounds[f"q{i}"], state[c]
+            below, inside = row[f"b{i}"], row[f"i{i}"]
+            a, b = _halfway(n)
+            if not below <= a <= b < below + inside or inside == before:  # a sketch that missed, or no progress
+                raise ArithmeticError(f"the median of {c} is not within its sketched bounds")
+            state[c] = (lo, hi, below, inside, n)
+    inside = [F.struct(F.lit(c).alias("column"), F.when(value[c].between(lo, hi), value[c]).alias("value"))
+              for c, (lo, hi, _, _, _) in state.items()]
+    if not inside:
+        return {c: None for c in cols}
+    near = df.select(F.explode(F.filter(F.array(*inside), lambda x: x["value"].isNotNull())).alias("x"))
+    values: dict = {}
+    for r in near.groupBy("x.column", "x.value").count().collect():
+        values.setdefault(r[0], []).append((r[1], r[2]))
+    out = dict.fromkeys(cols)
+    for c, (_, _, below, _, n) in state.items():
+        middle = []
+        for rank in _halfway(n):
+            at = below
+            for v, k in sorted(values[c]):
+                at += k
+                if rank < at:
+                    middle.append(v)
+                    break
+        out[c] = (middle[0] + middle[1]) / 2
+    return out
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -43,18 +43,20 @@ lines AS (
   FROM lineitem GROUP BY l_orderkey),
 base AS (
   SELECT o.o_orderkey AS order_id, o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS order_day,
-         {_case("split_part(p.p_type, ' ', 1)", R.CATEGORY_BY_PART_TYPE)} AS product_category,
-         round(l.top.p, 0) AS price_inr,
-         round(CAST(l.disc_sum AS DOUBLE) / l.n_lines, 1) AS discount_pct,
+         CASE WHEN l.n_lines IS NULL THEN '{R.NO_LINES_CATEGORY}' ELSE {_case("split_part(p.p_type, ' ', 1)", R.CATEGORY_BY_PART_TYPE)} END AS product_category,
+         CASE WHEN l.n_lines IS NULL THEN {R.NO_LINES_PRICE} ELSE round(l.top.p, 0) END AS price_inr,
+         CASE WHEN l.n_lines IS NULL THEN {R.NO_LINES_DISCOUNT}
+              ELSE round(least(greatest(CAST(l.disc_sum AS DOUBLE) / l.n_lines, {R.DISCOUNT_MIN}), {R.DISCOUNT_MAX}), 1) END AS discount_pct,
          {pay} AS payment_method,
          CASE WHEN l.n_r * 2 > l.n_lines THEN 1 ELSE 0 END AS lr,
-         CAST((((datediff('day', CAST(o.o_orderdate AS DATE), CAST(l.first_ship AS DATE)) % 21) + 21) % 21) + 1 AS INTEGER) AS delivery_days,
-         round({R.DISTANCE_MIN} + {R.DISTANCE_SPAN} * {u('dist')}, 1) AS delivery_distance_km,
+         CASE WHEN l.n_lines IS NULL THEN {R.NO_LINES_DAYS}
+              ELSE CAST((((datediff('day', CAST(o.o_orderdate AS DATE), CAST(l.first_ship AS DATE)) % 21) + 21) % 21) + 1 AS INTEGER) END AS delivery_days,
+         round(least({R.DISTANCE_MIN} + {R.DISTANCE_SPAN} * {u('dist')}, {R.DISTANCE_MAX}), 1) AS delivery_distance_km,
          CASE WHEN isodow(o.o_orderdate) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend_order,
          CASE WHEN {u('miss')} < (CASE WHEN {pay} = 'COD' THEN {R.MISSING_RATE_COD} ELSE {R.MISSING_RATE_OTHER} END)
               THEN NULL ELSE CAST(floor(5 * {u('rate')}) + 1 AS DOUBLE) END AS rating_given,
          {u('ret')} AS u_ret
-  FROM orders o JOIN lines l ON o.o_orderkey = l.l_orderkey
+  FROM orders o LEFT JOIN lines l ON o.o_orderkey = l.l_orderkey
   LEFT JOIN part p ON l.top.k = p.p_partkey),
 hist AS (
   SELECT *,

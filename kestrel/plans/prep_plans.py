@@ -43,7 +43,9 @@ _MED_SQL = " UNION ALL ".join(
 @register("impute_median", with_orders(split_sql() + " " + _MED_SQL))
 def q_impute_median(spark, sf_dir):
     train = split_orders(spark, sf_dir).where("split = 'train'")
-    return P.exact_medians(train, NUMERIC_FEATURES).select("column", F.round("median", 6).alias("median"))
+    medians = P.exact_medians(train, NUMERIC_FEATURES)
+    out = spark.createDataFrame(list(medians.items()), "column string, median double")
+    return out.select("column", F.round("median", 6).alias("median"))
 
 
 @register("impute_mode", with_orders(split_sql() + " " + " UNION ALL ".join(
@@ -71,7 +73,7 @@ def q_standard_scale(spark, sf_dir):
     df = split_orders(spark, sf_dir)
     df = df.select("order_id", "split", *[F.col(c).cast("double").alias(c) for c in NUMERIC_FEATURES])
     train = df.where("split = 'train'")
-    meds = P._as_dict(P.exact_medians(train, NUMERIC_FEATURES), "column", "median")
+    meds = P.exact_medians(train, NUMERIC_FEATURES)
     df = P.impute(df, meds)
     stats = P.scaling_stats(df.where("split = 'train'"), NUMERIC_FEATURES)
     out = P.standard_scale(df, stats)
@@ -104,7 +106,7 @@ def q_class_weights(spark, sf_dir):
           "FROM train"))
 def q_kfold_assign(spark, sf_dir):
     train = split_orders(spark, sf_dir).where("split = 'train'")
-    return P.kfold_assign(train, "returned", "order_id", 5).select("order_id", "returned", "fold")
+    return P.kfold_assign(train.select("order_id", "returned"), "returned", "order_id", 5)
 
 
 @register("baseline_majority", with_orders(split_sql() + ", maj AS (SELECT returned AS m FROM train GROUP BY returned "

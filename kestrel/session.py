@@ -2,19 +2,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kestrel") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kestrel",
+                  shared: str | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench expect.
 
     On a cluster, callers build their own session; nothing in the library depends on
-    these settings except that ``spark.checkpoint.dir`` may be read (see below).
+    these settings except that ``spark.checkpoint.dir`` is read (see below); ``shared`` is that
+    folder here.
     """
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -36,25 +39,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, as named by the session's ``spark.checkpoint.dir``.
+    """The shared folder for intermediate data, as the session's ``spark.checkpoint.dir`` names it.
 
-    Lookup order: the folder already set on this context, then ``spark.checkpoint.dir`` from
-    the session/context configuration (a cluster names a shared folder there), and only when
-    both are absent (local tests) a fresh local temporary folder.  The session configuration
-    itself is never modified.
+    On a cluster the setting is required: an error is raised where it is missing, since a folder of
+    one machine would be lost to the others.  A session on one machine (``local[n]``) that sets none
+    gets a folder below its warehouse.  The session configuration itself is never modified.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        try:
-            path = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - not set anywhere
-            path = None
-    if not path:
-        path = tempfile.mkdtemp(prefix="kestrel-ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 

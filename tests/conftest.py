@@ -11,10 +11,12 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    from kestrel.operators.features import write_order_features
     from kestrel.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="kestrel-tests")
+    s = local_session(cores="*", shuffle_partitions=8, app="kestrel-tests", shared=str(tmp_path_factory.mktemp("shared")))
+    write_order_features(s, SF01, str(tmp_path_factory.mktemp("orders") / "sf0.01"))
     yield s
     s.stop()
 
