@@ -258,7 +258,7 @@ def merge_many(data: np.ndarray, first: np.ndarray, length: np.ndarray, model: M
 class Encoder:
     """Encodes lists of texts; the slices met so far in the task are cached."""
 
-    CACHE = 1 << 20  # slices kept; a full cache is emptied (the results stay the same)
+    CACHE = 1 << 19  # slices kept; a full cache is emptied (the results stay the same)
 
     def __init__(self, model: Model):
         self.model, self.powers = model, model.powers

@@ -144,7 +144,7 @@ class Model:
 class Reader:
     """Predicts lists of texts; the scores of words met before in the worker are cached."""
 
-    CACHE = 1 << 20
+    CACHE = 1 << 18
 
     def __init__(self, model: Model):
         self.model = model

@@ -10,7 +10,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 BASE = (0x9E3779B97F4A7C15 | 5) & 0xFFFFFFFFFFFFFFFF  # odd, so it has an inverse modulo 2**64
 BASE_INV = pow(BASE, -1, 1 << 64)
 

@@ -128,7 +128,7 @@ class Model:
 class Counter:
     """Counts lists of texts; terminal counts of pre-tokens met before in the worker are kept."""
 
-    CACHE = 1 << 20
+    CACHE = 1 << 18
 
     def __init__(self, model: Model):
         self.model = model
