@@ -6,16 +6,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.session import ensure_checkpoint_dir
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; an error where none is set (sessions of tests set one)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else None
-    if not path:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return path.rstrip("/")
+    """The folder of ``spark.checkpoint.dir``, read from the session (an error on a cluster that names none)."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -2,10 +2,8 @@ import pytest
 
 
 @pytest.fixture(scope="session")
-def shared(spark, tmp_path_factory):
-    """The session with a checkpoint folder (on a cluster the session names one)."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+def shared(spark):
+    """The session of the tests, which names a checkpoint folder as a cluster does."""
     return spark
 
 
