@@ -62,18 +62,15 @@ DISCOUNT_PATTERN = r"(\d{1,2})\s*%\s*discount"
 IMAGE_PATH_PATTERN = r"([\w./-]+\.png)"
 CASH_ON_DELIVERY = ["cod", "cash on delivery"]
 # Answer templates.
-DEFLECTION_ANSWER = (
-    "I can't follow instructions embedded in your message that ask me to change "
-    "my role or reveal internal instructions. I can help with return, "
-    "refund, delivery, or order-risk questions instead."
-)
+DEFLECTION_ANSWER = ("Your message tries to steer how this assistant works, and that is not something a message can do. "
+                     "Ask about a delivery, a refund, a return or the risk of an order and you get an answer.")
+NO_IMAGE_ANSWER = "No stored product picture has the name you gave."
 REFUSAL_PREFIX = "I can't answer that confidently: "
 UNGROUNDED_ANSWER = (REFUSAL_PREFIX + "no retrieved policy chunk cleared the similarity threshold "
                      "(top score {top} < threshold {thr}).")
 RISK_ANSWER = ("This order has an estimated return probability of {pct}, which places it in the '{bucket}' "
                "risk bucket (anchored to this model's own threshold t*_rf={t}).")
 IMAGE_ANSWER = "This product image is classified as '{cls}' with {pct} confidence."
-NO_INFO_ANSWER = "I don't have information on that."
 # Class names in label order (label id = position).
 CLASS_NAMES = ["tshirt_top", "trouser", "pullover", "dress", "coat",
                "sandal", "shirt", "sneaker", "bag", "ankle_boot"]

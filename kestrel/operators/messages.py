@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +75,20 @@ def score_features(f: Column) -> Column:
 
 
 # ------------------------------------------------------------------ M9 with a fixed scorer
-def class_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> list[list[float]]:
-    """Mean vector per class: the fitted parameters of a nearest-centroid scorer.
+def class_means(vectors: DataFrame, n_classes: int, label: str = "label", vec: str = "embedding") -> DataFrame:
+    """``label`` and its mean vector: one aggregation of vectors (no row per element).
 
-    Classes x dimensions numbers (small by construction), averaged position-wise in Spark.
+    Any label outside 0 .. n_classes - 1 is an error, not a row left out.
     """
-    pos = vectors.select(label, F.posexplode(vec).alias("pos", "x"))
-    means = pos.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    rows = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).collect()
-    by_label = {r[label]: [x["m"] for x in r["c"]] for r in rows}
+    known = F.col(label).between(0, n_classes - 1)
+    checked = F.when(known, F.col(label)).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int"))
+    rows = vectors.select(checked.alias(label), array_to_vector(F.col(vec)).alias("_v"))
+    return rows.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(label, vector_to_array("_m").alias(vec))
+
+
+def class_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> list[list[float]]:
+    """The class means in label order (None for a class without rows): classes x dimensions numbers."""
+    by_label = {r[0]: list(r[1]) for r in class_means(vectors, len(T.CLASS_NAMES), label, vec).collect()}
     return [by_label.get(i) for i in range(len(T.CLASS_NAMES))]
 
 
@@ -134,7 +141,8 @@ def compose_answer(df: DataFrame, t_star: float) -> DataFrame:
     p = F.round(F.col("risk_p"), 4)
     bucket = risk_bucket_col(F.col("risk_p"), F.lit(float(t_star)))
     risk_text = T.render(T.RISK_ANSWER, pct=T.percent0(p), bucket=bucket, t=F.lit(repr(float(t_star))))
-    image_text = T.render(T.IMAGE_ANSWER, cls=F.col("predicted_class"), pct=T.percent0(F.col("confidence")))
+    image_text = F.coalesce(T.render(T.IMAGE_ANSWER, cls=F.col("predicted_class"), pct=T.percent0(F.col("confidence"))),
+                            F.lit(T.NO_IMAGE_ANSWER))
     answer = (F.when(F.col("route") == "deflect", F.lit(T.DEFLECTION_ANSWER))
               .when((F.col("intent") == T.POLICY) & grounded, policy_text)
               .when(F.col("intent") == T.POLICY, refusal)
@@ -148,6 +156,6 @@ def compose_answer(df: DataFrame, t_star: float) -> DataFrame:
             .when((F.col("intent") == T.POLICY) & grounded, F.round(top, 4))
             .when(F.col("intent") == T.POLICY, F.lit(0.0))
             .when(F.col("intent") == T.RISK, p)
-            .when(F.col("intent") == T.IMAGE, F.round(F.col("confidence"), 4)))
+            .when(F.col("intent") == T.IMAGE, F.coalesce(F.round(F.col("confidence"), 4), F.lit(0.0))))
     return df.withColumns({"risk_bucket": F.when(F.col("intent") == T.RISK, bucket),
                            "answer": answer, "source": source, "answer_confidence": conf})

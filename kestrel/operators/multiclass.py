@@ -20,6 +20,9 @@ def accuracy(pred: DataFrame, true: str = "y_true", predicted: str = "y_pred") -
 def confusion_long(pred: DataFrame, n_classes: int, true: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     """(true, pred, n) for every cell of the n x n grid, zero cells included."""
     spark = pred.sparkSession
+    inside = F.col(true).between(0, n_classes - 1) & F.col(predicted).between(0, n_classes - 1)
+    known = F.when(inside, F.col(true)).otherwise(F.raise_error(F.lit("a label outside the classes")).cast("int"))
+    pred = pred.withColumn(true, known)  # an unknown label is an error, not a row left out
     counts = pred.groupBy(F.col(true).cast("int").alias("y_true"), F.col(predicted).cast("int").alias("y_pred")) \
         .agg(F.count(F.lit(1)).alias("n"))
     grid = spark.range(n_classes * n_classes).select((F.col("id") / n_classes).cast("int").alias("y_true"),

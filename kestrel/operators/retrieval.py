@@ -1,28 +1,32 @@
-"""Chunking, embedding, exact top-k vector search and retrieval evaluation.
-
-Exact top-k is inner product on unit vectors (= cosine).  The query set is broadcast only
-when its size is checked to be under a bound; each corpus partition is scored in Arrow
-batches with one numpy matrix product per batch and keeps a running top-k per query, so
-the only rows that leave a task are ``k`` candidates per query.  Above the bound, queries
-and corpus are cut into blocks and scored block against block in a cogroup (each block
-pair meets in exactly one task), so no side is ever broadcast whole.
+"""Chunking, sparse text scores, exact top-k vector search and retrieval evaluation.
+
+Both searches compare a *bounded* side with a table of any size in one pass: the answer key or the knowledge
+base for texts, one vector per class for vectors.  The bounded side is broadcast (its size is checked and an
+error beyond it); nothing compares a table with itself.
+
+Texts are scored sparsely in the JVM: a query's terms weigh their inverse document frequency, a chunk's terms
+their count, and both sides are brought to unit length, so a score is a cosine between 0 and 1.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Splitting rule of the sentence splitter: after . ! ? and whitespace, before an ASCII capital.
-SENTENCE_BOUNDARY = r"(?<=[.!?])\s+(?=[A-Z])"
+# FIXED VALUES
+# Splitting rule of the sentence splitter: after . ! ? and white space (of Unicode), before an ASCII capital.
+SENTENCE_BOUNDARY = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 # Groundedness: the top retrieved score must reach this for a policy answer.
 GROUNDEDNESS_THRESHOLD = 0.45
 TOP_K = 3
 
+OUTER_SPACE = r"(?U)^\s+|\s+$"
+TERM = r"[\p{L}\p{N}]+"
+MAX_QUERIES = 4096  # vectors of the bounded side
 CANDIDATE_SCHEMA = "query_id long, cand_id long, cand_doc string, score double"
 
 
@@ -34,8 +38,8 @@ def sentence_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``chunk_id`` is ``<doc_id>-<index>`` with a two-digit index counted after dropping
     empty pieces.  Pure column expressions: split, transform, filter, posexplode.
     """
-    stripped = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
-    parts = F.filter(F.transform(F.split(stripped, SENTENCE_BOUNDARY), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")),
+    stripped = F.regexp_replace(F.col(text), OUTER_SPACE, "")
+    parts = F.filter(F.transform(F.split(stripped, SENTENCE_BOUNDARY), lambda s: F.regexp_replace(s, OUTER_SPACE, "")),
                      lambda s: s != "")
     cols = [F.col(doc_id).alias("doc_id")] + ([F.col(title).alias("doc_title")] if title else [])
     out = docs.select(*cols, F.posexplode(parts).alias("idx", "text"))
@@ -45,32 +49,75 @@ def sentence_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-# ------------------------------------------------------------------ R3: embeddings
-def text_embedder(chunks: DataFrame, text: str = "text", num_features: int = 512):
-    """R3 for raw text: lower-cased word tokens -> hashed term frequencies -> IDF -> L2 unit.
+# ------------------------------------------------------------------ R3: sparse text vectors
+def terms(text: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
 
-    Returns a fitted PipelineModel whose ``transform`` adds ``_vec``; ``embed_text`` turns
-    that into a dense ``embedding`` array<float> (unit length, so inner product is cosine)
-    of fixed width ``num_features``, the shape ``topk_inner_product`` searches.  The IDF is
-    fitted on the corpus passed in (one tree aggregate of a ``num_features`` vector).
+def term_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """``keys``, ``term``, its count ``tf`` and the row's vector length ``norm`` (square root of summed squares).
+
+    Counted inside each row (sorted terms, run lengths), so rows stay in their task; ``keys`` may repeat.
     """
-    from pyspark.ml import Pipeline
+    sorted_terms = F.array_sort(terms(F.col(text)))
+    numbered = F.transform(sorted_terms, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    # transform(array(x), f)[0] names a value, so that it is computed once
+    runs = F.transform(F.array(numbered), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["t"] != x["t"])))[0]
+    counts = F.transform(F.array(runs), lambda r: F.transform(r, lambda x, i: F.struct(
+        x["t"].alias("term"), (F.coalesce(F.get(r, i + 1)["i"], F.size("_terms")) - x["i"]).cast("double").alias("tf"))))[0]
+    out = df.withColumn("_terms", sorted_terms).withColumn("_counts", counts)
+    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]))
+    return out.withColumn("norm", norm).select(*keys, "norm", F.explode("_counts").alias("x")).select(*keys, "x.term", "x.tf", "norm")
 
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0),
-    ]
-    return Pipeline(stages=stages).fit(chunks)
 
+def inverse_frequency(df: Column, n: Column | int) -> Column:
+    return F.log((1 + F.lit(n) if isinstance(n, int) else 1 + n) / (1 + df)) + 1
 
-def embed_text(model, df: DataFrame) -> DataFrame:
-    """Apply a fitted ``text_embedder`` and expose the dense unit vector as ``embedding``."""
-    from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df)
-    return out.withColumn("embedding", vector_to_array(F.col("_vec"), "float32")).drop("_tf", "_tfidf", "_vec")
+def scores_of_bounded_queries(chunk_terms: DataFrame, chunk_key: str, queries: Sequence[tuple[int, str]], spark) -> DataFrame:
+    """(query_id, ``chunk_key``, score) of every chunk that shares a term with a query of the fixed list ``queries``.
+
+    One pass counts how many chunks hold each query term; the weighted query terms are broadcast (bounded by
+    the list), and only chunk terms that occur in it go on.
+    """
+    own = spark.createDataFrame([(i, t) for i, t in queries], "query_id long, text string")
+    query_terms = term_counts(own, ["query_id"]).drop("norm")
+    listed = [r[0] for r in query_terms.select("term").distinct().collect()]
+    n = chunk_terms.select(chunk_key).distinct().count()
+    df = chunk_terms.where(F.col("term").isin(listed)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = query_terms.join(df, "term", "left").withColumn(
+        "w", F.col("tf") * inverse_frequency(F.coalesce("df", F.lit(0)), n)).select("query_id", "term", "w")
+    length = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+    weighted = weighted.join(length, "query_id").select("query_id", "term", (F.col("w") / F.col("qn")).alias("w"))
+    shared = chunk_terms.join(F.broadcast(weighted), "term")
+    return shared.groupBy("query_id", chunk_key).agg(F.round(F.sum(F.col("w") * F.col("tf") / F.col("norm")), 9).alias("score"))
+
+
+def scores_against_fixed_chunks(messages: DataFrame, key: Sequence[str], chunks: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """(``key``, chunk_id, doc_id, chunk_text, score) of every message and chunk of the fixed list that share a term."""
+    spark = messages.sparkSession
+    base = spark.createDataFrame(list(chunks), "chunk_id string, doc_id string, title string, chunk_text string")
+    base_terms = term_counts(base, ["chunk_id", "doc_id", "chunk_text"], "chunk_text")
+    df = {r[0]: r[1] for r in base_terms.groupBy("term").count().collect()}  # terms of the fixed list
+    n = len(chunks)
+    weight = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    table = spark.createDataFrame(list(weight.items()), "term string, idf double")
+    unseen = math.log(1 + n) + 1
+    own = term_counts(messages, key).drop("norm").join(F.broadcast(table), "term", "left")
+    own = own.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    length = own.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+    held = own.where("idf is not null").select(*key, "term", "w").join(
+        F.broadcast(base_terms.select("chunk_id", "doc_id", "chunk_text", "term", F.col("tf").alias("ctf"), F.col("norm").alias("cn"))), "term")
+    summed = held.groupBy(*key, "chunk_id", "doc_id", "chunk_text").agg(F.sum(F.col("w") * F.col("ctf") / F.col("cn")).alias("dot"))
+    return summed.join(length, list(key)).select(*key, "chunk_id", "doc_id", "chunk_text", F.round(F.col("dot") / F.col("qn"), 9).alias("score"))
+
+
+def best(scored: DataFrame, key: Sequence[str], candidate: str, k: int = TOP_K) -> DataFrame:
+    """The ``k`` best candidates of each key with their ``rank`` (equal scores: the smaller candidate); every task
+    keeps ``k`` rows of a key at most before the rows of a key meet."""
+    w = Window.partitionBy(*key).orderBy(F.col("score").desc(), F.col(candidate).asc())
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def unit_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -87,110 +134,52 @@ def vector_norms(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 # ------------------------------------------------------------------ R4: exact top-k
-def _merge_topk(best_s, best_i, best_d, s, ids, docs, k):
-    """Merge candidate block (s: n x q scores) into running (k x q) best lists.
-
-    Order: score descending, then candidate id ascending.
-    """
-    all_s = np.vstack([best_s, s])
-    all_i = np.vstack([best_i, np.broadcast_to(ids[:, None], s.shape)])
-    all_d = np.vstack([best_d, np.broadcast_to(docs[:, None], s.shape)])
-    order = np.lexsort((all_i, -all_s), axis=0)[:k]
-    cols = np.arange(all_s.shape[1])[None, :]
-    return all_s[order, cols], all_i[order, cols], all_d[order, cols]
+ROWS_AT_ONCE = 4096  # corpus rows scored at a time: a block of scores has at most ROWS_AT_ONCE x MAX_QUERIES numbers
 
 
 def _score_partition(batches: Iterator[pd.DataFrame], q_ids: np.ndarray, q_mat: np.ndarray, k: int,
                      exclude_self: bool) -> Iterator[pd.DataFrame]:
-    nq = len(q_ids)
-    best_s = np.full((0, nq), -np.inf)
-    best_i = np.zeros((0, nq), dtype=np.int64)
-    best_d = np.empty((0, nq), dtype=object)
+    """The k best rows of this task for each query: score descending, then id ascending."""
+    best_rows: list[list[tuple]] = [[] for _ in q_ids]  # (-score, id, document)
     for pdf in batches:
-        if pdf.empty or nq == 0:
-            continue
-        mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        ids = pdf["id"].to_numpy(dtype=np.int64)
-        docs = pdf["doc"].astype(str).to_numpy(dtype=object)
-        s = mat @ q_mat.T
-        if exclude_self:
-            s = np.where(ids[:, None] == q_ids[None, :], -np.inf, s)
-        best_s, best_i, best_d = _merge_topk(best_s, best_i, best_d, s, ids, docs, k)
-    if best_s.shape[0] == 0:
-        return
-    keep = np.isfinite(best_s)
-    qq = np.broadcast_to(q_ids[None, :], best_s.shape)
-    yield pd.DataFrame({"query_id": qq[keep], "cand_id": best_i[keep], "cand_doc": best_d[keep],
-                        "score": best_s[keep]})
-
-
-def _final_topk(cands: DataFrame, k: int) -> DataFrame:
-    # at most k candidates per query per task reach this window
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("cand_id").asc())
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, exclude_self: bool = False,
-                       max_broadcast_bytes: int = 64 << 20, blocks: tuple[int, int] | None = None) -> DataFrame:
-    """For every query, the k corpus rows with the largest inner product.
-
-    ``queries``: (query_id long, embedding array<float>); ``corpus``: (id long, doc string,
-    embedding array<float>).  Output (query_id, rank, cand_id, cand_doc, score); fewer than
-    k rows when the corpus is smaller.  ``exclude_self`` skips a candidate whose id equals
-    the query id (leave-one-out search of a table against itself).
-    """
-    spark = queries.sparkSession
-    nq = queries.count()
-    dim = len((queries.select("embedding").first() or [[]])[0] or [])
-    if blocks is None and nq * max(dim, 1) * 8 <= max_broadcast_bytes:
-        # checked size: the whole query matrix is at most max_broadcast_bytes
-        rows = queries.select("query_id", "embedding").collect()
-        q_ids = np.array([r[0] for r in rows], dtype=np.int64)
-        q_mat = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        bq = spark.sparkContext.broadcast((q_ids, q_mat))
-
-        def score(it):
-            ids_, mat_ = bq.value
-            yield from _score_partition(it, ids_, mat_, k, exclude_self)
-
-        cands = corpus.select("id", "doc", "embedding").mapInPandas(score, CANDIDATE_SCHEMA)
-        return _final_topk(cands, k)
-    if blocks is None:
-        blocks = _pick_blocks(nq, corpus.count(), dim, max_broadcast_bytes)
-    return _topk_blocked(queries, corpus, k, exclude_self, blocks)
-
-
-def _pick_blocks(nq: int, nc: int, dim: int, max_bytes: int) -> tuple[int, int]:
-    """Query and corpus block counts so that each side of a block pair is at most max_bytes."""
-    per_row = max(dim, 1) * 8
-    return max(1, -(-nq * per_row // max_bytes)), max(1, -(-nc * per_row // max_bytes))
-
-
-def _topk_blocked(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool,
-                  blocks: tuple[int, int]) -> DataFrame:
-    """Block-against-block scoring for query sets too large to broadcast.
-
-    Queries are hashed into ``qb`` blocks and the corpus into ``cb`` blocks; each query row
-    is copied to the ``cb`` corpus blocks and each corpus row to the ``qb`` query blocks, so
-    every (query block, corpus block) pair meets in one cogroup task.  Copies are bounded by
-    the block counts; emitted rows are k per query per block pair.
+        for at in range(0, len(pdf), ROWS_AT_ONCE):
+            part = pdf.iloc[at:at + ROWS_AT_ONCE]
+            ids = part["id"].to_numpy(dtype=np.int64)
+            docs = part["doc"].to_numpy()
+            scores = np.stack(part["embedding"].to_numpy()).astype(np.float64) @ q_mat.T
+            for j, own in enumerate(q_ids):
+                s = scores[:, j]
+                near = np.arange(len(s))
+                if exclude_self:
+                    near = near[ids != own]
+                if len(near) > k:  # everything from the k-th largest score on, ties included
+                    near = near[s[near] >= np.partition(s[near], len(near) - k)[len(near) - k]]
+                best_rows[j] = sorted([*best_rows[j], *((-s[i], ids[i], docs[i]) for i in near)], key=lambda x: x[:2])[:k]
+    rows = [(int(q), int(i), str(d), float(-s)) for q, found in zip(q_ids, best_rows) for s, i, d in found]
+    yield pd.DataFrame(rows, columns=["query_id", "cand_id", "cand_doc", "score"])
+
+
+def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, exclude_self: bool = False) -> DataFrame:
+    """For every query of a bounded set, the k corpus rows with the largest inner product.
+
+    ``queries``: (query_id long, embedding), at most MAX_QUERIES rows (more are an error); ``corpus``: (id long,
+    doc string, embedding) of any size, scored in one pass.  Output (query_id, rank, cand_id, cand_doc, score);
+    fewer than k rows when the corpus is smaller.  ``exclude_self`` skips a candidate whose id is the query's.
     """
-    qb, cb = blocks
-    q = queries.select("query_id", "embedding").withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))) \
-        .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    c = corpus.select("id", "doc", "embedding").withColumn("_cb", F.pmod(F.xxhash64("id"), F.lit(cb))) \
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-
-    def score(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if cpdf.empty or qpdf.empty:
-            return pd.DataFrame({"query_id": [], "cand_id": [], "cand_doc": [], "score": []})
-        q_ids = qpdf["query_id"].to_numpy(dtype=np.int64)
-        q_mat = np.stack(qpdf["embedding"].to_numpy()).astype(np.float64)
-        out = list(_score_partition(iter([cpdf]), q_ids, q_mat, k, exclude_self))
-        return out[0] if out else pd.DataFrame({"query_id": [], "cand_id": [], "cand_doc": [], "score": []})
-
-    cands = c.groupBy("_qb", "_cb").cogroup(q.groupBy("_qb", "_cb")).applyInPandas(score, CANDIDATE_SCHEMA)
-    return _final_topk(cands, k)
+    rows = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: the query side must be bounded")
+    q_ids = np.array([r[0] for r in rows], dtype=np.int64)
+    q_mat = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    sent = queries.sparkSession.sparkContext.broadcast((q_ids, q_mat))
+
+    def score(it):
+        ids, mat = sent.value
+        if len(ids):
+            yield from _score_partition(it, ids, mat, k, exclude_self)
+
+    found = corpus.select("id", "doc", "embedding").mapInPandas(score, CANDIDATE_SCHEMA)
+    return best(found, ["query_id"], "cand_id", k)
 
 
 # ------------------------------------------------------------------ R5-R8

@@ -84,14 +84,14 @@ def with_orders(body: str) -> str:
     return f"WITH {order_features_cte()},\n{body}"
 
 
-def sweep_cte() -> str:
+def sweep_cte(scores: str = "scored_orders") -> str:
     return f"""grid AS (SELECT CAST({R.SWEEP_LO} + {R.SWEEP_STEP} * i AS DOUBLE) / 100 AS t FROM range(0, {(R.SWEEP_HI - R.SWEEP_LO) // R.SWEEP_STEP + 1}) r(i)),
 sweep_counts AS (
   SELECT g.t,
          sum(CASE WHEN s.score >= g.t AND s.label = 1 THEN 1 ELSE 0 END) AS tp,
          sum(CASE WHEN s.score >= g.t THEN 1 ELSE 0 END) AS pp,
          sum(CASE WHEN s.label = 1 THEN 1 ELSE 0 END) AS p
-  FROM grid g, scored_orders s GROUP BY g.t),
+  FROM grid g, {scores} s GROUP BY g.t),
 sweep AS (
   SELECT round(t, 2) AS threshold,
          CASE WHEN pp + p = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (pp + p) END AS f1,

@@ -8,6 +8,7 @@ from kestrel.operators import evaluate as E
 from kestrel.operators import risk
 from kestrel.operators.features import FEATURE_COLUMNS, order_features
 from kestrel.plans.oracle_orders import sweep_cte, with_orders
+from kestrel.plans.prep_plans import split_sql, test_scores_sql
 from kestrel.plans.registry import register
 
 
@@ -20,8 +21,13 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t_star(spark: SparkSession, sf_dir: str) -> float:
-    """Best-F1 sweep threshold: one scalar from a 41-row result (like reading model metadata)."""
-    best = E.best_threshold(E.threshold_sweep(scored_orders(spark, sf_dir), "label", "score"))
+    """The closed-form score's best-F1 threshold on the test split: one number of a 41-row result.
+
+    The saved forest carries its own threshold in its metadata (``models_plans``)."""
+    from kestrel.plans.prep_plans import split_orders
+
+    test = split_orders(spark, sf_dir).where("split = 'test'").select(F.col("returned").alias("label"), F.col("prob_return").alias("score"))
+    best = E.best_threshold(E.threshold_sweep(test, "label", "score"))
     return float(best.select("threshold").first()[0])
 
 
@@ -175,8 +181,11 @@ def q_subgroup_metrics(spark, sf_dir):
     return E.subgroup_metrics(scored_orders(spark, sf_dir), ["product_category", "payment_method"], "label", "score", 0.5)
 
 
+_TEST_SWEEP = f"{split_sql()}, {test_scores_sql()}, {sweep_cte('test_scores')}"
+
+
 @register("risk_bucket", with_orders(
-    sweep_cte() + " SELECT s.id AS order_id, round(s.score, 4) AS return_probability, "
+    _TEST_SWEEP + " SELECT s.id AS order_id, round(s.score, 4) AS return_probability, "
     "CASE WHEN s.score < t.threshold THEN 'Low' WHEN s.score >= t.threshold + 0.15 THEN 'High' ELSE 'Medium' END AS risk_bucket, "
     "round(t.threshold, 4) AS low_below, round(t.threshold + 0.15, 4) AS high_at_or_above "
     "FROM scored_orders s, t_star t"))
@@ -187,7 +196,7 @@ def q_risk_bucket(spark, sf_dir):
 
 
 @register("risk_flag", with_orders(
-    sweep_cte() + " SELECT s.id AS order_id, CASE WHEN s.score >= t.threshold THEN 'HIGH' ELSE 'LOW' END AS risk_flag "
+    _TEST_SWEEP + " SELECT s.id AS order_id, CASE WHEN s.score >= t.threshold THEN 'HIGH' ELSE 'LOW' END AS risk_flag "
     "FROM scored_orders s, t_star t"))
 def q_risk_flag(spark, sf_dir):
     t = t_star(spark, sf_dir)

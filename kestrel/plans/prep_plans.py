@@ -31,6 +31,10 @@ train AS (SELECT * FROM split WHERE split = 'train'),
 test AS (SELECT * FROM split WHERE split = 'test')"""
 
 
+def test_scores_sql() -> str:
+    return "test_scores AS (SELECT order_id AS id, returned AS label, prob_return AS score FROM test)"
+
+
 @register("stratified_split", with_orders(split_sql() + " SELECT order_id, returned, split FROM split"))
 def q_stratified_split(spark, sf_dir):
     return split_orders(spark, sf_dir).select("order_id", "returned", "split")

@@ -1,13 +1,17 @@
-"""Retrieval queries: chunking of ``documents`` and exact top-k over ``embeddings``.
+"""Retrieval queries: chunking of ``documents``, text retrieval and exact top-k over ``embeddings``.
 
-The vector search is leave-one-out over the whole ``embeddings`` table: every vector is a
-query against all other vectors; a vector's document is its label, and the relevant
-document of a query is its own label.
+The query side is bounded by what it means, the other side is a whole table.  Vectors: the mean vector of each class
+is the query, every vector a candidate, its label the document.  Texts: the queries of the answer key against
+every sentence chunk of the knowledge base and of ``documents`` together; the relevant documents are those the
+answer key names, so every chunk of ``documents`` that ranks among the best costs precision.
 """
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kestrel.functions import policy_kb as KB
+from kestrel.functions import text_rules as T
+from kestrel.operators import messages as MS
 from kestrel.operators import retrieval as RT
 from kestrel.plans.registry import register
 from kestrel.sources.tables import read_table
@@ -19,18 +23,21 @@ def vector_corpus(spark, sf_dir):
 
 
 def vector_queries(spark, sf_dir):
+    """One query for each class: its mean vector."""
     v = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    return v.select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("string").alias("query_doc"))
+    return MS.class_means(v, len(T.CLASS_NAMES)).select(F.col("label").cast("long").alias("query_id"), "embedding")
 
 
 def vector_topk(spark, sf_dir, k: int = RT.TOP_K):
-    return RT.topk_inner_product(vector_queries(spark, sf_dir), vector_corpus(spark, sf_dir), k, exclude_self=True)
+    return RT.topk_inner_product(vector_queries(spark, sf_dir), vector_corpus(spark, sf_dir), k)
 
 
-_TOPK_CTE = """pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS cand_id, CAST(c.label AS VARCHAR) AS cand_doc,
-         list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id),
+_TOPK_CTE = """el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+vq AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY pos) AS v FROM (
+         SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM el GROUP BY label, pos) GROUP BY label),
+pairs AS (
+  SELECT q.query_id, c.vec_id AS cand_id, CAST(c.label AS VARCHAR) AS cand_doc, list_dot_product(CAST(c.embedding AS DOUBLE[]), q.v) AS score
+  FROM vq q JOIN embeddings c ON true),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id ASC) AS INTEGER) AS rank
            FROM pairs),
 topk AS (SELECT * FROM ranked WHERE rank <= 3)"""
@@ -44,43 +51,13 @@ def q_topk_vectors(spark, sf_dir):
                     F.round("score", 4).alias("score"))
 
 
-@register("groundedness", f"WITH {_TOPK_CTE} SELECT e.vec_id AS query_id, round(coalesce(t.score, 0.0), 4) AS top_score, "
+@register("groundedness", f"WITH {_TOPK_CTE} SELECT q.query_id, round(coalesce(t.score, 0.0), 4) AS top_score, "
           f"coalesce(t.score, 0.0) >= {RT.GROUNDEDNESS_THRESHOLD} AS grounded "
-          "FROM embeddings e LEFT JOIN topk t ON t.query_id = e.vec_id AND t.rank = 1")
+          "FROM vq q LEFT JOIN topk t ON t.query_id = q.query_id AND t.rank = 1")
 def q_groundedness(spark, sf_dir):
     return RT.groundedness(vector_queries(spark, sf_dir), vector_topk(spark, sf_dir))
 
 
-_PR_SQL = f"""WITH {_TOPK_CTE},
-docs AS (SELECT query_id, cand_doc AS doc_id, min(rank) AS first_rank FROM topk GROUP BY query_id, cand_doc),
-per AS (
-  SELECT e.vec_id AS query_id, count(d.doc_id) AS n_retrieved,
-         count(CASE WHEN d.doc_id = CAST(e.label AS VARCHAR) THEN 1 END) AS n_hits, 1 AS n_relevant
-  FROM embeddings e LEFT JOIN docs d ON d.query_id = e.vec_id GROUP BY e.vec_id),
-pr AS (
-  SELECT query_id, n_retrieved, n_hits, CAST(n_relevant AS BIGINT) AS n_relevant,
-         round(CASE WHEN n_retrieved = 0 THEN 0.0 ELSE CAST(n_hits AS DOUBLE) / n_retrieved END, 4) AS precision_at_k,
-         round(CASE WHEN n_relevant = 0 THEN 0.0 ELSE CAST(n_hits AS DOUBLE) / n_relevant END, 4) AS recall_at_k
-  FROM per)"""
-
-
-def _per_query(spark, sf_dir):
-    q = vector_queries(spark, sf_dir)
-    relevant = q.select("query_id", F.col("query_doc").alias("doc_id"))
-    return RT.precision_recall(q, vector_topk(spark, sf_dir), relevant)
-
-
-@register("retrieval_precision_recall", _PR_SQL + " SELECT * FROM pr")
-def q_retrieval_pr(spark, sf_dir):
-    return _per_query(spark, sf_dir)
-
-
-@register("retrieval_macro_avg", _PR_SQL + " SELECT count(*) AS n_queries, round(avg(precision_at_k), 4) AS avg_precision_at_k, "
-          "round(avg(recall_at_k), 4) AS avg_recall_at_k FROM pr")
-def q_retrieval_macro(spark, sf_dir):
-    return RT.macro_average(_per_query(spark, sf_dir))
-
-
 @register("vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm "
           "FROM embeddings")
 def q_vector_norms(spark, sf_dir):
@@ -98,16 +75,26 @@ def q_vector_table_stats(spark, sf_dir):
                  F.countDistinct("label").alias("n_labels"), F.round(F.avg("norm"), 6).alias("mean_norm"))
 
 
-_CHUNK_CTE = r"""parts AS (
+def chunk_sql() -> str:
+    """Sentences of ``documents``; white space is that of Unicode on both sides."""
+    sp = r"[\s\v\x{85}\p{Z}]"
+    return f"""parts AS (
   SELECT doc_id, list_filter(list_transform(
-           string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)),
-           lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS p
+           string_split(regexp_replace(regexp_replace(text, '^{sp}+|{sp}+$', '', 'g'), '([.!?]){sp}+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+           lambda s: regexp_replace(s, '^{sp}+|{sp}+$', '', 'g')), lambda s: s <> '') AS p
   FROM documents),
 chunks AS (
   SELECT printf('%s-%02d', CAST(doc_id AS VARCHAR), idx) AS chunk_id, doc_id, idx, text FROM (
     SELECT doc_id, unnest(p) AS text, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS idx FROM parts))"""
 
 
+_CHUNK_CTE = chunk_sql()
+
+
+def term_sql(text: str) -> str:
+    return f"unnest(regexp_extract_all(lower({text}), '{RT.TERM}'))"
+
+
 @register("sentence_chunks", f"WITH {_CHUNK_CTE} SELECT chunk_id, doc_id, idx, text FROM chunks")
 def q_sentence_chunks(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
@@ -123,11 +110,83 @@ def q_chunk_ids(spark, sf_dir):
                                    F.sum(F.length("text")).cast("long").alias("chunk_chars"))
 
 
-@register("chunk_text_embedding")
+
+# ------------------------------------------------------------------ answer key against all chunks
+QUERIES_OF_KEY = [(i, q) for i, (q, _) in enumerate(KB.ANSWER_KEY)]
+
+
+def all_chunks(spark, sf_dir):
+    """Sentence chunks of the knowledge base and of every document, with their document as text."""
+    base = spark.createDataFrame([(d, t) for d, _, t in KB.DOCUMENTS], "doc_id string, text string")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return RT.sentence_chunks(base.unionByName(docs))
+
+
+def key_topk(spark, sf_dir):
+    words = RT.term_counts(all_chunks(spark, sf_dir), ["chunk_id"])
+    scored = RT.scores_of_bounded_queries(words, "chunk_id", QUERIES_OF_KEY, spark)
+    top = RT.best(scored, ["query_id"], "chunk_id")
+    return top.withColumn("cand_doc", F.regexp_extract("chunk_id", "^(.*)-[0-9]+$", 1))
+
+
+def _key_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    base = ", ".join(f"({quote(c)}, {quote(t)})" for c, _, _, t in KB.chunks())
+    asked = ", ".join(f"({i}, {quote(q)})" for i, q in QUERIES_OF_KEY)
+    key = ", ".join(f"({i}, {quote(d)})" for i, (_, ds) in enumerate(KB.ANSWER_KEY) for d in ds)
+    return f"""{_CHUNK_CTE},
+every AS (SELECT chunk_id, text FROM chunks UNION ALL SELECT * FROM (VALUES {base}) v(chunk_id, text)),
+ct AS (SELECT chunk_id, term, count(*)::DOUBLE AS tf FROM (SELECT chunk_id, {term_sql('text')} AS term FROM every) GROUP BY chunk_id, term),
+cn AS (SELECT chunk_id, sqrt(sum(tf * tf)) AS norm FROM ct GROUP BY chunk_id),
+asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM (VALUES {asked}) v(query_id, text)),
+rel AS (SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM (VALUES {key}) v(query_id, doc_id)),
+qt AS (SELECT query_id, term, count(*)::DOUBLE AS tf FROM (SELECT query_id, {term_sql('text')} AS term FROM asked) GROUP BY query_id, term),
+fr AS (SELECT term, count(*) AS df FROM ct WHERE term IN (SELECT term FROM qt) GROUP BY term),
+qw AS (SELECT query_id, qt.term, tf * (ln((1 + (SELECT count(*) FROM cn))::DOUBLE / (1 + coalesce(df, 0))) + 1) AS w FROM qt LEFT JOIN fr ON fr.term = qt.term),
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY query_id),
+sc AS (SELECT qw.query_id, ct.chunk_id, round(sum(w / n * tf / norm), 9) AS score
+       FROM ct JOIN qw ON qw.term = ct.term JOIN qn ON qn.query_id = qw.query_id JOIN cn ON cn.chunk_id = ct.chunk_id GROUP BY qw.query_id, ct.chunk_id),
+topk AS (SELECT *, regexp_extract(chunk_id, '^(.*)-[0-9]+$', 1) AS doc_id FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc) WHERE rank <= {RT.TOP_K}),
+docs AS (SELECT DISTINCT query_id, doc_id FROM topk),
+per AS (SELECT a.query_id, count(d.doc_id) AS n_retrieved, count(r.doc_id) AS n_hits,
+          (SELECT count(*) FROM rel x WHERE x.query_id = a.query_id) AS n_relevant
+        FROM asked a LEFT JOIN docs d ON d.query_id = a.query_id LEFT JOIN rel r ON r.query_id = d.query_id AND r.doc_id = d.doc_id GROUP BY a.query_id),
+pr AS (
+  SELECT query_id, n_retrieved, n_hits, CAST(n_relevant AS BIGINT) AS n_relevant,
+         round(CASE WHEN n_retrieved = 0 THEN 0.0 ELSE CAST(n_hits AS DOUBLE) / n_retrieved END, 4) AS precision_at_k,
+         round(CASE WHEN n_relevant = 0 THEN 0.0 ELSE CAST(n_hits AS DOUBLE) / n_relevant END, 4) AS recall_at_k
+  FROM per)"""
+
+
+@register("answer_key_topk", f"WITH {_key_sql()} SELECT query_id, rank, chunk_id, doc_id, round(score, 4) AS score FROM topk")
+def q_answer_key_topk(spark, sf_dir):
+    return key_topk(spark, sf_dir).select("query_id", "rank", "chunk_id", F.col("cand_doc").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+def _per_query(spark, sf_dir):
+    asked = spark.createDataFrame(QUERIES_OF_KEY, "query_id long, text string")
+    relevant = spark.createDataFrame([(i, d) for i, (_, ds) in enumerate(KB.ANSWER_KEY) for d in ds], "query_id long, doc_id string")
+    return RT.precision_recall(asked, key_topk(spark, sf_dir), relevant)
+
+
+@register("retrieval_precision_recall", f"WITH {_key_sql()} SELECT * FROM pr")
+def q_retrieval_pr(spark, sf_dir):
+    return _per_query(spark, sf_dir)
+
+
+@register("retrieval_macro_avg", f"WITH {_key_sql()} SELECT count(*) AS n_queries, round(avg(precision_at_k), 4) AS avg_precision_at_k, "
+          "round(avg(recall_at_k), 4) AS avg_recall_at_k FROM pr")
+def q_retrieval_macro(spark, sf_dir):
+    return RT.macro_average(_per_query(spark, sf_dir))
+
+
+@register("chunk_text_embedding", f"WITH {_CHUNK_CTE}, t AS (SELECT chunk_id, doc_id, term, count(*)::DOUBLE AS tf FROM ("
+          f"SELECT chunk_id, doc_id, {term_sql('text')} AS term FROM chunks) GROUP BY chunk_id, doc_id, term) "
+          "SELECT chunk_id, doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, round(sqrt(sum(tf * tf)), 6) AS norm FROM t GROUP BY chunk_id, doc_id")
 def q_chunk_text_embedding(spark, sf_dir):
-    """R3 on raw text: hashed TF-IDF unit vectors of every chunk (fitted IDF: rows-only check)."""
+    """R3 on raw text: the sparse term vector of every chunk (its terms, tokens and length before it is brought to unit length)."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    chunks = RT.sentence_chunks(docs)
-    emb = RT.embed_text(RT.text_embedder(chunks), chunks)
-    emb = RT.vector_norms(emb)
-    return emb.select("chunk_id", "doc_id", F.size("_tok").alias("n_tokens"), F.round("norm", 6).alias("norm"))
+    words = RT.term_counts(RT.sentence_chunks(docs), ["chunk_id", "doc_id"])
+    return words.groupBy("chunk_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").cast("long").alias("n_tokens"),
+                                                   F.round(F.max("norm"), 6).alias("norm"))

@@ -1,14 +1,15 @@
 """Carried order context as a stateful stream keyed by conversation.
 
-Turns arrive as files; guardrail, intent and detail detection are stateless column
-expressions; ``applyInPandasWithState`` keeps, per ``conv_id``, the highest turn seen, the
-latest detailed risk text, the first risk text and the latest image path.  Within a
-micro-batch a conversation's turns are applied in turn order; a turn at or below the
-stored maximum is emitted with ``late = true`` and does not change the state.  The turns
-carry no event time, so there is no watermark; state lives until the query stops.
-
-Output per turn: the text whose features the turn uses (``features_source_text``) and the
-image path; features are then extracted with the same column expressions as the batch job.
+Turns arrive as files, in any order; guardrail, intent and detail detection are stateless column expressions.
+``applyInPandasWithState`` keeps, per ``conv_id``, the turns that matter to later ones (the number and text of risk
+turns, the number and path of image turns that name one, and which turns were seen).  When turns arrive, the context
+of every turn from the smallest new one on is worked out again, with pandas' forward fill over the conversation,
+and emitted under the next ``version``; so a late turn corrects the ones after it, and nothing is dropped.
+``latest`` keeps the last version of each turn.  The turns carry no event time, so there is no watermark: a
+conversation's state (its risk texts and turn numbers) lives until the query stops.
+
+Output per turn: the text whose features the turn uses (``features_source_text``) and the image path; features
+are then extracted with the same column expressions as the batch job.
 """
 from __future__ import annotations
 
@@ -26,51 +27,53 @@ from kestrel.operators.messages import guard_and_route
 from kestrel.session import ensure_checkpoint_dir
 
 OUTPUT_SCHEMA = ("conv_id long, turn long, intent string, mentions_details boolean, "
-                 "features_source_text string, image_path string, late boolean")
-STATE_SCHEMA = "last_turn long, detail_text string, first_risk string, image_path string"
+                 "features_source_text string, image_path string, version long")
+STATE_SCHEMA = ("version long, turns array<long>, intents array<string>, details array<boolean>, texts array<string>, "
+                "paths array<string>")
+_KEPT = ["turn", "intent", "mentions_details", "risk_text", "path_here"]
 
 
 def _carry(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    new = pd.concat(list(batches), ignore_index=True)
+    version, old = 0, pd.DataFrame(columns=_KEPT)
     if state.exists:
-        last_turn, detail, first_risk, path = state.get
-    else:
-        last_turn, detail, first_risk, path = -1, None, None, None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
-    out = []
-    for r in pdf.itertuples(index=False):
-        if r.turn <= last_turn:
-            out.append((r.conv_id, r.turn, r.intent, bool(r.mentions_details), None, None, True))
-            continue
-        last_turn = r.turn
-        src = img = None
-        if r.intent == T.RISK:
-            if r.mentions_details:
-                detail = r.text
-            if first_risk is None:
-                first_risk = r.text
-            src = detail if detail is not None else first_risk
-        elif r.intent == T.IMAGE:
-            if r.path_here is not None and not pd.isna(r.path_here):
-                path = r.path_here
-            img = path
-        out.append((r.conv_id, r.turn, r.intent, bool(r.mentions_details), src, img, False))
-    state.update((last_turn, detail, first_risk, path))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "intent", "mentions_details",
-                                     "features_source_text", "image_path", "late"])
+        version, *kept = state.get
+        old = pd.DataFrame(dict(zip(_KEPT, kept)))
+    every = pd.concat([old.astype(object), new[_KEPT].astype(object)], ignore_index=True)
+    # a turn that is seen again replaces itself
+    every = every.drop_duplicates("turn", keep="last").sort_values("turn", kind="stable", ignore_index=True)
+    every = every.where(every.notna(), None)
+    detail = every["risk_text"].where(every["mentions_details"].astype(bool)).ffill()
+    first = every["risk_text"].bfill().iloc[0] if len(every) else None
+    is_risk, is_image = every["intent"] == T.RISK, every["intent"] == T.IMAGE
+    seen_risk = is_risk.cummax()
+    source = detail.fillna(first) if first is not None else detail
+    out = pd.DataFrame({
+        "conv_id": key[0], "turn": every["turn"], "intent": every["intent"], "mentions_details": every["mentions_details"].astype(bool),
+        "features_source_text": source.where(is_risk & seen_risk), "image_path": every["path_here"].ffill().where(is_image), "version": version + 1})
+    state.update((version + 1, *[every[c].tolist() for c in _KEPT]))
+    out = out[out["turn"] >= new["turn"].min()]
+    yield out.astype({"turn": "int64"}).astype(object).where(out.notna(), None).astype({"turn": "int64", "version": "int64", "mentions_details": bool, "conv_id": "int64"})
 
 
 def carry_stream(turns: DataFrame) -> DataFrame:
-    """Streaming (or batch) turns (conv_id, turn, text) -> per-turn carried context."""
+    """Streaming (or batch) turns (conv_id, turn, text) -> carried context of each turn, by version."""
     routed = guard_and_route(turns)
     prepared = routed.select(
-        "conv_id", "turn", "text", "intent",
-        T.mentions_details(F.col("text")).alias("mentions_details"),
+        "conv_id", "turn", "intent", T.mentions_details(F.col("text")).alias("mentions_details"),
+        F.when(F.col("intent") == T.RISK, F.col("text")).alias("risk_text"),
         F.when(F.col("intent") == T.IMAGE, T.image_path(F.col("text"))).alias("path_here"),
     )
     return prepared.groupBy("conv_id").applyInPandasWithState(
         _carry, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
+def latest(written: DataFrame) -> DataFrame:
+    """The last version of every turn that the stream has written."""
+    rest = [c for c in written.columns if c not in ("conv_id", "turn", "version")]
+    return written.groupBy("conv_id", "turn").agg(F.max_by(F.struct(*rest), "version").alias("x")).select("conv_id", "turn", "x.*")
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream until its input is drained and return what it wrote, as a batch frame.
 

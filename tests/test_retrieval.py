@@ -1,5 +1,6 @@
-"""Exact top-k: broadcast path, blocked cogroup path and brute force agree; chunking rules."""
+"""Exact top-k against brute force; the bounded query side; chunking and term counts."""
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators import retrieval as RT
@@ -8,37 +9,36 @@ from conftest import SF01
 
 def _vectors(spark):
     v = spark.read.parquet(f"{SF01}/embeddings.parquet")
-    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    q = v.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     c = v.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("doc"), "embedding")
     return v, q, c
 
 
-def _rows(df):
-    return sorted((r.query_id, r.rank, r.cand_id, round(r.score, 9)) for r in df.collect())
-
-
-def test_blocked_equals_broadcast_and_brute_force(spark):
+def test_topk_equals_brute_force(spark):
     v, q, c = _vectors(spark)
-    a = _rows(RT.topk_inner_product(q, c, 3, exclude_self=True))
-    b = _rows(RT.topk_inner_product(q, c, 3, exclude_self=True, blocks=(3, 4)))
-    assert a == b
+    twice = c.unionByName(c.withColumn("id", F.col("id") + 10000))  # every score is met twice
+    got = sorted((r.query_id, r.rank, r.cand_id, round(r.score, 9)) for r in RT.topk_inner_product(q, twice, 3, exclude_self=True).collect())
     pdf = v.toPandas()
     m = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
     ids = pdf.vec_id.to_numpy()
-    s = m @ m.T
-    np.fill_diagonal(s, -np.inf)
-    brute = []
+    every, both = np.concatenate([ids, ids + 10000]), np.vstack([m, m])
+    want = []
     for i, qid in enumerate(ids):
-        order = sorted(range(len(ids)), key=lambda j: (-s[i, j], ids[j]))[:3]
-        brute += [(int(qid), r + 1, int(ids[j]), round(float(s[i, j]), 9)) for r, j in enumerate(order)]
-    assert sorted(brute) == a
+        if qid % 7:
+            continue
+        s = both @ m[i]
+        order = sorted((j for j in range(len(every)) if every[j] != qid), key=lambda j: (-round(s[j], 12), every[j]))[:3]
+        want += [(int(qid), r + 1, int(every[j]), round(float(s[j]), 9)) for r, j in enumerate(order)]
+    assert got == sorted(want)
 
 
-def test_fewer_than_k(spark):
+def test_fewer_than_k_and_bound(spark, monkeypatch):
     _, q, c = _vectors(spark)
-    small = c.limit(2)
-    out = RT.topk_inner_product(q.limit(5), small, 3)
+    out = RT.topk_inner_product(q.limit(5), c.limit(2), 3)
     assert out.groupBy("query_id").count().agg(F.max("count")).first()[0] == 2
+    monkeypatch.setattr(RT, "MAX_QUERIES", 3)
+    with pytest.raises(ValueError, match="bounded"):
+        RT.topk_inner_product(q, c, 3)
 
 
 def test_sentence_split_edges(spark):
@@ -47,6 +47,7 @@ def test_sentence_split_edges(spark):
         (2, "Returns within 10-15 days. Refund follows! Is it fast? yes it is."),
         (3, "Dr. Smith said so. Études follow no split."),
         (4, "   "),
+        (5, "A no-break space.\u00a0Then one more. "),
     ], "doc_id long, text string")
     got = {r.chunk_id: r.text for r in RT.sentence_chunks(docs).collect()}
     assert got == {
@@ -56,12 +57,13 @@ def test_sentence_split_edges(spark):
         "2-02": "Is it fast? yes it is.",
         "3-00": "Dr.",
         "3-01": "Smith said so. Études follow no split.",
+        "5-00": "A no-break space.",
+        "5-01": "Then one more.",
     }
 
 
-def test_blocked_path_chosen_by_size(spark):
-    _, q, c = _vectors(spark)
-    a = _rows(RT.topk_inner_product(q, c, 3, exclude_self=True))
-    b = _rows(RT.topk_inner_product(q, c, 3, exclude_self=True, max_broadcast_bytes=64 * 8 * 64))  # forces blocks
-    assert a == b
-    assert RT._pick_blocks(1000, 10**6, 64, 1 << 20) == (1, 489)
+def test_term_counts(spark):
+    df = spark.createDataFrame([(1, "To be, or not TO be: été 2"), (1, "x"), (2, ""), (3, None)], "k long, text string")
+    got = sorted((r.k, r.term, r.tf, round(r.norm, 6)) for r in RT.term_counts(df, ["k"]).collect())
+    n = round(12 ** 0.5, 6)
+    assert got == [(1, "2", 1.0, n), (1, "be", 2.0, n), (1, "not", 1.0, n), (1, "or", 1.0, n), (1, "to", 2.0, n), (1, "x", 1.0, 1.0), (1, "été", 1.0, n)]

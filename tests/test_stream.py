@@ -1,30 +1,50 @@
-"""The stateful stream equals the batch carry when files interleave conversations; a
-replayed (late) turn is flagged and does not change the state."""
+"""The stateful stream equals the batch carry, in whatever order the files bring the turns."""
 import os
-import tempfile
+import random
 
 from pyspark.sql import functions as F
 
-from kestrel.functions import text_rules as T
 from kestrel.operators import messages as MS
 from kestrel.plans.messages_plans import support_turns
-from kestrel.streaming.conversations import carry_stream, run_to_table
+from kestrel.streaming.conversations import carry_stream, latest, run_to_table
 from conftest import SF01
+from test_messages import SENTENCES
 
 
-def test_stream_matches_batch(spark):
-    turns = support_turns(spark, SF01).select("conv_id", "turn", "text")
-    d = tempfile.mkdtemp(prefix="kestrel-stream-")
-    # batch k holds turn k of every conversation: conversations interleave, turns arrive in order
-    for k in range(8):
-        turns.where(F.col("turn") == k).coalesce(1).write.parquet(os.path.join(d, f"b{k:02d}"))
-    late = turns.where(F.col("turn") == 0).limit(3)
-    late.coalesce(1).write.parquet(os.path.join(d, "b99"))
-    src = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(d)
-    out = run_to_table(spark, carry_stream(src), "test-stream")
-    assert out.where("late").count() == 3
-    got = {(r.conv_id, r.turn): r.features_source_text for r in out.where("not late and intent = '%s'" % T.RISK).collect()}
-    batch = MS.carry_context(MS.guard_and_route(turns)).where(F.col("intent") == T.RISK)
-    want = {(r.conv_id, r.turn): r.features_source_text for r in batch.collect()}
-    assert got == want
+def planted(spark):
+    """The user turns of the table with the planted sentences as their texts, so that every branch is met."""
+    turns = support_turns(spark, SF01).select("conv_id", "turn")
+    text = F.element_at(F.array(*[F.lit(t) for t in SENTENCES]), (F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(len(SENTENCES))) + 1).cast("int"))
+    return turns.withColumn("text", text)
+
+
+def carried(df):
+    return {(r.conv_id, r.turn): (r.intent, r.features_source_text, r.image_path) for r in df.collect()}
+
+
+def run(spark, parts, folder, name):
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(os.path.join(folder, f"b{k:02d}"))
+    src = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    return latest(run_to_table(spark, carry_stream(src), name))
+
+
+def test_stream_in_turn_order_matches_batch(spark, tmp_path):
+    turns = planted(spark)
+    want = carried(MS.carry_context(MS.guard_and_route(turns)))
+    got = carried(run(spark, [turns.where(F.col("turn") == k) for k in range(8)], str(tmp_path), "in-order"))
+    assert got == want and any(v[1] for v in want.values()) and any(v[2] for v in want.values())
+
+
+def test_stream_of_shuffled_files_matches_batch(spark, tmp_path):
+    turns = planted(spark).where("conv_id < 60")
+    keys = [(r.conv_id, r.turn) for r in turns.collect()]
+    rnd = random.Random(1)
+    file_of = spark.createDataFrame([(c, t, rnd.randrange(5)) for c, t in keys], "conv_id long, turn long, f int")
+    dealt = turns.join(file_of, ["conv_id", "turn"])
+    parts = [dealt.where(F.col("f") == k).select("conv_id", "turn", "text") for k in range(5)]
+    parts.append(turns.where("turn = 0").limit(3))  # turns that are seen again
+    want = carried(MS.carry_context(MS.guard_and_route(turns)))
+    assert carried(run(spark, parts, str(tmp_path), "shuffled")) == want
+    late_first = [turns.where("turn >= 3"), turns.where("turn < 3")]
+    assert carried(run(spark, late_first, str(tmp_path / "late"), "late-first")) == want
