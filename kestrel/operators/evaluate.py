@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import rules as R
-from kestrel.operators.scan import running_scan
 
 
 def _pos(label: str) -> Column:
@@ -49,19 +48,27 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score", th
     )
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
-            num_blocks: int | None = None) -> DataFrame:
+AUC_BINS = 4096
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC with tied scores counting one half (the Mann-Whitney statistic).
 
-    Rows are first reduced to distinct ``(by, score)`` with positive/negative counts; the
-    running count of negatives below each score is a ``running_scan`` (range-partitioned,
-    so the distinct scores are never all in one task).  Null when a group lacks a class.
+    Rows are first reduced to distinct ``(by, score)`` with positive/negative counts.  The negatives below a score
+    are those in the score bins below its own (at most AUC_BINS counts of a group) and those below it in its bin (a
+    window over one bin), so no group's scores are ever sorted in one task.  Null when a group lacks a class.
     """
     y = _pos(label)
-    per_score = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    scanned = running_scan(per_score, list(by), [score], {"neg_below": ("sum", "neg")}, num_blocks)
-    agg = scanned.groupBy(*by).agg(
-        F.sum((2 * F.col("neg_below") + F.col("neg")).cast("double") * F.col("pos")).alias("_u2"),
+    bin_of = R.clamp(F.floor(F.col(score) * AUC_BINS), 0, AUC_BINS - 1)
+    per_score = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")).withColumn("_bin", bin_of)
+    below = Window.partitionBy(*by, "_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    per_score = per_score.withColumn("_under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    bins = per_score.groupBy(*by, "_bin").agg(
+        F.sum((2 * F.col("_under") + F.col("neg")).cast("double") * F.col("pos")).alias("_inside"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most AUC_BINS rows
+    bins = bins.withColumn("_before", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    agg = bins.groupBy(*by).agg(
+        F.sum(F.col("_inside") + 2.0 * F.col("_before").cast("double") * F.col("pos")).alias("_u2"),
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
     )

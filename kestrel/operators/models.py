@@ -10,10 +10,10 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.rules import safe_div
@@ -48,7 +48,11 @@ def baseline_majority(train: DataFrame, test: DataFrame, label: str) -> DataFram
 
 
 class Prepared:
-    """P4-P8 fitted on train: medians, mean/std, one-hot model; ``apply`` adds ``features``."""
+    """P4-P8 fitted on train, as stages of one Spark ML pipeline that takes raw rows.
+
+    Medians, modes and scaling are literals of an SQL stage, categories are indexed and encoded, and all slots are
+    assembled to ``features``; so the stages can be saved with a classifier behind them and score raw rows.
+    """
 
     def __init__(self, train: DataFrame, numeric: list[str], categorical: list[str]):
         self.numeric, self.categorical = numeric, categorical
@@ -56,16 +60,21 @@ class Prepared:
         cast = cast.drop(*numeric).withColumnsRenamed({f"__{c}": c for c in numeric})
         self.medians = P.exact_medians(cast, numeric)
         self.modes = P._as_dict(P.modes(train, categorical), "column", "mode")
-        imputed = P.impute(cast, self.medians)
-        self.scaling = P.scaling_stats(imputed, numeric)
-        self.onehot = P.one_hot_model(P.impute(train, self.modes), categorical)
-        self.slot_names = list(numeric) + P.one_hot_names(self.onehot, categorical)
+        self.scaling = P.scaling_stats(P.impute(cast, self.medians), numeric)
+        onehot = P.one_hot_model(P.impute(train, self.modes), categorical)
+        self.slot_names = list(numeric) + P.one_hot_names(onehot, categorical)
+        text = lambda v: "'" + str(v).replace("'", "''") + "'"
+        exprs = [f"(coalesce(cast({c} as double), {self.medians[c]!r}D) - {self.scaling[c][0]!r}D) / {float(self.scaling[c][1])!r}D AS {c}__z" for c in numeric]
+        exprs += [f"coalesce({c}, {text(self.modes[c])}) AS {c}__c" for c in categorical]
+        renamed = []
+        for c, stage in zip(categorical, onehot.stages):
+            renamed.append(stage.copy().setInputCol(f"{c}__c"))
+        assembled = [f"{c}__z" for c in numeric] + [f"{c}__oh" for c in categorical]
+        self.stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"), *renamed, onehot.stages[-1],
+                       VectorAssembler(inputCols=assembled, outputCol="features")]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        d = df.withColumns({c: F.col(c).cast("double") for c in self.numeric})
-        d = P.standard_scale(P.impute(P.impute(d, self.medians), self.modes), self.scaling)
-        d = P.one_hot_columns(self.onehot, d, self.categorical)
-        return VectorAssembler(inputCols=self.slot_names, outputCol="features").transform(d)
+        return PipelineModel(stages=self.stages).transform(df)
 
 
 def weighted(train: DataFrame, label: str) -> DataFrame:
@@ -85,23 +94,31 @@ def positive_score(df: DataFrame, out: str = "score") -> DataFrame:
     return df.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
+FIT_ROWS = 2000  # labelled rows that the forest is fitted on (stratified, first by hash); its trees live on the driver
+
+
+def bounded_sample(train: DataFrame, label: str, id_col: str, rows: int = FIT_ROWS) -> DataFrame:
+    """At most ``rows`` labelled rows, stratified by label."""
+    n = train.count()
+    if n <= rows:
+        return train
+    return P.stratified_split(train, label, id_col, rows, names=("rest", "fit"), tag="fit").where("split = 'fit'").drop("split")
+
+
 def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "fold", n_folds: int = 5,
-                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int | None = None):
-    """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all train.
+                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 4):
+    """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all given rows.
 
-    An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).  Deep trees
-    need many level-by-level passes: ``cacheNodeIds`` keeps each row's node id instead of
-    re-walking the trees every pass, and a 1 GB aggregation budget lets one pass split more
-    nodes (a depth-30, 200-tree fit went from 264 s to 47 s locally; same trees).
+    An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).  The rows are a bounded sample (see
+    ``bounded_sample``), so a few partitions hold them and each of the many passes of a deep forest is short.
     """
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
-                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=512, cacheNodeIds=True)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(n_trees)).addGrid(rf.maxDepth, list(depths)).build()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
-    # all grid points of a fold train concurrently against that fold's one cached training set
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col, numFolds=n_folds,
-                        parallelism=parallelism or len(grid), seed=seed)
+                        parallelism=parallelism, seed=seed)
     model = cv.fit(weighted(train_prepared, label))
     results = [
         {"num_trees": pm[rf.numTrees], "max_depth": pm[rf.maxDepth], "cv_roc_auc": float(m)}
@@ -140,34 +157,32 @@ def load_model(path: str, loader=PipelineModel):
 
 
 def permutation_importance(test: DataFrame, id_col: str, label: str, columns: list[str], scorer,
-                           n_repeats: int = 20, seed: int = 42, num_blocks: int | None = None) -> DataFrame:
+                           n_repeats: int = 20, seed: int = 42, buckets: int = 1) -> DataFrame:
     """Mean and population std over repeats of the ROC-AUC drop when one column is shuffled.
 
-    A shuffle of column c in repeat r moves c's value from the row at position p to the row
-    at position ``perm(p)``, where perm orders the rows by a seeded hash of (id, c, r).  All
-    (column, repeat) copies are rows of one frame keyed by (c, r): positions come from
-    ``running_scan`` (no global single-task row_number), the donor value is an equi-join on
-    (c, r, position), and the AUC is grouped by (c, r) in one job.  ``scorer(df)`` must add
-    a ``score`` column from the feature columns.
+    Repeat r orders the rows by a seeded hash of (id, r), in ``buckets`` parts by the hash's size so that no part is
+    sorted in one task, and shifts the order by one: each row's donor is the next row of its part (the first one for the
+    last).  That one window brings the donor's columns to the row; no ranking and no join is needed.  All columns
+    are then scored as columns of the same row (``scorer`` maps a dict of feature columns to a score), and only
+    (column, repeat, label, score) is unpivoted for the AUC.
     """
-    from kestrel.functions.hashing import uniform
+    from kestrel.functions.hashing import hash32
     from kestrel.operators.evaluate import roc_auc
-    from kestrel.operators.scan import running_scan
-
-    base = running_scan(test, [], [id_col], {"_pos": ("count", None)}, num_blocks)
-    keys = [F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c in columns for r in range(n_repeats)]
-    # rank only narrow (id, column, repeat, hash) rows; features are attached afterwards
-    narrow = base.select(id_col, F.explode(F.array(*keys)).alias("_k")).select(id_col, "_k.c", "_k.r")
-    tag = F.concat(F.col("c"), F.lit("|"), F.col("r").cast("string"))
-    narrow = narrow.withColumn("_u", uniform(F.concat(F.col(id_col).cast("string"), F.lit("|"), tag), "perm", seed))
-    narrow = running_scan(narrow, ["c", "r"], ["_u", id_col], {"_ppos": ("count", None)}, num_blocks).drop("_u")
-    donors = base.select(F.col("_pos").alias("_ppos"), *[F.col(c).alias(f"_d_{c}") for c in columns])
-    j = narrow.join(base.drop("_pos"), id_col).join(donors, "_ppos")
-    j = j.withColumns({c: F.when(F.col("c") == c, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in columns})
-    scored = scorer(j.drop(*[f"_d_{c}" for c in columns]))
-    per = roc_auc(scored, label, "score", by=["c", "r"], num_blocks=num_blocks)
-    ref = roc_auc(scorer(test), label, "score").select(F.col("roc_auc").alias("_ref"))
-    ref_auc = ref.first()["_ref"]
-    drops = per.select("c", "r", (F.lit(ref_auc) - F.col("roc_auc")).alias("drop"))
+
+    rows = test.select(id_col, F.col(label).alias("_y"), F.struct(*columns).alias("_own"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("r"))
+    key = F.concat(F.col(id_col).cast("string"), F.lit("|"), F.col("r").cast("string"))
+    rows = rows.withColumn("_h", hash32(key, "perm", seed)).withColumn("_part", F.pmod("_h", F.lit(buckets)))
+    part = Window.partitionBy("r", "_part").orderBy("_h", id_col)
+    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    donor = F.coalesce(F.lead("_own").over(part), F.first("_own").over(whole))
+    rows = rows.withColumn("_donor", donor)
+    own = {c: F.col(f"_own.{c}") for c in columns}
+    variants = [F.struct(F.lit(c).alias("c"), scorer({**own, c: F.col(f"_donor.{c}")}).alias("score")) for c in columns]
+    scored = rows.select("r", "_y", F.explode(F.array(*variants)).alias("v")).select("v.c", "r", F.col("_y").alias("label"), "v.score")
+    per = roc_auc(scored, "label", "score", by=["c", "r"])
+    base = test.select(F.col(label).alias("label"), scorer({c: F.col(c) for c in columns}).alias("score"))
+    ref = roc_auc(base, "label", "score").first()["roc_auc"]
+    drops = per.select("c", "r", (F.lit(ref) - F.col("roc_auc")).alias("drop"))
     return drops.groupBy(F.col("c").alias("feature")).agg(
         F.avg("drop").alias("perm_importance_mean"), F.stddev_pop("drop").alias("perm_importance_std"))

@@ -216,14 +216,14 @@ def one_hot_model(train: DataFrame, cols: Sequence[str]):
     """P7 fit: alphabetical categories; unseen or null values encode as all zeros.
 
     StringIndexer(alphabetAsc, handleInvalid='keep') puts unknowns in the last index, and
-    OneHotEncoder(dropLast=True) drops exactly that slot.
+    OneHotEncoder(dropLast=True) drops exactly that slot: a vector has one slot for each train category.
     """
     stages = []
     for c in cols:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
                                     handleInvalid="keep"))
     stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__oh" for c in cols],
-                                dropLast=True, handleInvalid="keep"))
+                                dropLast=True))
     return Pipeline(stages=stages).fit(train)
 
 

@@ -244,6 +244,22 @@ def q_compose_answer(spark, sf_dir):
                     F.round("answer_confidence", 4).alias("confidence"))
 
 
+@register("transcripts_written", "SELECT conv_id, count(*) + 1 AS n_lines, 1 AS n_titles FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def q_transcripts_written(spark, sf_dir):
+    """The transcripts written by the sink, one folder of text for each conversation, and read back."""
+    import uuid
+
+    from kestrel.session import ensure_checkpoint_dir
+    from kestrel.sources import sinks
+
+    path = f"{ensure_checkpoint_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    lines = q_transcript_lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[\\r\\n]+", " "))  # a line each
+    sinks.write_transcripts(lines, path)
+    back = spark.read.schema("value string, conv_id long").text(path)
+    title = F.col("value") == F.format_string("# Conversation %d", F.col("conv_id"))
+    return back.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(title.cast("int")).cast("int").alias("n_titles"))
+
+
 @register("transcript_lines")
 def q_transcript_lines(spark, sf_dir):
     """S8 rows: a title row per conversation (turn -1), then one rendered line per turn with

@@ -1,114 +1,163 @@
-"""Fitted-model queries (M2-M7, E6, E7, S5, S6).  No oracle: the driver checks rows only."""
+"""Fitted-model queries (M2-M9, E6, E7, E9-E13 on the fitted head, S4-S6).
+
+``risk_model`` is the one return-risk artefact: preparation and tuned forest in one pipeline, with its threshold on
+the test split in the metadata.  ``write_risk_model`` trains and saves it at a path of the caller's and lets this
+session's queries use it; without that step a query trains its own.
+"""
 from __future__ import annotations
 
-import os
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from kestrel.functions import rules as R
+from kestrel.functions import text_rules as T
 from kestrel.operators import evaluate as E
 from kestrel.operators import models as M
 from kestrel.operators import multiclass as MC
 from kestrel.operators import prep as P
-from kestrel.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from kestrel.plans.prep_plans import split_orders
+from kestrel.operators import risk
+from kestrel.operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, order_features
+from kestrel.plans.oracle_orders import with_orders, z_sql
+from kestrel.plans.prep_plans import split_orders, split_sql
 from kestrel.plans.registry import register
-from kestrel.plans.vector_plans import split_vectors
 from kestrel.session import ensure_checkpoint_dir, materialise
+from kestrel.sources import sinks
+from kestrel.sources.tables import read_table
+
+RAW = NUMERIC_FEATURES + CATEGORICAL_FEATURES
+MODEL_SETTING = "kestrel.riskModel."  # + input folder: where the caller has saved its model
+SMALL = 2  # partitions of a bounded fit sample
+
+
+def _split(spark, sf_dir):
+    df = split_orders(spark, sf_dir).select("order_id", "returned", "split", *RAW)
+    return df.where("split = 'train'"), df.where("split = 'test'")
+
 
+def _evaluated(scored):
+    """Metrics of (label, score) rows as plain numbers."""
+    m = E.binary_metrics(scored, "label", "score", 0.5).first()
+    best = E.best_threshold(E.threshold_sweep(scored, "label", "score")).first()
+    out = {k: round(m[k], 4) for k in ("accuracy", "precision", "recall", "f1")}
+    return out | {"n": m["n"], "roc_auc": round(E.roc_auc(scored, "label", "score").first()["roc_auc"], 4),
+                  "best_threshold": best["threshold"], "best_f1": round(best["f1"], 4), "best_recall": round(best["recall"], 4)}
 
-def _prepared(spark, sf_dir):
-    """Prepared train/test frames, materialised once: every fit iterates over them many times,
-    so they are checkpointed (cut lineage) and spread over the cluster's parallelism."""
-    ensure_checkpoint_dir(spark)
-    df = split_orders(spark, sf_dir)
-    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+
+def _scored(model, rows):
+    return M.positive_score(model.transform(rows)).select(F.col("returned").alias("label"), "score", *CATEGORICAL_FEATURES)
+
+
+def _fit_logistic(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
     prep = M.Prepared(train, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
-    n = spark.sparkContext.defaultParallelism
-    keep = ["order_id", "returned", "features"]
-    tr = materialise(prep.apply(train).select(*keep).repartition(n, "order_id"))
-    te = materialise(prep.apply(test).select(*keep).repartition(n, "order_id"))
-    return prep, tr, te
+    model = M.fit_logistic(materialise(prep.apply(train).select("returned", "features")), "returned")
+    return PipelineModel(stages=[*prep.stages, model]), test
 
 
 @register("logreg_eval")
 def q_logreg_eval(spark, sf_dir):
     """M2 scored on the test split: metrics at 0.5, ROC-AUC and the best sweep threshold."""
-    prep, tr, te = _prepared(spark, sf_dir)
-    model = M.fit_logistic(tr, "returned")
-    scored = M.positive_score(model.transform(te)).select(F.col("returned").alias("label"), "score")
-    m = E.binary_metrics(scored, "label", "score", 0.5)
-    auc = E.roc_auc(scored, "label", "score").select("roc_auc")
-    best = E.best_threshold(E.threshold_sweep(scored, "label", "score")).select(
-        F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1"))
-    row_auc = auc.first()[0]
-    row_best = best.first()
-    return m.select("n", *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
-                    F.round(F.lit(row_auc), 4).alias("roc_auc"), F.lit(row_best[0]).alias("best_threshold"),
-                    F.round(F.lit(row_best[1]), 4).alias("best_f1"))
+    model, test = _fit_logistic(spark, sf_dir)
+    m = _evaluated(materialise(_scored(model, test)))
+    cols = ["n", "accuracy", "precision", "recall", "f1", "roc_auc", "best_threshold", "best_f1"]
+    return spark.createDataFrame([tuple(m[c] for c in cols)], "n long, " + ", ".join(f"{c} double" for c in cols[1:]))
+
+
+def train_risk_model(spark, sf_dir):
+    """M3-M5: prepare on the train split, search the grid on a bounded sample of it, refit the best point, evaluate on test.
+
+    Returns (pipeline model, metadata)."""
+    train, test = _split(spark, sf_dir)
+    prep = M.Prepared(train, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
+    sample = M.bounded_sample(train, "returned", "order_id")
+    rows = P.kfold_assign(prep.apply(sample).select("order_id", "returned", "features"), "returned", "order_id", 5)
+    search, results = M.forest_grid_search(materialise(rows.coalesce(SMALL)), "returned")
+    best = max(results, key=lambda r: r["cv_roc_auc"])
+    model = PipelineModel(stages=[*prep.stages, search.bestModel])
+    scored = _evaluated(materialise(_scored(model, test)))
+    meta = {"t_star_rf": scored["best_threshold"], "feature_columns": RAW, "model_type": "RandomForestClassifier",
+            "best_params": {"num_trees": best["num_trees"], "max_depth": best["max_depth"]}, "test_roc_auc": scored["roc_auc"],
+            "cv": results, "slots": prep.slot_names, "fit_rows": M.FIT_ROWS, "test": scored}
+    return model, meta
+
+
+def write_risk_model(spark, sf_dir, path: str) -> None:
+    """The training step: save the artefact at ``path`` and let this session's queries over ``sf_dir`` load it."""
+    M.save_model(*train_risk_model(spark, sf_dir), path)
+    spark.conf.set(MODEL_SETTING + sf_dir, path)
+
+
+def risk_model(spark, sf_dir):
+    """The artefact as it was saved: always loaded anew, so that it scores from its files alone."""
+    path = spark.conf.get(MODEL_SETTING + sf_dir, None)
+    if not path:
+        path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+        M.save_model(*train_risk_model(spark, sf_dir), path)
+    return M.load_model(path, PipelineModel)
 
 
 @register("forest_cv")
 def q_forest_cv(spark, sf_dir):
-    """M3 + M4 + M5: 2x3 grid, 5 stratified folds, ROC-AUC; best row and test AUC."""
-    prep, tr, te = _prepared(spark, sf_dir)
-    tr = materialise(P.kfold_assign(tr, "returned", "order_id", 5))
-    model, results = M.forest_grid_search(tr, "returned")
-    scored = M.positive_score(model.bestModel.transform(te)).select(F.col("returned").alias("label"), "score")
-    test_auc = E.roc_auc(scored, "label", "score").first()[0]
-    best = max(results, key=lambda r: r["cv_roc_auc"])
-    # M5: the best CV score should be within 0.05 of the test score
-    rows = [(r["num_trees"], r["max_depth"], round(r["cv_roc_auc"], 4), r is best,
-             round(test_auc, 4) if r is best else None,
-             (abs(r["cv_roc_auc"] - test_auc) < 0.05) if r is best else None) for r in results]
+    """M3 + M4 + M5: 2x3 grid, 5 stratified folds, ROC-AUC; best row, its test AUC and the gap."""
+    _, meta = risk_model(spark, sf_dir)
+    auc, best = meta["test_roc_auc"], max(meta["cv"], key=lambda r: r["cv_roc_auc"])
+    rows = [(r["num_trees"], r["max_depth"], round(r["cv_roc_auc"], 4), r is best, auc if r is best else None,
+             (abs(r["cv_roc_auc"] - auc) < 0.05) if r is best else None) for r in meta["cv"]]
     return spark.createDataFrame(rows, "num_trees int, max_depth int, cv_roc_auc double, best boolean, "
                                        "test_roc_auc double, cv_test_gap_ok boolean")
 
 
 @register("impurity_importance")
 def q_impurity_importance(spark, sf_dir):
-    """Impurity importances of a weighted forest (100 trees, depth 6), 18 slots."""
-    from pyspark.ml.classification import RandomForestClassifier
+    """Impurity importances of the tuned forest by slot; the first five are marked."""
+    model, meta = risk_model(spark, sf_dir)
+    rows = sorted(zip(meta["slots"], model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(f, v, i < 5) for i, (f, v) in enumerate(rows)], "feature string, importance double, top5 boolean")
+
 
-    prep, tr, te = _prepared(spark, sf_dir)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="returned", weightCol="weight", numTrees=100,
-                                maxDepth=6, featureSubsetStrategy="sqrt", seed=42, maxMemoryInMB=1024,
-                                cacheNodeIds=True)
-    model = rf.fit(M.weighted(tr, "returned"))
-    return M.importance_rows(spark, model, prep.slot_names)
+@register("risk_model_scores")
+def q_risk_model_scores(spark, sf_dir):
+    """M6, B1, B2 with the loaded artefact: every order's probability, bucket and flag at the model's own threshold."""
+    model, meta = risk_model(spark, sf_dir)
+    scored = M.positive_score(model.transform(order_features(spark, sf_dir).select("order_id", *meta["feature_columns"])))
+    out = risk.risk_flag(risk.risk_bucket(scored, "score", meta["t_star_rf"]), "score", meta["t_star_rf"])
+    return out.select("order_id", "return_probability", "risk_bucket", "risk_flag", "t_star", "low_below", "high_at_or_above")
 
 
-def _closed_form_scorer(df):
-    ratio = R.safe_div(F.col("num_previous_returns"), F.col("num_previous_orders"))
-    return df.withColumn("score", R.logistic_score(
-        ratio, F.col("product_category"), F.col("discount_pct"), F.col("payment_method"), F.col("delivery_days"),
-        F.col("price_inr"), F.col("is_weekend_order"), F.col("customer_tenure_days")))
+def _closed_form(c: dict):
+    """The closed-form score of a dict of feature columns."""
+    ratio = R.safe_div(c["num_previous_returns"], c["num_previous_orders"])
+    return R.logistic_score(ratio, c["product_category"], c["discount_pct"], c["payment_method"], c["delivery_days"],
+                            c["price_inr"], c["is_weekend_order"], c["customer_tenure_days"])
+
+
+PERM_BUCKETS = 16
 
 
 def _perm_sql(n_repeats: int = 20) -> str:
-    from kestrel.functions.hashing import uniform_sql
-    from kestrel.plans.oracle_orders import with_orders, z_sql
-    from kestrel.plans.prep_plans import split_sql
-
-    cols = NUMERIC_FEATURES + CATEGORICAL_FEATURES
-    vals = ", ".join(f"('{c}')" for c in cols)
-    repl = ", ".join(f"CASE WHEN cp.c = '{c}' THEN d.{c} ELSE cp.{c} END AS {c}" for c in cols)
-    key = "CAST(order_id AS VARCHAR) || '|' || c || '|' || CAST(r AS VARCHAR)"
+    from kestrel.functions.hashing import TWO_POW_32, uniform_sql
+
+    vals = ", ".join(f"('{c}')" for c in RAW)
+    repl = ", ".join(f"CASE WHEN k.c = '{c}' THEN d_{c} ELSE {c} END AS {c}" for c in RAW)
+    lead = ", ".join(f"CASE WHEN lead(order_id) OVER w IS NULL THEN first({c}) OVER whole ELSE lead({c}) OVER w END AS d_{c}" for c in RAW)
+    key = "CAST(order_id AS VARCHAR) || '|' || CAST(r AS VARCHAR)"
     ratio = ("CASE WHEN num_previous_orders = 0 THEN 0.0 "
              "ELSE CAST(num_previous_returns AS DOUBLE) / num_previous_orders END AS prev_return_ratio")
     auc = lambda src, by: f"""(SELECT {by} score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
                  sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY {by} score)"""
-    body = f""", tbase AS (SELECT *, row_number() OVER (ORDER BY order_id) - 1 AS gpos FROM test),
-keys AS (SELECT c, r FROM (VALUES {vals}) cs(c), range(0, {n_repeats}) rr(r)),
-copies AS (SELECT b.*, k.c, k.r, {uniform_sql(key, 'perm')} AS u FROM tbase b, keys k),
-cp AS (SELECT *, row_number() OVER (PARTITION BY c, r ORDER BY u, order_id) - 1 AS ppos FROM copies),
-perm0 AS (SELECT cp.c, cp.r, cp.returned AS label, {repl} FROM cp JOIN tbase d ON d.gpos = cp.ppos),
+    body = f""", rows0 AS (SELECT t.*, r, CAST({uniform_sql(key, 'perm')} * {TWO_POW_32} AS BIGINT) AS h FROM test t, range(0, {n_repeats}) rr(r)),
+rows1 AS (SELECT *, h % {PERM_BUCKETS} AS part FROM rows0),
+donated AS (SELECT *, {lead} FROM rows1
+            WINDOW w AS (PARTITION BY r, part ORDER BY h, order_id),
+                   whole AS (PARTITION BY r, part ORDER BY h, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+perm0 AS (SELECT k.c, d.r, d.returned AS label, {repl} FROM donated d, (VALUES {vals}) k(c)),
 perm1 AS (SELECT *, {ratio} FROM perm0),
 perm AS (SELECT c, r, label, 1.0 / (1.0 + exp(-({z_sql()}))) AS score FROM perm1),
-ref1 AS (SELECT returned AS label, *, {ratio} FROM tbase),
+ref1 AS (SELECT returned AS label, * EXCLUDE (prev_return_ratio), {ratio} FROM test),
 ref AS (SELECT label, 1.0 / (1.0 + exp(-({z_sql()}))) AS score FROM ref1),
 pa AS {auc('perm', 'c, r,')},
 pc AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY c, r ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM pa),
@@ -124,54 +173,115 @@ SELECT c AS feature, round(avg(ref_auc - auc), 6) AS perm_importance_mean,
 @register("permutation_importance", _perm_sql())
 def q_permutation_importance(spark, sf_dir):
     """E7 on the test split with the closed-form scorer: 11 raw columns x 20 shuffles."""
-    test = split_orders(spark, sf_dir).where("split = 'test'")
-    cols = NUMERIC_FEATURES + CATEGORICAL_FEATURES
-    pi = M.permutation_importance(test, "order_id", "returned", cols, _closed_form_scorer, n_repeats=20)
+    _, test = _split(spark, sf_dir)
+    pi = M.permutation_importance(test, "order_id", "returned", RAW, _closed_form, n_repeats=20, buckets=PERM_BUCKETS)
     return pi.select("feature", F.round("perm_importance_mean", 6).alias("perm_importance_mean"),
                      F.round("perm_importance_std", 6).alias("perm_importance_std"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", with_orders("q AS (SELECT 1) SELECT count(*) AS n_scored, CAST(0 AS DOUBLE) AS max_abs_diff, "
+          f"count(*) AS n_in_range, CAST({len(NUMERIC_FEATURES) + 9} AS INTEGER) AS n_slots, CAST({len(RAW)} AS INTEGER) AS n_columns FROM order_features"))
 def q_model_roundtrip(spark, sf_dir):
-    """S5 + S6 + M6: save the fitted model with metadata, reload it, score the whole order
-    table with both; the scores must be equal."""
-    from pyspark.ml.classification import LogisticRegressionModel
-
-    from kestrel.operators.features import order_features
-
-    prep, tr, te = _prepared(spark, sf_dir)
-    model = M.fit_logistic(tr, "returned")
-    path = os.path.join(ensure_checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
-    M.save_model(model, {"feature_columns": NUMERIC_FEATURES + CATEGORICAL_FEATURES, "model_type": "LogisticRegression",
-                         "slots": prep.slot_names}, path)
-    loaded, meta = M.load_model(path, LogisticRegressionModel)
-    everything = prep.apply(order_features(spark, sf_dir)).select("order_id", "features")
-    a = M.positive_score(model.transform(everything), "s1").select("order_id", "s1")
-    b = M.positive_score(loaded.transform(everything), "s2").select("order_id", "s2")
-    j = a.join(b, "order_id")
-    return j.agg(F.count(F.lit(1)).alias("n_scored"), F.max(F.abs(F.col("s1") - F.col("s2"))).alias("max_abs_diff"),
-                 F.min("s1").alias("min_score"), F.max("s1").alias("max_score")) \
-        .withColumn("n_slots", F.lit(len(meta["slots"])))
+    """S5 + S6 + M6: save preparation and model as one artefact, load it, score every raw order with both in one pass."""
+    model, _ = _fit_logistic(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    prep_slots = len(NUMERIC_FEATURES) + sum(len(s.labels) for s in model.stages[1:1 + len(CATEGORICAL_FEATURES)])
+    M.save_model(model, {"feature_columns": RAW, "model_type": "LogisticRegression", "n_slots": prep_slots}, path)
+    loaded, meta = M.load_model(path, PipelineModel)
+    rows = order_features(spark, sf_dir).select("order_id", *meta["feature_columns"])
+    rows = M.positive_score(model.transform(rows), "s1").select(*rows.columns, "s1")
+    rows = M.positive_score(loaded.transform(rows), "s2").select("s1", "s2")
+    return rows.agg(F.count(F.lit(1)).alias("n_scored"), F.max(F.abs(F.col("s1") - F.col("s2"))).alias("max_abs_diff"),
+                    F.sum(F.col("s2").between(0.0, 1.0).cast("long")).alias("n_in_range"),
+                    F.lit(meta["n_slots"]).alias("n_slots"), F.lit(len(meta["feature_columns"])).alias("n_columns"))
+
+
+# ------------------------------------------------------------------ vector classifier
+ITERATIONS = (1, 2, 3, 5, 8, 13, 20)
+GATE = 0.80
+WIDER = (0.0, 0.001, 0.01, 0.1)
+
+
+def head_split(spark, sf_dir):
+    """Train, validation and test vectors, each stratified by label."""
+    v = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]).withColumn("features", array_to_vector("embedding"))
+    rest = P.stratified_split(v, "label", "vec_id", 0.2, names=("rest", "test"))
+    test = rest.where("split = 'test'").drop("split")
+    rest = P.stratified_split(rest.where("split = 'rest'").drop("split"), "label", "vec_id", 0.2, names=("train", "val"), tag="val")
+    return rest.where("split = 'train'"), rest.where("split = 'val'"), test
+
+
+def _predicted(model, rows):
+    return model.transform(rows).select("vec_id", F.col("label").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+def fit_head(spark, sf_dir):
+    """M7 + M8: the linear head after each of ITERATIONS steps with its validation accuracy; if the best stays under the
+    gate, a refit over a wider range of regularisation.  Returns (best model, log rows, test rows)."""
+    train, val, test = head_split(spark, sf_dir)
+    train, val = materialise(train.select("vec_id", "label", "features")), materialise(val.select("vec_id", "label", "features"))
+    log, best = [], None
+
+    def attempt(stage, steps, reg):
+        nonlocal best
+        model = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=steps, regParam=reg).fit(train)
+        acc = MC.accuracy(_predicted(model, val)).first()["accuracy"]
+        log.append([stage, steps, reg, acc])
+        if best is None or acc > best[0]:
+            best = (acc, model, len(log) - 1)
+
+    for steps in ITERATIONS:
+        attempt("head", steps, 0.0)
+    if best[0] < GATE:
+        for reg in WIDER:
+            attempt("refit", 100, reg)
+    return best, log, test
 
 
 @register("linear_head")
 def q_linear_head(spark, sf_dir):
-    """M7 + M8 + E9: multinomial logistic head on the vectors; validation accuracy and gate."""
-    s = split_vectors(spark, sf_dir).withColumn("features", array_to_vector("embedding"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial", maxIter=100)
-    model = lr.fit(s.where("split = 'train'"))
-    pred = model.transform(s.where("split = 'val'")).select(F.col("label").alias("y_true"),
-                                                             F.col("prediction").cast("int").alias("y_pred"))
-    acc = MC.accuracy(pred)
-    return acc.select("n", F.round("accuracy", 4).alias("val_accuracy"),
-                      (F.col("accuracy") < 0.80).alias("fine_tuning_required"),
-                      F.lit(len(model.summary.objectiveHistory)).alias("iterations"))
+    """M7 + M8 + E9: validation accuracy by iteration, the best one, whether the gate fired, and the best one's test accuracy."""
+    (acc, model, at), log, test = fit_head(spark, sf_dir)
+    test_acc = MC.accuracy(_predicted(model, test)).first()["accuracy"]
+    fired = any(r[0] == "refit" for r in log)
+    rows = [(*r[:3], round(r[3], 4), i == at, fired, round(test_acc, 4) if i == at else None) for i, r in enumerate(log)]
+    return spark.createDataFrame(rows, "stage string, iterations int, reg double, val_accuracy double, best boolean, gate_fired boolean, test_accuracy double")
 
 
-def _slots_sql() -> str:
-    from kestrel.plans.oracle_orders import with_orders
-    from kestrel.plans.prep_plans import split_sql
+@register("linear_head_report")
+def q_linear_head_report(spark, sf_dir):
+    """E10-E12 of the fitted head on its test split: per-class figures with the class's most frequent confusion."""
+    (_, model, _), _, test = fit_head(spark, sf_dir)
+    cm = MC.confusion_long(_predicted(model, test), len(T.CLASS_NAMES))
+    worst = cm.where("y_true <> y_pred").groupBy(F.col("y_true").alias("label")).agg(F.max_by(F.struct("y_pred", "n"), F.struct("n", -F.col("y_pred"))).alias("w"))
+    return MC.per_class(cm).join(worst, "label").select("label", "support", "precision", "recall", "f1", F.col("w.y_pred").alias("most_confused_with"), F.col("w.n").alias("n_confused"))
+
 
+@register("model_report")
+def q_model_report(spark, sf_dir):
+    """The whole report as one nested JSON document, written by the sink and read back: baseline, logistic regression,
+    forest with its grid, importances and subgroups, and the vector classifier."""
+    train, test = _split(spark, sf_dir)
+    base = M.baseline_majority(train, test, "returned").first().asDict()
+    logistic, _ = _fit_logistic(spark, sf_dir)
+    forest, meta = risk_model(spark, sf_dir)
+    importances = sorted(zip(meta["slots"], forest.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:5]
+    groups = E.subgroup_metrics(materialise(_scored(forest, test)), CATEGORICAL_FEATURES, "label", "score", 0.5).collect()  # a row for each group
+    (acc, head, _), _, vectors = fit_head(spark, sf_dir)
+    report = {
+        "baseline": base, "logistic": _evaluated(materialise(_scored(logistic, test))), "forest": {**meta["best_params"], **meta["test"]},
+        "importances": [{"feature": f, "importance": v} for f, v in importances], "subgroups": [r.asDict() for r in groups],
+        "vectors": {"val_accuracy": acc, "test_accuracy": MC.accuracy(_predicted(head, vectors)).first()["accuracy"]}}
+    import json
+
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    parsed = spark.createDataFrame([(json.dumps(report),)], "j string")
+    schema = parsed.select(F.schema_of_json(F.lit(json.dumps(report)))).first()[0]
+    sinks.write_report_json(parsed.select(F.from_json("j", schema).alias("r")).select("r.*"), path)
+    return spark.read.json(path).select(sorted(report))
+
+
+def _slots_sql() -> str:
     nums = ", ".join(f"({i}, '{c}')" for i, c in enumerate(NUMERIC_FEATURES))
     cats = " UNION ALL ".join(
         f"SELECT '{c}_' || v AS feature, {g} AS grp, v FROM (SELECT DISTINCT {c} AS v FROM train)"

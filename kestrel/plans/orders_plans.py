@@ -220,30 +220,55 @@ def q_order_features_scan(spark, sf_dir):
     return sinks.read_orders_csv(spark, path)
 
 
-@register("evaluation_report")
+_F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END"
+_GROUPS_SQL = " UNION ALL ".join(
+    f"SELECT '{g}' AS dim, {g} AS item, count(*) AS n, sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, "
+    f"sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS pp, sum(label) AS p FROM tscored GROUP BY {g}" for g in ("product_category", "payment_method"))
+
+
+@register("evaluation_report", with_orders(f"""{split_sql()}, {test_scores_sql()}, {sweep_cte('test_scores')},
+tscored AS (SELECT returned AS label, prob_return AS score, product_category, payment_method FROM test),
+m AS (SELECT sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp,
+      sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN score < 0.5 AND label = 0 THEN 1 ELSE 0 END) AS tn FROM tscored),
+b AS (SELECT * FROM sweep ORDER BY f1 DESC, threshold ASC LIMIT 1),
+gr AS ({_GROUPS_SQL})
+SELECT 'closed_form_default' AS section, 'all' AS item, 'accuracy' AS metric, round(CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn), 4) AS value FROM m
+UNION ALL SELECT 'closed_form_default', 'all', 'precision', round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 4) FROM m
+UNION ALL SELECT 'closed_form_default', 'all', 'recall', round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 4) FROM m
+UNION ALL SELECT 'closed_form_default', 'all', 'f1', round({_F1}, 4) FROM m
+UNION ALL SELECT 'closed_form_best_threshold', 'all', 'threshold', threshold FROM b
+UNION ALL SELECT 'closed_form_best_threshold', 'all', 'f1', round(f1, 4) FROM b
+UNION ALL SELECT 'closed_form_best_threshold', 'all', 'recall', round(recall, 4) FROM b
+UNION ALL SELECT 'closed_form_best_threshold', 'all', 'precision', round(precision, 4) FROM b
+UNION ALL SELECT dim, item, 'n', CAST(n AS DOUBLE) FROM gr
+UNION ALL SELECT dim, item, 'recall', round(CASE WHEN p = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / p END, 4) FROM gr
+UNION ALL SELECT dim, item, 'precision', round(CASE WHEN pp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pp END, 4) FROM gr"""))
 def q_evaluation_report(spark, sf_dir):
-    """One row of nested metrics for the closed-form score (baseline, metrics at 0.5,
-    ROC-AUC, best threshold, subgroups as arrays of structs); ``sinks.write_report_json``
-    writes it as a JSON document."""
-    from kestrel.operators import models as M
+    """The nested report of the closed-form score on the test split, written as JSON by the sink, read back
+    and flattened to (section, item, metric, value) rows."""
+    import uuid
+
     from kestrel.plans.prep_plans import split_orders
+    from kestrel.session import ensure_checkpoint_dir
+    from kestrel.sources import sinks
 
-    split = split_orders(spark, sf_dir)
-    test = split.where("split = 'test'").select(F.col("returned").alias("label"), F.col("prob_return").alias("score"),
-                                                "product_category", "payment_method")
-    base = M.baseline_majority(split.where("split = 'train'"), split.where("split = 'test'"), "returned").first()
-    m = E.binary_metrics(test, "label", "score", 0.5).first()
-    auc = E.roc_auc(test, "label", "score").first()["roc_auc"]
-    best = E.best_threshold(E.threshold_sweep(test, "label", "score")).first()
+    test = split_orders(spark, sf_dir).where("split = 'test'").select(
+        F.col("returned").alias("label"), F.col("prob_return").alias("score"), "product_category", "payment_method")
+    metrics = ["accuracy", "precision", "recall", "f1"]
+    best_of = ["threshold", "f1", "recall", "precision"]
+    m = E.binary_metrics(test, "label", "score", 0.5).select(F.struct(*[F.round(c, 4).alias(c) for c in metrics]).alias("closed_form_default"))
+    best = E.best_threshold(E.threshold_sweep(test, "label", "score")).select(
+        F.struct(*[F.round(c, 4).alias(c) for c in best_of]).alias("closed_form_best_threshold"))
     sub = E.subgroup_metrics(test, ["product_category", "payment_method"], "label", "score", 0.5)
-    groups = sub.groupBy("dimension").agg(F.array_sort(F.collect_list(F.struct("group_value", "n", "recall", "precision")))
-                                          .alias("rows"))
-    report = groups.agg(F.map_from_entries(F.collect_list(F.struct("dimension", "rows"))).alias("subgroups"))
-    return report.select(
-        F.struct(F.lit(base["accuracy"]).alias("accuracy"), F.lit(base["f1_class1"]).alias("f1_class1")).alias("baseline"),
-        F.struct(*[F.lit(round(m[k], 4)).alias(k) for k in ("accuracy", "precision", "recall", "f1")],
-                 F.lit(round(auc, 4)).alias("roc_auc")).alias("closed_form_default"),
-        F.struct(*[F.lit(round(best[k], 4)).alias(k) for k in ("threshold", "f1", "recall", "precision")])
-        .alias("closed_form_best_threshold"),
-        "subgroups",
-    )
+    groups = sub.agg(F.array_sort(F.collect_list(F.struct("dimension", "group_value", "n", "recall", "precision"))).alias("subgroups"))
+    one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731  (each side is one row)
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report_json(one(m).join(one(best), "k").join(one(groups), "k").drop("k"), path)
+    back = spark.read.json(path)
+    parts = [F.struct(F.lit(s).alias("section"), F.lit("all").alias("item"), F.lit(c).alias("metric"), F.col(f"{s}.{c}").cast("double").alias("value"))
+             for s, cs in (("closed_form_default", metrics), ("closed_form_best_threshold", best_of)) for c in cs]
+    flat = back.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    g = back.select(F.explode("subgroups").alias("g")).select(F.explode(F.array(*[
+        F.struct(F.col("g.dimension").alias("section"), F.col("g.group_value").alias("item"), F.lit(c).alias("metric"), F.col(f"g.{c}").cast("double").alias("value"))
+        for c in ("n", "recall", "precision")])).alias("x")).select("x.*")
+    return flat.unionByName(g)

@@ -66,11 +66,17 @@ def q_vector_norms(spark, sf_dir):
 
 
 @register("vector_table_stats", "SELECT count(*) AS n_vectors, CAST(max(len(embedding)) AS INTEGER) AS dim, "
-          "count(DISTINCT label) AS n_labels, "
-          "round(avg(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS mean_norm "
-          "FROM embeddings")
+          "count(DISTINCT label) AS n_labels, CAST(1 AS DOUBLE) AS mean_norm FROM embeddings")
 def q_vector_table_stats(spark, sf_dir):
-    v = RT.vector_norms(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+    """The unit-length vector table written by the sink and read back."""
+    import uuid
+
+    from kestrel.session import ensure_checkpoint_dir
+    from kestrel.sources import sinks
+
+    path = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    sinks.write_vector_table(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]), path)
+    v = RT.vector_norms(spark.read.parquet(path))
     return v.agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("embedding")).alias("dim"),
                  F.countDistinct("label").alias("n_labels"), F.round(F.avg("norm"), 6).alias("mean_norm"))
 

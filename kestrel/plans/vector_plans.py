@@ -132,11 +132,21 @@ def q_first_per_class(spark, sf_dir):
     f"CAST(sum(CASE WHEN y_pred = {i} THEN n ELSE 0 END) AS BIGINT) AS {name}" for i, name in enumerate(T.CLASS_NAMES))
     + " FROM cm GROUP BY y_true")
 def q_confusion_matrix_wide(spark, sf_dir):
-    """E10 wide / S3 shape: rows = true class (named), columns = predicted class."""
-    return MC.confusion_wide(MC.confusion_long(val_predictions(spark, sf_dir), len(T.CLASS_NAMES)), T.CLASS_NAMES)
+    """E10 wide / S3: rows = true class (named), columns = predicted class; written as CSV by the sink and read back."""
+    import uuid
 
+    from kestrel.session import ensure_checkpoint_dir
+    from kestrel.sources import sinks
 
-@register("prediction_records")
+    wide = MC.confusion_wide(MC.confusion_long(val_predictions(spark, sf_dir), len(T.CLASS_NAMES)), T.CLASS_NAMES)
+    path = f"{ensure_checkpoint_dir(spark)}/confusion-{uuid.uuid4().hex}"
+    sinks.write_result_csv(wide, path)
+    return spark.read.schema("class string, " + ", ".join(f"{n} long" for n in T.CLASS_NAMES)).option("header", True).csv(path)
+
+
+@register("prediction_records", "WITH " + _PRED_SQL + f" SELECT g.vec_id, {_NAMES_SQL}[p.pred + 1] AS predicted_class, p.confidence, "
+          f"{_NAMES_SQL}[g.c + 1] AS class, round(exp(g.l - m.lmax) / sum(exp(g.l - m.lmax)) OVER (PARTITION BY g.vec_id), 4) AS probability "
+          "FROM logits g JOIN mx m USING (vec_id) JOIN preds p ON p.vec_id = g.vec_id")
 def q_prediction_records(spark, sf_dir):
-    """The prediction record per vector: class, confidence, all class probabilities."""
-    return centroid_predictions(spark, sf_dir).select("vec_id", "predicted_class", "confidence", "all_probabilities")
+    """The prediction record of each vector, one row for each class probability."""
+    return centroid_predictions(spark, sf_dir).select("vec_id", "predicted_class", "confidence", F.explode("all_probabilities").alias("class", "probability"))
