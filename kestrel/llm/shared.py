@@ -23,8 +23,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
 def plain(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input (whatever their names) never clash."""
+    """Only the named columns, so that extra columns of the input (whatever their names) never clash.
+
+    Texts go to Python in Arrow batches of a few MB, however long they are: where the session keeps Spark's default
+    bound of a batch, a smaller one is set, which bounds the memory of the task on both sides.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 

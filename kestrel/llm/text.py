@@ -86,7 +86,7 @@ class Powers:
 
     def get(self, n: int):
         if n > self.n:
-            self.n = max(n, 2 * SLICE_BYTES if self.n < 0 else 2 * self.n)
+            self.n = max(n, SLICE_BYTES + (1 << 16) if self.n < 0 else 2 * self.n)
             self.up, self.down = powers(self.n, BASE), powers(self.n, BASE_INV)
         return self.up, self.down
 
