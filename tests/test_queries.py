@@ -4,10 +4,13 @@ import math
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from kestrel.plans import registry
 from conftest import SF01
 
-SLOW = {"forest_cv", "logreg_eval", "model_roundtrip", "impurity_importance", "chunk_text_embedding"}
+registry.load_all()
+
+SLOW = {"forest_cv", "impurity_importance", "risk_model_scores", "model_report", "logreg_eval", "linear_head", "linear_head_report"}
 
 
 def _norm(v):
@@ -24,12 +27,12 @@ def test_entry(spark):
     assert df.columns == ["threshold", "f1", "recall", "precision"]
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_oracle(spark, duck, name):
-    df = queries()[name](spark, SF01)
+    df = registry.QUERIES[name](spark, SF01)
     cols = sorted(df.columns)
     got = sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
-    rel = duck.execute(oracle_sql()[name])
+    rel = duck.execute(registry.ORACLE[name])
     ocols = [d[0] for d in rel.description]
     assert sorted(ocols) == cols
     idx = {c: i for i, c in enumerate(ocols)}
@@ -38,7 +41,7 @@ def test_oracle(spark, duck, name):
 
 
 def test_every_query_has_rows(spark):
-    for name, fn in queries().items():
-        if name in SLOW or name in oracle_sql():
+    for name, fn in registry.QUERIES.items():
+        if name in SLOW or name in registry.ORACLE:
             continue
         assert fn(spark, SF01).count() >= 1, name

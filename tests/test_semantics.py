@@ -33,9 +33,8 @@ def test_zero_division_and_buckets(spark):
 def test_medians_interpolate_and_fit_on_train_only(spark):
     df = spark.createDataFrame([(1.0, "train"), (2.0, "train"), (4.0, "train"), (9.0, "train"), (100.0, "test")],
                                "x double, split string")
-    med = P.exact_medians(df.where("split = 'train'"), ["x"]).first().median
-    assert med == 3.0
-    assert P.exact_medians(df, ["x"]).first().median == 4.0  # test rows would change it
+    assert P.exact_medians(df.where("split = 'train'"), ["x"]) == {"x": 3.0}
+    assert P.exact_medians(df, ["x"]) == {"x": 4.0}  # test rows would change it
 
 
 def test_stratified_split_exact_counts(spark):
@@ -125,3 +124,40 @@ def test_sweep_bin_matches_brute_force(spark):
     got = {r.score: r.bin for r in df.select("score", _sweep_bin(F.col("score")).alias("bin")).collect()}
     for s in scores:
         assert got[s] == sum(1 for t in grid if s >= t), s
+
+
+def test_orders_without_lines_stay(spark):
+    from conftest import SF01
+    from kestrel.functions import rules as R
+    from kestrel.operators.features import order_features
+
+    table = order_features(spark, SF01)
+    orders, lines = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("orders", "lineitem"))
+    assert table.count() == orders.count() == table.select("order_id").distinct().count()
+    bare = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select(F.col("o_orderkey").alias("order_id"))
+    got = table.join(bare, "order_id").select("price_inr", "discount_pct", "product_category", "delivery_days").distinct().collect()
+    assert bare.count() > 0 and [tuple(r) for r in got] == [(R.NO_LINES_PRICE, R.NO_LINES_DISCOUNT, R.NO_LINES_CATEGORY, R.NO_LINES_DAYS)]
+    # every earlier order of a customer counts, with lines or without
+    history = table.groupBy("customer_id").agg(F.max("num_previous_orders").alias("m"), F.count("*").alias("n"))
+    assert history.where("m <> n - 1").count() == 0
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from kestrel.session import ensure_checkpoint_dir
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Nothing()})()})()
+
+        def getConf(self):
+            return {}
+
+    session = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
