@@ -128,6 +128,12 @@ class Model:
         return f"array({', '.join(rows)})"
 
 
+def rows_of(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """A small fixed table as constants of the plan."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+
+
 def examples() -> list[tuple[str, str]]:
     """(class, text): templates, their spans of three words in five and more, and the hard negatives."""
     out = []
@@ -145,16 +151,16 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, line string")
+    notices = rows_of(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "family", "line")
     own = notices.selectExpr("family", f"{grams_sql('line')} as grams", "line").collect()
     features = sorted({g for r in own for g in r.grams})
     templates = {f: [frozenset(features.index(g) for g in r.grams) for r in own if r.family == f] for f in TEMPLATES}
-    hashes = [r.h for r in spark.createDataFrame(list(enumerate(features)), "i int, g string").selectExpr("i", "xxhash64(g) as h").orderBy("i").collect()]
+    hashes = [r.h for r in rows_of(spark, enumerate(features), "i", "g").selectExpr("i", "xxhash64(g) as h").orderBy("i").collect()]
     classes = [OTHER, *TEMPLATES]
     model = Model(features, hashes, classes, None, None, templates)
 
     number = {c: i for i, c in enumerate(classes)}
-    given = spark.createDataFrame([(number[c], t) for c, t in examples()], "label int, line string")
+    given = rows_of(spark, [(number[c], t) for c, t in examples()], "label", "line")
     first = plain(docs, "doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     lines = first.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter("not lower(line) rlike 'licen[cs]e|copyright|public domain|spdx'").distinct()
     both = given.unionByName(lines.selectExpr("0 as label", "line"))
