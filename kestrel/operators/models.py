@@ -106,14 +106,14 @@ def bounded_sample(train: DataFrame, label: str, id_col: str, rows: int = FIT_RO
 
 
 def forest_grid_search(train_prepared: DataFrame, label: str, fold_col: str = "fold", n_folds: int = 5,
-                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 4):
+                       n_trees=(100, 200), depths=(6, 10, 30), seed: int = 42, parallelism: int = 6):
     """M3 + M4: class-weighted random forest, grid x k folds by ROC-AUC, refit on all given rows.
 
     An unlimited depth maps to 30 (Spark's maximum).  Exact AUC (numBins=0).  The rows are a bounded sample (see
-    ``bounded_sample``), so a few partitions hold them and each of the many passes of a deep forest is short.
+    ``bounded_sample``), so one partition holds them, and all grid points of a fold train side by side.
     """
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight",
-                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=512, cacheNodeIds=True)
+                                featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=256, cacheNodeIds=True)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(n_trees)).addGrid(rf.maxDepth, list(depths)).build()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)

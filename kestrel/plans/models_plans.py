@@ -30,7 +30,7 @@ from kestrel.sources.tables import read_table
 
 RAW = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 MODEL_SETTING = "kestrel.riskModel."  # + input folder: where the caller has saved its model
-SMALL = 2  # partitions of a bounded fit sample
+SMALL = 1  # partitions of the bounded fit sample
 
 
 def _split(spark, sf_dir):
