@@ -161,7 +161,11 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     number = {c: i for i, c in enumerate(classes)}
     given = rows_of(spark, [(number[c], t) for c, t in examples()], "label", "line")
-    first = plain(docs, "doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    # thin by hash to about twice the sample first, so that what meets for the exact choice does not grow with the table
+    own_docs = plain(docs, "doc_id", "text").filter("text is not null")
+    share = min(1.0, (2 * sample_docs + 50) / max(1, own_docs.count()))
+    thin = own_docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    first = thin.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     lines = first.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter("not lower(line) rlike 'licen[cs]e|copyright|public domain|spdx'").distinct()
     both = given.unionByName(lines.selectExpr("0 as label", "line"))
     both = both.selectExpr("label", "line", f"{model.places_sql(grams_sql('line'))} as places")
