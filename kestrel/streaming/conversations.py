@@ -43,14 +43,15 @@ def _carry(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame
     # a turn that is seen again replaces itself
     every = every.drop_duplicates("turn", keep="last").sort_values("turn", kind="stable", ignore_index=True)
     every = every.where(every.notna(), None)
-    detail = every["risk_text"].where(every["mentions_details"].astype(bool)).ffill()
-    first = every["risk_text"].bfill().iloc[0] if len(every) else None
+    risk_text, path = every["risk_text"].astype("string"), every["path_here"].astype("string")
+    given = risk_text.dropna()
+    source = risk_text.where(every["mentions_details"].astype(bool)).ffill()
+    if len(given):  # before any turn with details, the first risk turn's own text counts
+        source = source.fillna(given.iloc[0])
     is_risk, is_image = every["intent"] == T.RISK, every["intent"] == T.IMAGE
-    seen_risk = is_risk.cummax()
-    source = detail.fillna(first) if first is not None else detail
     out = pd.DataFrame({
         "conv_id": key[0], "turn": every["turn"], "intent": every["intent"], "mentions_details": every["mentions_details"].astype(bool),
-        "features_source_text": source.where(is_risk & seen_risk), "image_path": every["path_here"].ffill().where(is_image), "version": version + 1})
+        "features_source_text": source.where(is_risk), "image_path": path.ffill().where(is_image), "version": version + 1})
     state.update((version + 1, *[every[c].tolist() for c in _KEPT]))
     out = out[out["turn"] >= new["turn"].min()]
     yield out.astype({"turn": "int64"}).astype(object).where(out.notna(), None).astype({"turn": "int64", "version": "int64", "mentions_details": bool, "conv_id": "int64"})
