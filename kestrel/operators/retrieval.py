@@ -215,7 +215,12 @@ def precision_recall(queries: DataFrame, topk: DataFrame, relevant: DataFrame) -
 
 
 def macro_average(per_query: DataFrame) -> DataFrame:
-    """Mean of the already rounded per-query values, 4 dp."""
-    return per_query.agg(F.count(F.lit(1)).alias("n_queries"),
-                         F.round(F.avg("precision_at_k"), 4).alias("avg_precision_at_k"),
-                         F.round(F.avg("recall_at_k"), 4).alias("avg_recall_at_k"))
+    """Mean of the already rounded per-query values, 4 dp (in whole ten-thousandths, so that no order of adding
+    decides a half)."""
+    n = F.count(F.lit(1))
+
+    def mean(c):
+        total = F.sum(F.round(F.col(c) * 10000).cast("long"))
+        return (F.floor((2 * total + n) / (2 * n)) / 10000.0).alias(f"avg_{c}")
+
+    return per_query.agg(n.alias("n_queries"), mean("precision_at_k"), mean("recall_at_k"))

@@ -181,8 +181,9 @@ def q_retrieval_pr(spark, sf_dir):
     return _per_query(spark, sf_dir)
 
 
-@register("retrieval_macro_avg", f"WITH {_key_sql()} SELECT count(*) AS n_queries, round(avg(precision_at_k), 4) AS avg_precision_at_k, "
-          "round(avg(recall_at_k), 4) AS avg_recall_at_k FROM pr")
+@register("retrieval_macro_avg", f"WITH {_key_sql()} SELECT count(*) AS n_queries, "
+          "((2 * sum(CAST(round(precision_at_k * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0 AS avg_precision_at_k, "
+          "((2 * sum(CAST(round(recall_at_k * 10000) AS BIGINT)) + count(*)) // (2 * count(*))) / 10000.0 AS avg_recall_at_k FROM pr")
 def q_retrieval_macro(spark, sf_dir):
     return RT.macro_average(_per_query(spark, sf_dir))
 
