@@ -7,7 +7,10 @@ by their 128-bit hash; a template needs ``literals`` words that are no placehold
 its slots, the surface forms behind the placeholders, and the slot check asks that one slot value of the item
 stands for one value in the document.  A document is contaminated by an item if it holds at least ``share`` of
 the item's windows and at least that share of its matched slot values are consistent; so re-parameterised
-questions are caught, and chance meetings of placeholders are not.
+questions are caught, and chance meetings of placeholders are not.  Where a document holds an item more than once,
+with other values each time, one occurrence that passes by itself is enough: the matches of one shift (place in the
+document less place in the item), or of the shifts of a stretch as long as the item (two grids, half of it apart),
+so that words put in or left out do not cut an occurrence.
 
 Documents are first sieved by a bit table of fixed size made from the benchmark's windows: what it lets
 through by chance does not survive the join, and nothing that matches is lost.  The join itself is a plain
@@ -15,7 +18,8 @@ equi-join, so a large benchmark is shuffled, not broadcast.
 
 Defined results: null or empty texts hold no windows; an item under ``window`` words is one window of its own
 length (items without ``literals`` literal words, or null ones, match nothing); repeated rows and items give
-one hit; other columns are ignored; an empty table on either side gives no hits.
+one hit; rows (and items) with one id, or null, and different texts stay apart; other columns are ignored; an empty
+table on either side gives no hits.
 """
 from __future__ import annotations
 
@@ -162,41 +166,66 @@ def _sieve(items: DataFrame, size: int) -> dict:
     return {"bits": np.packbits(bits).tobytes(), "sizes": shorts or [size]}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
-    """One row per document id and benchmark item that it holds: ``doc_id, item_id, windows`` (matched),
-    ``item_windows``, ``slots`` (matched slot values of the item) and ``slot_share`` (of them consistent)."""
+def _keyed(rows: DataFrame, id_col: str) -> DataFrame:
+    """``id`` (the id and the text's hash) and ``text``."""
+    return plain(rows, id_col, "text").select(F.struct(F.col(id_col).alias("id"), F.xxhash64("text").alias("text")).alias("id"), "text")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, literals: int, share: float) -> DataFrame:
+    """``contaminated`` with the keys of ``_keyed`` as ``doc`` and ``item``."""
     spark = docs.sparkSession
-    item_kind, doc_kind = (df.schema[c].dataType.simpleString() for df, c in ((benchmark, "item_id"), (docs, "doc_id")))
-    rows = plain(benchmark, "item_id", "text")
+    rows, own = _keyed(benchmark, "item_id"), _keyed(docs, "doc_id")
+    item_kind, doc_kind = (df.schema["id"].dataType.simpleString() for df in (rows, own))
     items = rows.mapInArrow(lambda it: _item_windows(it, window, literals), SIDE.format(kind=item_kind))
-    words = rows.mapInArrow(lambda it: _lengths(it, window), f"id {item_kind}, n int").dropDuplicates(["id"])
-    items = written(items.dropDuplicates(["id", "at"]).join(words, "id"), "benchmark-windows")
+    words = rows.mapInArrow(lambda it: _lengths(it, window), f"item {item_kind}, n int, words int").dropDuplicates(["item"])
+    items = written(items.dropDuplicates(["id", "at"]).join(words, F.col("id").eqNullSafe(F.col("item"))).drop("item"), "benchmark-windows")
     sieve = spark.sparkContext.broadcast(_sieve(items, window))
-    found = written(plain(docs, "doc_id", "text").mapInArrow(lambda it: _doc_windows(it, window, literals, sieve), SIDE.format(kind=doc_kind)), "sieved-windows")
+    found = written(own.mapInArrow(lambda it: _doc_windows(it, window, literals, sieve), SIDE.format(kind=doc_kind)), "sieved-windows")
+
+    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("at").alias("item_windows"))
+    item = items.select("id", "w1", "w2", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "words")
+    item = item.join(sizes, F.col("id").eqNullSafe(F.col("item"))).drop("id")
+    hits = found.select(F.col("id").alias("doc"), "w1", "w2", "at", "slots").join(item, ["w1", "w2"])
+
+    # the whole document (grid 0), single shifts, and stretches of shifts in two grids; no join, so that nulls and hot documents are as others
+    shift = F.col("at") - F.col("item_at")
+    places = [F.lit(0), shift, F.floor(shift / F.col("words")), F.floor((shift + F.floor(F.col("words") / 2)) / F.col("words"))]
+    occurrence = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), p.cast("bigint").alias("place")) for i, p in enumerate(places)]))
+    pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: F.struct(F.lit(True).alias("slot"), x["a"].alias("a"), x["b"].alias("b")))
+    windows_ = F.array(F.struct(F.lit(False).alias("slot"), F.col("item_at").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")))
+    facts = hits.select("doc", "item", "item_windows", F.explode(F.concat(windows_, pairs)).alias("x"), *[F.col(c) for c in ("at", "item_at", "words")])
+    facts = facts.select("doc", "item", "item_windows", "x", occurrence.alias("place"))
+    values = facts.groupBy("doc", "item", "place", F.col("x.slot").alias("slot"), F.col("x.a").alias("a")).agg(
+        (F.min("x.b") == F.max("x.b")).alias("one"), F.max("item_windows").alias("item_windows"))
+    checked = values.groupBy("doc", "item", "place").agg(
+        F.max("item_windows").alias("item_windows"), F.count(F.when(~F.col("slot"), 1)).alias("windows"), F.count(F.when(F.col("slot"), 1)).alias("slots"),
+        F.coalesce(F.avg(F.when(F.col("slot"), F.col("one").cast("double"))), F.lit(1.0)).alias("slot_share"))
+    checked = checked.withColumn("slot_share", F.round("slot_share", 6)).filter((F.col("windows") >= share * F.col("item_windows")) & (F.col("slot_share") >= share))
+    # the figures of the whole document where it passes, else those of its best occurrence
+    best = F.max(F.struct((F.col("place.grid") == 0).alias("whole"), "slot_share", "windows", "slots", "item_windows")).alias("best")
+    return checked.groupBy("doc", "item").agg(best).select("doc", "item", *[f"best.{c}" for c in ("windows", "item_windows", "slots", "slot_share")])
 
-    item = items.select(F.col("id").alias("item_id"), "w1", "w2", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    hits = found.select(F.col("id").alias("doc_id"), "w1", "w2", "slots").join(item, ["w1", "w2"])
-    matched = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("windows"))
-    pairs = hits.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("x"))
-    values = pairs.groupBy("doc_id", "item_id", F.col("x.a").alias("a")).agg((F.min("x.b") == F.max("x.b")).alias("one"))
-    checked = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.avg(F.col("one").cast("double")).alias("slot_share"))
-    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("at").alias("item_windows"))
-    out = matched.join(sizes, "item_id").filter(F.col("windows") >= share * F.col("item_windows")).join(checked, ["doc_id", "item_id"], "left")
-    out = out.select("doc_id", "item_id", "windows", "item_windows", F.coalesce("slots", F.lit(0)).alias("slots"),
-                     F.round(F.coalesce("slot_share", F.lit(1.0)), 6).alias("slot_share"))
-    return out.filter(F.col("slot_share") >= share)
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
+    """One row per document and benchmark item that it holds: ``doc_id, item_id, windows`` (matched),
+    ``item_windows``, ``slots`` (matched slot values of the item) and ``slot_share`` (of them consistent)."""
+    out = _contaminated(docs, benchmark, window, literals, share)
+    return out.select(F.col("doc.id").alias("doc_id"), F.col("item.id").alias("item_id"), "windows", "item_windows", "slots", "slot_share")
 
 
 def _lengths(batches, size: int):
-    """The window length that fits each item."""
+    """The window length that fits each item, and its words."""
     pw = Powers()
     for part in slices(batches, "text"):
         data, offs, _ = flat_bytes(part.column(1))
-        count = np.diff(canonical(data, offs, pw)[-1])
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.minimum(count, size).astype(np.int32))], names=["id", "n"])
+        count = np.diff(canonical(data, offs, pw)[-1]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.minimum(count, size).astype(np.int32)), pa.array(count)], names=["item", "n", "words"])
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` (all columns) that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, **parameters).select(F.col("doc_id").alias("gone_doc_id"))
-    return without(docs, bad, "contaminated")
+    key = "key_text"
+    while key in docs.columns:
+        key += "_"
+    bad = _contaminated(docs, benchmark, window, literals, share).select(F.col("doc.id").alias("gone_doc_id"), F.col("doc.text").alias(f"gone_{key}"))
+    return without(docs.withColumn(key, F.xxhash64("text")), bad, "contaminated").drop(key)

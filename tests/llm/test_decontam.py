@@ -94,3 +94,18 @@ def test_equals_brute_force(docs_of, shared):
     assert kept.columns == docs_of(rows).columns
     assert contaminated(docs_of([]).limit(0), bench).count() == 0
     assert contaminated(docs_of(rows), bench.limit(0)).count() == 0
+
+
+def test_each_occurrence_and_each_text_counts_alone(docs_of, shared):
+    question = "If Tom has {} apples and gives Mary {} apples, how many apples does Tom keep for the long day?"
+    own, other, third = question.format(12, 5), question.format(31, 9).replace("Tom", "Anna").replace("Mary", "Bob"), question.format(7, 2).replace("Tom", "Carl").replace("Mary", "Eve")
+    half = own.split()
+    rows = [(1, f"{own}\n{other}"), (2, f"{other} so it is. {third} {other}"), (3, f"It is so.\n{other}\n" + own.replace("apples and", "apples today and") + f" {third}"),
+            (4, " ".join(half[:9])), (4, " ".join(half[-9:])), (5, own), (5, "a clean text"), (None, own), (None, "a clean text"), (None, third), (6, None), (7, " ".join(half[:9]))]
+    items = [(0, own), (0, ITEMS[7][1]), (None, ITEMS[1][1])]
+    rows += [(8, ITEMS[7][1]), (9, ITEMS[1][1])]
+    bench = shared.createDataFrame(items, "item_id bigint, text string")
+    got = sorted(((r.doc_id, r.item_id, r.slot_share) for r in contaminated(docs_of(rows), bench).collect()), key=str)
+    assert got == sorted([(1, 0, 1.0), (2, 0, 1.0), (3, 0, 1.0), (5, 0, 1.0), (None, 0, 1.0), (None, 0, 1.0), (8, 0, 1.0), (9, None, 1.0)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in clean_documents(docs_of(rows), bench).collect()), key=str)
+    assert kept == sorted([r for r in rows if r[0] in (4, 6, 7) or r[1] == "a clean text"], key=str)
