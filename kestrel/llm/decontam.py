@@ -2,7 +2,9 @@
 
 Words are lower-cased, stripped of outer punctuation and *canonicalised*: a word with a digit becomes the
 placeholder of a number, a unit after a number the one of a unit, a capitalised word inside a sentence the
-one of a name.  Windows of ``window`` canonical words (templates) of benchmark items and documents are joined
+one of a name.  As names also open sentences, and copies are re-wrapped or change their case, both sides are read in
+two more ways: every capitalised word is a name, and no word is one.  They add matches where the first way finds
+none; the windows of an item are counted in the first.  Windows of ``window`` canonical words (templates) of benchmark items and documents are joined
 by their 128-bit hash; a template needs ``literals`` words that are no placeholders.  Every match also carries
 its slots, the surface forms behind the placeholders, and the slot check asks that one slot value of the item
 stands for one value in the document.  A document is contaminated by an item if it holds at least ``share`` of
@@ -49,7 +51,7 @@ def byte_table(chars) -> np.ndarray:
 
 
 def canonical(data: np.ndarray, offs: np.ndarray, pw: Powers):
-    """Words of the rows: (canonical hash, second hash, placeholder kind, surface hash, each row's first word)."""
+    """Words of the rows: (placeholder kinds in each of the three ways, surface hash, second hash, each row's first word)."""
     starts, ends, _ = word_spans(data, offs)
     outer = byte_table(OUTER)[data]
     place = np.arange(len(data))
@@ -73,19 +75,28 @@ def canonical(data: np.ndarray, offs: np.ndarray, pw: Powers):
     kind = np.zeros(len(s), np.uint8)
     number = digits[e] > digits[s]
     kind[number] = NUMBER
-    kind[~number & ~opens & upper[s] & (uppers[e] - uppers[s] == 1)] = NAME if len(s) else 0
+    capital = ~number & upper[s] & (uppers[e] - uppers[s] == 1) if len(s) else number
     units = np.frombuffer("".join(UNITS).encode(), np.uint8)
     size = np.fromiter(map(len, UNITS), np.int64, len(UNITS))
     upto = np.cumsum(size)
     after_number = np.append(False, number[:-1] & (row[1:] == row[:-1])) if len(s) else number
     kind[after_number & ~number & np.isin(h1, word_hashes(units, upto - size, upto, pw, 1))] = UNIT
-    c1, c2 = h1.copy(), h2.copy()
-    for k in (NUMBER, UNIT, NAME):
-        c1[kind == k], c2[kind == k] = mix(np.array([k], np.uint64))[0], mix(np.array([k + 10], np.uint64))[0]
-    return c1, c2, kind, h1, np.searchsorted(row, np.arange(len(offs)))
+    kinds = [np.where(names & (kind == 0), np.uint8(NAME), kind) for names in (capital & ~opens, capital, np.zeros(len(s), bool))]
+    return kinds, h1, h2, np.searchsorted(row, np.arange(len(offs)))
 
 
-def windows(canon, pw: Powers, size: int, literals: int):
+def ways(words, item: bool):
+    """(way, (canonical hash, second hash, kind, surface hash, each row's first word), words of which a window of the way
+    holds one, kind by which its literals are counted too): a window that two ways read alike is the first's."""
+    kinds, h1, h2, first = words
+    for way, kind in enumerate(kinds):
+        c1, c2 = h1.copy(), h2.copy()
+        for k in (NUMBER, UNIT, NAME):
+            c1[kind == k], c2[kind == k] = mix(np.array([k], np.uint64))[0], mix(np.array([k + 10], np.uint64))[0]
+        yield way, (c1, c2, kind, h1, first), kind != kinds[0] if way else None, kinds[0] if item else kind
+
+
+def windows(canon, pw: Powers, size: int, literals: int, holds=None, counted=None):
     """All windows of ``size`` words with enough literals: (first hash, second hash, row, first word)."""
     c1, c2, kind, _, first = canon
     n = len(c1)
@@ -96,6 +107,12 @@ def windows(canon, pw: Powers, size: int, literals: int):
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
     words = np.concatenate(([0], np.cumsum(kind == 0)))
     at = at[(at + size <= first[1:][row]) & (words[at + size] - words[at] >= min(literals, size))]
+    if holds is not None:
+        held = np.concatenate(([0], np.cumsum(holds)))
+        at = at[held[at + size] > held[at]]
+    if counted is not None:
+        words = np.concatenate(([0], np.cumsum(counted == 0)))
+        at = at[words[at + size] - words[at] >= min(literals, size)]
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
     return (mix(span_hash(prefix(c1, pw), at, at + size, pw) + np.uint64(size)),
             mix(span_hash(prefix(c2, pw), at, at + size, pw) + np.uint64(size)), row, at)
@@ -107,29 +124,31 @@ def slots(canon, at: np.ndarray, size: int) -> list[np.ndarray]:
     return [surface[a:a + size][kind[a:a + size] > 0].view(np.int64) for a in at]
 
 
-SIDE = "id {kind}, w1 bigint, w2 bigint, at int, slots array<bigint>"
+SIDE = "id {kind}, w1 bigint, w2 bigint, at int, slots array<bigint>, way int"
 
 
-def _batch(ids, row, w1, w2, at, found):
+def _batch(ids, row, w1, w2, at, found, way):
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(row)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(found, pa.list_(pa.int64()))],
-        names=["id", "w1", "w2", "at", "slots"])
+        [ids.take(pa.array(row)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(found, pa.list_(pa.int64())),
+         pa.array(np.full(len(at), way, np.int32))],
+        names=["id", "w1", "w2", "at", "slots", "way"])
 
 
 def _item_windows(batches, size: int, literals: int):
     pw = Powers()
     for part in slices(batches, "text"):
         data, offs, _ = flat_bytes(part.column(1))
-        canon = canonical(data, offs, pw)
-        first = canon[-1]
-        w1, w2, row, at = windows(canon, pw, size, literals)
-        yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, size))
+        words = canonical(data, offs, pw)
+        first = words[-1]
         count = np.diff(first)
-        for short in np.unique(count[(count < size) & (count >= literals)]).tolist():
-            w1, w2, row, at = windows(canon, pw, short, literals)
-            own = count[row] == short
-            w1, w2, row, at = w1[own], w2[own], row[own], at[own]
-            yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, short))
+        for way, canon, holds, counted in ways(words, True):
+            w1, w2, row, at = windows(canon, pw, size, literals, holds, counted)
+            yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, size), way)
+            for short in np.unique(count[(count < size) & (count >= literals)]).tolist():
+                w1, w2, row, at = windows(canon, pw, short, literals, holds, counted)
+                own = count[row] == short
+                w1, w2, row, at = w1[own], w2[own], row[own], at[own]
+                yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, short), way)
 
 
 def sieve_places(w1: np.ndarray) -> np.ndarray:
@@ -142,14 +161,15 @@ def _doc_windows(batches, size: int, literals: int, sieve):
     sizes = sieve.value["sizes"]
     for part in slices(batches, "text"):
         data, offs, _ = flat_bytes(part.column(1))
-        canon = canonical(data, offs, pw)
-        first = canon[-1]
-        for n in sizes:
-            w1, w2, row, at = windows(canon, pw, n, literals)
-            own = bits[sieve_places(w1)] > 0
-            w1, w2, row, at = w1[own], w2[own], row[own], at[own]
-            if len(at):
-                yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, n))
+        words = canonical(data, offs, pw)
+        first = words[-1]
+        for way, canon, holds, _ in ways(words, False):
+            for n in sizes:
+                w1, w2, row, at = windows(canon, pw, n, literals, holds)
+                own = bits[sieve_places(w1)] > 0
+                w1, w2, row, at = w1[own], w2[own], row[own], at[own]
+                if len(at):
+                    yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, n), way)
 
 
 def _sieve(items: DataFrame, size: int) -> dict:
@@ -178,14 +198,18 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, literals:
     item_kind, doc_kind = (df.schema["id"].dataType.simpleString() for df in (rows, own))
     items = rows.mapInArrow(lambda it: _item_windows(it, window, literals), SIDE.format(kind=item_kind))
     words = rows.mapInArrow(lambda it: _lengths(it, window), f"item {item_kind}, n int, words int").dropDuplicates(["item"])
-    items = written(items.dropDuplicates(["id", "at"]).join(words, F.col("id").eqNullSafe(F.col("item"))).drop("item"), "benchmark-windows")
+    items = written(items.dropDuplicates(["id", "at", "way"]).join(words, F.col("id").eqNullSafe(F.col("item"))).drop("item"), "benchmark-windows")
     sieve = spark.sparkContext.broadcast(_sieve(items, window))
     found = written(own.mapInArrow(lambda it: _doc_windows(it, window, literals, sieve), SIDE.format(kind=doc_kind)), "sieved-windows")
 
     sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("at").alias("item_windows"))
-    item = items.select("id", "w1", "w2", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "words")
+    item = items.select("id", "w1", "w2", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "words", F.col("way").alias("item_way"))
     item = item.join(sizes, F.col("id").eqNullSafe(F.col("item"))).drop("id")
-    hits = found.select(F.col("id").alias("doc"), "w1", "w2", "at", "slots").join(item, ["w1", "w2"])
+    hits = found.select(F.col("id").alias("doc"), "w1", "w2", "at", "slots", "way").join(item, ["w1", "w2"])
+    # a window of the document and one of the item match once, in the first way that they do
+    hits = hits.groupBy("doc", "item", "at", "item_at").agg(
+        F.min(F.struct("item_way", "way", "slots", "item_slots", "words", "item_windows")).alias("m")).select(
+        "doc", "item", "at", "item_at", *[F.col(f"m.{c}") for c in ("slots", "item_slots", "words", "item_windows")])
 
     # the whole document (grid 0), single shifts, and stretches of shifts in two grids; no join, so that nulls and hot documents are as others
     shift = F.col("at") - F.col("item_at")

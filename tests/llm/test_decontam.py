@@ -109,3 +109,15 @@ def test_each_occurrence_and_each_text_counts_alone(docs_of, shared):
     assert got == sorted([(1, 0, 1.0), (2, 0, 1.0), (3, 0, 1.0), (5, 0, 1.0), (None, 0, 1.0), (None, 0, 1.0), (8, 0, 1.0), (9, None, 1.0)], key=str)
     kept = sorted(((r.doc_id, r.text) for r in clean_documents(docs_of(rows), bench).collect()), key=str)
     assert kept == sorted([r for r in rows if r[0] in (4, 6, 7) or r[1] == "a clean text"], key=str)
+
+
+def test_names_that_open_sentences_and_copies_in_other_case(docs_of, shared):
+    apples = "Tom buys 5 apples. Tom eats 2 of them. How many apples does Tom have left?"
+    rich = "Yesterday Mary met Bob and then she asked Alice for the old book of Carl, so Mary and Bob went to Alice again with Carl by noon."
+    variant = apples.replace("Tom", "Sam").replace("5", "9")
+    rows = [(1, variant), (2, variant.replace(" ", "\n")), (3, rich.lower()), (4, rich.replace(" ", "\n")), (5, rich.upper()), (6, rich.title()),
+            (7, rich.replace("Mary", "Eve").replace("Bob", "Jim").replace(" ", " \n")), (8, apples.lower()), (9, rich),
+            (20, "Tom sells 5 pears. Tom keeps 2 of them. How many plums does Tom have now?")]
+    bench = shared.createDataFrame([(0, apples), (1, rich)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.windows <= r.item_windows) for r in contaminated(docs_of(rows), bench).collect()}
+    assert got == {(1, 0, True), (2, 0, True), (8, 0, True), *[(i, 1, True) for i in (3, 4, 5, 6, 7, 9)]}
