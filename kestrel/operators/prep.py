@@ -128,13 +128,17 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
 
     Passes over the table narrow all columns' ranges at once: quantile sketches just below and above the middle
     bound the median, the rows below are counted exactly, until at most BOUNDARY_ROWS rows of a column are
-    left in its range, whose distinct values and counts decide.  No row is copied and nothing is sorted.
+    left in its range, whose distinct values and counts decide.  Where a pass gets no further (the middle lies
+    between two values that many rows share), the rows at the range's two ends are counted: a middle row is one of
+    them, next to one, or in the range without them.  No row is copied and nothing is sorted.
     """
     value = {c: F.col(c).cast("double") for c in cols}
     row = df.agg(*[e for i, c in enumerate(cols) for e in (F.count(value[c]).alias(f"n{i}"), F.min(value[c]).alias(f"lo{i}"), F.max(value[c]).alias(f"hi{i}"))]).first()
     # column: (low, high, rows below low, rows in the range, rows in all)
     state = {c: (row[f"lo{i}"], row[f"hi{i}"], 0, row[f"n{i}"], row[f"n{i}"]) for i, c in enumerate(cols) if row[f"n{i}"]}
 
+    middles: dict = {}  # columns decided by the ends of their range
+
     def large(c):
         lo, hi, _, inside, _ = state[c]
         return inside > BOUNDARY_ROWS and lo < hi
@@ -153,22 +157,42 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
             lo, hi = bounds[f"q{i}"]
             counts += [F.count(F.when(value[c] < lo, 1)).alias(f"b{i}"), F.count(F.when(value[c].between(lo, hi), 1)).alias(f"i{i}")]
         row = df.agg(*counts).first()
+        tied = []
         for i, c in enumerate(todo):
             (lo, hi), (_, _, _, before, n) = bounds[f"q{i}"], state[c]
             below, inside = row[f"b{i}"], row[f"i{i}"]
             a, b = _halfway(n)
             if not below <= a <= b < below + inside or inside == before:  # a sketch that missed, or no progress
-                raise ArithmeticError(f"the median of {c} is not within its sketched bounds")
-            state[c] = (lo, hi, below, inside, n)
+                tied.append(c)
+            else:
+                state[c] = (lo, hi, below, inside, n)
+        if not tied:
+            continue
+        ends = []
+        for i, c in enumerate(tied):
+            lo, hi, v = *state[c][:2], value[c]
+            within = (v > lo) & (v < hi)
+            ends += [F.count(F.when(v == lo, 1)).alias(f"l{i}"), F.count(F.when(v == hi, 1)).alias(f"h{i}"),
+                     F.min(F.when(within, v)).alias(f"a{i}"), F.max(F.when(within, v)).alias(f"z{i}")]
+        row = df.agg(*ends).first()
+        for i, c in enumerate(tied):
+            lo, hi, below, inside, n = state[c]
+            first, last = below + row[f"l{i}"], below + inside - row[f"h{i}"]  # ranks of the rows between the ends
+            a, b = _halfway(n)
+            if first <= a and b < last:
+                state[c] = (row[f"a{i}"], row[f"z{i}"], first, last - first, n)
+            else:  # b is a or the one after it, so one between the ends is next to an end
+                middles[c] = (lo if a < first else hi if a >= last else row[f"z{i}"], lo if b < first else hi if b >= last else row[f"a{i}"])
+                del state[c]
     inside = [F.struct(F.lit(c).alias("column"), F.when(value[c].between(lo, hi), value[c]).alias("value"))
               for c, (lo, hi, _, _, _) in state.items()]
+    out = dict.fromkeys(cols) | {c: (a + b) / 2 for c, (a, b) in middles.items()}
     if not inside:
-        return {c: None for c in cols}
+        return out
     near = df.select(F.explode(F.filter(F.array(*inside), lambda x: x["value"].isNotNull())).alias("x"))
     values: dict = {}
     for r in near.groupBy("x.column", "x.value").count().collect():
         values.setdefault(r[0], []).append((r[1], r[2]))
-    out = dict.fromkeys(cols)
     for c, (_, _, below, _, n) in state.items():
         middle = []
         for rank in _halfway(n):

@@ -93,6 +93,17 @@ def test_missing_model_has_clear_error(spark, tmp_path):
         M.load_model(str(tmp_path / "absent"), LogisticRegressionModel)
 
 
+def test_medians_of_tied_columns_over_the_boundary(spark):
+    n = 2 * P.BOUNDARY_ROWS + 4000
+    for rows in (n, n + 1):
+        df = spark.range(rows).selectExpr(f"cast(id >= {n // 2} as int) half", f"cast(id >= {n // 2} - 20 as int) near", f"case when id < {n // 2} - 1 then 3 when id < {n // 2} + 1 then 4 else 7 end step",
+                                          f"case when id < {n // 2} - 7 then 0D when id < {n // 2} + 9 then id / 1e6 else 1D end inner", f"case when id < {n // 2} then 0 when id < {n // 2} + 5 then 1 else 2 end beside",
+                                          f"case when id < {n // 2} - 5 then 0 when id < {n // 2} then 1 else 2 end before", f"if(id % 7 = 0, null, cast(id >= {n // 2} as int)) nulls", "id % 2 mixed").repartition(3)
+        want = df.toPandas().median()
+        got = P.exact_medians(df, df.columns)
+        assert got == {c: float(want[c]) for c in df.columns}
+
+
 def test_medians_and_cuts_narrow_down(spark, monkeypatch):
     monkeypatch.setattr(P, "BOUNDARY_ROWS", 30)
     df = spark.range(5001).selectExpr("id", "id % 3 as label", "cast((id * 7919) % 5003 as double) a", "case when id % 4 = 0 then null else cast(id % 10 as double) end b",
