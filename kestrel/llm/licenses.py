@@ -1,7 +1,7 @@
 """Licence scan: a trained paragraph classifier, calibrated, and confirmed against templates.
 
 Paragraphs (lines) become sets of word bigrams and trigrams.  A multinomial logistic regression over the n-grams of
-the licence templates is fitted to template spans, hard negatives and a bounded sample of the corpus' own
+the licence templates and of notices of other licences is fitted to template spans, those notices, hard negatives and a bounded sample of the corpus' own
 paragraphs.  Its probabilities are calibrated by a temperature chosen on held-out examples; a paragraph whose best family
 stays under ``min_probability`` is unknown, as is one that the class of other text wins.  What remains is compared
 with the templates of its family: ``similarity`` is the share of the closest template's n-grams that the paragraph
@@ -33,11 +33,17 @@ TEMPLATES = {
             "This software is licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
             "SPDX-License-Identifier: MIT",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+            "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
             "The MIT License (MIT)"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
             "Released under the GNU GPL version 2 or later.",
             "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.",
+             "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+             "Released under the GNU AGPL version 3 or later.",
+             "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.",
              "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
              "SPDX-License-Identifier: LGPL-2.1-only"],
@@ -45,6 +51,18 @@ TEMPLATES = {
             "Licensed under the 3-Clause BSD License.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
             "SPDX-License-Identifier: BSD-3-Clause"],
+    "isc": ["Released under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "SPDX-License-Identifier: ISC"],
+    "epl": ["Licensed under the Eclipse Public License, version 2.0.",
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+            "SPDX-License-Identifier: EPL-2.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.",
+                 "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+                 "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.",
+                 "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+                 "SPDX-License-Identifier: CC-BY-ND-4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.",
                  "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
                  "SPDX-License-Identifier: CC-BY-NC-4.0"],
@@ -64,6 +82,17 @@ HARD_NEGATIVES = [
     "She has a license to sell source code books.", "A copy of the letter was granted to the general public.", "The terms of the general agreement are public.",
     "Released under the tree at noon.", "Licensed under the counter for years.", "The software version 2.0 is out and the documentation files are not.",
 ]
+#: Notices of licences that are no family: other text to the classifier, with their own n-grams among its features.
+NEAR_MISSES = [
+    "Released under the zlib License.", "This software is licensed under the Artistic License 2.0.", "Released under the WTFPL version 2.",
+    "Licensed under the Common Development and Distribution License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0.",
+    "Licensed under the European Union Public License, version 1.2.", "This work is licensed under the Server Side Public License, version 1.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Business Source License, version 1.1.", "This library is licensed under the Microsoft Public License, version 1.0.",
+    "Licensed under the Common Public License, version 1.0.", "Licensed under the terms of the Open Software License, version 3.0.", "Licensed under CC BY-NC-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: OFL-1.1",
+    "This software is proprietary and confidential; no license is granted to any person to use, copy or modify it without written permission.",
+]
 OTHER = "other"
 SAMPLE_DOCS = 300
 MIN_PROBABILITY = 0.5
@@ -135,7 +164,7 @@ def rows_of(spark: SparkSession, rows, *names: str) -> DataFrame:
 
 
 def examples() -> list[tuple[str, str]]:
-    """(class, text): templates, their spans of three words in five and more, and the hard negatives."""
+    """(class, text): templates, their spans of three words in five and more, the hard negatives and the near misses."""
     out = []
     for family, notices in TEMPLATES.items():
         for notice in notices:
@@ -143,7 +172,7 @@ def examples() -> list[tuple[str, str]]:
             for size in sorted({len(words), math.ceil(0.8 * len(words)), math.ceil(0.6 * len(words))}):
                 for at in range(0, len(words) - size + 1, max(1, (len(words) - size) // 3)):
                     out.append((family, " ".join(words[at:at + size])))
-    return sorted(set(out)) + [(OTHER, t) for t in HARD_NEGATIVES]
+    return sorted(set(out)) + [(OTHER, t) for t in HARD_NEGATIVES + NEAR_MISSES]
 
 
 def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -151,7 +180,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    notices = rows_of(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "family", "line")
+    notices = rows_of(spark, [(f, t) for f, ts in {**TEMPLATES, OTHER: NEAR_MISSES}.items() for t in ts], "family", "line")
     own = notices.selectExpr("family", f"{grams_sql('line')} as grams", "line").collect()
     features = sorted({g for r in own for g in r.grams})
     templates = {f: [frozenset(features.index(g) for g in r.grams) for r in own if r.family == f] for f in TEMPLATES}

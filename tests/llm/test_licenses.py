@@ -48,6 +48,16 @@ def test_equals_plain_scoring(docs_of, model):
     assert scan(docs_of([]).limit(0), model).count() == 0
 
 
+def test_families_and_licences_that_are_none(docs_of, model):
+    stated = ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-ND 4.0.", "Released under the ISC License.",
+              "Licensed under the Eclipse Public License, version 2.0.", "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the "
+              "warranties of merchantability, fitness for a particular purpose and noninfringement."]
+    none = ["Released under the zlib License.", "Licensed under the Boost Software License, Version 1.0.", "This work is licensed under the Server Side Public License, version 1.",
+            "Licensed under the Common Public License, version 1.0.", "This work is licensed under the GNU Free Documentation License, version 1.3.", "Licensed under CC BY-NC-ND 4.0."]
+    got = {r.doc_id: r.family for r in scan(docs_of(list(enumerate(stated + none))), model).collect() if r.confirmed}
+    assert got == dict(enumerate(["agpl", "cc-by-sa", "cc-by-nd", "isc", "epl", "mit"]))
+
+
 def test_given_documents(shared, model):
     docs = shared.read.parquet(f"{SF01}/documents.parquet")
     truth = {(r.doc_id, no): STATED[line] for r in docs.collect() for no, line in enumerate(r.text.split("\n")) if line in STATED}
