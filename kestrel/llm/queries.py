@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the operators, with production parameters over whole tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.llm.lines import dedup_sql
+from kestrel.llm.merkle import manifest_sql
 from kestrel.llm.quality import judge_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.licenses import scan_documents
 
     return scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", manifest_sql(12))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
