@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kestrel.llm.cover import hard_negatives_sql
 from kestrel.llm.lines import dedup_sql
 from kestrel.llm.merkle import manifest_sql
 from kestrel.llm.quality import judge_sql
@@ -113,3 +114,17 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kestrel.llm.merkle import manifest
 
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.fm import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_hard_negatives", hard_negatives_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kestrel.llm.cover import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
