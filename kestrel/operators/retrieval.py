@@ -1,8 +1,7 @@
 """Chunking, sparse text scores, exact top-k vector search and retrieval evaluation.
 
-Both searches compare a *bounded* side with a table of any size in one pass: the answer key or the knowledge
-base for texts, one vector per class for vectors.  The bounded side is broadcast (its size is checked and an
-error beyond it); nothing compares a table with itself.
+Vector search takes a table of queries in blocks of bounded size (``vector_index``).  Text search compares a fixed list (the
+knowledge base) with a table of any size in one pass, or a list of queries with a postings index (``postings``).
 
 Texts are scored sparsely in the JVM: a query's terms weigh their inverse document frequency, a chunk's terms
 their count, and both sides are brought to unit length, so a score is a cosine between 0 and 1.
@@ -10,10 +9,8 @@ their count, and both sides are brought to unit length, so a score is a cosine b
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +23,6 @@ TOP_K = 3
 
 OUTER_SPACE = r"(?U)^\s+|\s+$"
 TERM = r"[\p{L}\p{N}]+"
-MAX_QUERIES = 4096  # vectors of the bounded side
-CANDIDATE_SCHEMA = "query_id long, cand_id long, cand_doc string, score double"
 
 
 # ------------------------------------------------------------------ R1, R2: chunking
@@ -134,52 +129,16 @@ def vector_norms(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 # ------------------------------------------------------------------ R4: exact top-k
-ROWS_AT_ONCE = 4096  # corpus rows scored at a time: a block of scores has at most ROWS_AT_ONCE x MAX_QUERIES numbers
-
-
-def _score_partition(batches: Iterator[pd.DataFrame], q_ids: np.ndarray, q_mat: np.ndarray, k: int,
-                     exclude_self: bool) -> Iterator[pd.DataFrame]:
-    """The k best rows of this task for each query: score descending, then id ascending."""
-    best_rows: list[list[tuple]] = [[] for _ in q_ids]  # (-score, id, document)
-    for pdf in batches:
-        for at in range(0, len(pdf), ROWS_AT_ONCE):
-            part = pdf.iloc[at:at + ROWS_AT_ONCE]
-            ids = part["id"].to_numpy(dtype=np.int64)
-            docs = part["doc"].to_numpy()
-            scores = np.stack(part["embedding"].to_numpy()).astype(np.float64) @ q_mat.T
-            for j, own in enumerate(q_ids):
-                s = scores[:, j]
-                near = np.arange(len(s))
-                if exclude_self:
-                    near = near[ids != own]
-                if len(near) > k:  # everything from the k-th largest score on, ties included
-                    near = near[s[near] >= np.partition(s[near], len(near) - k)[len(near) - k]]
-                best_rows[j] = sorted([*best_rows[j], *((-s[i], ids[i], docs[i]) for i in near)], key=lambda x: x[:2])[:k]
-    rows = [(int(q), int(i), str(d), float(-s)) for q, found in zip(q_ids, best_rows) for s, i, d in found]
-    yield pd.DataFrame(rows, columns=["query_id", "cand_id", "cand_doc", "score"])
-
-
 def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, exclude_self: bool = False) -> DataFrame:
-    """For every query of a bounded set, the k corpus rows with the largest inner product.
+    """For every row of ``queries`` the k rows of ``corpus`` with the largest inner product; both are tables of any size.
 
-    ``queries``: (query_id long, embedding), at most MAX_QUERIES rows (more are an error); ``corpus``: (id long,
-    doc string, embedding) of any size, scored in one pass.  Output (query_id, rank, cand_id, cand_doc, score);
-    fewer than k rows when the corpus is smaller.  ``exclude_self`` skips a candidate whose id is the query's.
+    ``queries``: (query_id long, embedding); ``corpus``: (id long, doc string, embedding).  Output (query_id, rank, cand_id,
+    cand_doc, score); fewer than k rows when the corpus is smaller.  ``exclude_self`` skips a candidate whose id is the
+    query's.  A caller with several query tables builds the index once and calls ``vector_index.search``.
     """
-    rows = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: the query side must be bounded")
-    q_ids = np.array([r[0] for r in rows], dtype=np.int64)
-    q_mat = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    sent = queries.sparkSession.sparkContext.broadcast((q_ids, q_mat))
-
-    def score(it):
-        ids, mat = sent.value
-        if len(ids):
-            yield from _score_partition(it, ids, mat, k, exclude_self)
-
-    found = corpus.select("id", "doc", "embedding").mapInPandas(score, CANDIDATE_SCHEMA)
-    return best(found, ["query_id"], "cand_id", k)
+    from kestrel.operators import vector_index
+
+    return vector_index.search(vector_index.build(corpus), queries, k, exclude_self).drop("cell")
 
 
 # ------------------------------------------------------------------ R5-R8

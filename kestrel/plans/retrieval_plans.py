@@ -13,6 +13,7 @@ from kestrel.functions import policy_kb as KB
 from kestrel.functions import text_rules as T
 from kestrel.operators import messages as MS
 from kestrel.operators import retrieval as RT
+from kestrel.operators import vector_index as VI
 from kestrel.plans.registry import register
 from kestrel.sources.tables import read_table
 
@@ -22,42 +23,98 @@ def vector_corpus(spark, sf_dir):
     return v.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("doc"), "embedding")
 
 
+QUERY_EVERY = 20
+
+
 def vector_queries(spark, sf_dir):
+    """The stated query set: every vector whose id is divisible by 20, against all vectors but itself."""
+    v = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return v.where(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_topk(spark, sf_dir, k: int = RT.TOP_K):
+    return RT.topk_inner_product(vector_queries(spark, sf_dir), vector_corpus(spark, sf_dir), k, exclude_self=True)
+
+
+def class_queries(spark, sf_dir):
     """One query for each class: its mean vector."""
     v = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     return MS.class_means(v, len(T.CLASS_NAMES)).select(F.col("label").cast("long").alias("query_id"), "embedding")
 
 
-def vector_topk(spark, sf_dir, k: int = RT.TOP_K):
-    return RT.topk_inner_product(vector_queries(spark, sf_dir), vector_corpus(spark, sf_dir), k)
+def class_topk(spark, sf_dir, k: int = RT.TOP_K):
+    return RT.topk_inner_product(class_queries(spark, sf_dir), vector_corpus(spark, sf_dir), k)
 
 
-_TOPK_CTE = """el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
-vq AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY pos) AS v FROM (
-         SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM el GROUP BY label, pos) GROUP BY label),
+def _ranked_sql(queries: str, on: str) -> str:
+    return f"""{queries},
 pairs AS (
-  SELECT q.query_id, c.vec_id AS cand_id, CAST(c.label AS VARCHAR) AS cand_doc, list_dot_product(CAST(c.embedding AS DOUBLE[]), q.v) AS score
-  FROM vq q JOIN embeddings c ON true),
+  SELECT q.query_id, c.vec_id AS cand_id, CAST(c.label AS VARCHAR) AS cand_doc, round(list_dot_product(CAST(c.embedding AS DOUBLE[]), q.v), 9) AS score
+  FROM vq q JOIN embeddings c ON {on}),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id ASC) AS INTEGER) AS rank
            FROM pairs),
-topk AS (SELECT * FROM ranked WHERE rank <= 3)"""
+topk AS (SELECT * FROM ranked WHERE rank <= {RT.TOP_K})"""
+
+
+_TOPK_CTE = _ranked_sql(f"vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0)", "c.vec_id <> q.query_id")
+_CLASS_CTE = _ranked_sql("""el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+vq AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY pos) AS v FROM (
+         SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM el GROUP BY label, pos) GROUP BY label)""", "true")
+
+
+def _topk_sql(cte: str) -> str:
+    return f"WITH {cte} SELECT query_id, rank, cand_id AS chunk_id, cand_doc AS doc_id, round(score, 4) AS score FROM topk"
 
 
-@register("topk_vectors", f"WITH {_TOPK_CTE} SELECT query_id, rank, cand_id AS chunk_id, cand_doc AS doc_id, "
-          "round(score, 4) AS score FROM topk")
+def _grounded_sql(cte: str) -> str:
+    return (f"WITH {cte} SELECT q.query_id, round(coalesce(t.score, 0.0), 4) AS top_score, coalesce(t.score, 0.0) >= {RT.GROUNDEDNESS_THRESHOLD} AS grounded "
+            "FROM vq q LEFT JOIN topk t ON t.query_id = q.query_id AND t.rank = 1")
+
+
+def _shown(topk):
+    return topk.select("query_id", "rank", F.col("cand_id").alias("chunk_id"), F.col("cand_doc").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@register("topk_vectors", _topk_sql(_TOPK_CTE))
 def q_topk_vectors(spark, sf_dir):
-    t = vector_topk(spark, sf_dir)
-    return t.select("query_id", "rank", F.col("cand_id").alias("chunk_id"), F.col("cand_doc").alias("doc_id"),
-                    F.round("score", 4).alias("score"))
+    return _shown(vector_topk(spark, sf_dir))
 
 
-@register("groundedness", f"WITH {_TOPK_CTE} SELECT q.query_id, round(coalesce(t.score, 0.0), 4) AS top_score, "
-          f"coalesce(t.score, 0.0) >= {RT.GROUNDEDNESS_THRESHOLD} AS grounded "
-          "FROM vq q LEFT JOIN topk t ON t.query_id = q.query_id AND t.rank = 1")
+@register("groundedness", _grounded_sql(_TOPK_CTE))
 def q_groundedness(spark, sf_dir):
     return RT.groundedness(vector_queries(spark, sf_dir), vector_topk(spark, sf_dir))
 
 
+@register("class_mean_topk", _topk_sql(_CLASS_CTE))
+def q_class_mean_topk(spark, sf_dir):
+    return _shown(class_topk(spark, sf_dir))
+
+
+@register("class_mean_groundedness", _grounded_sql(_CLASS_CTE))
+def q_class_mean_groundedness(spark, sf_dir):
+    return RT.groundedness(class_queries(spark, sf_dir), class_topk(spark, sf_dir))
+
+
+def _approximate(spark, sf_dir):
+    corpus = vector_corpus(spark, sf_dir)
+    index = VI.build(corpus)
+    probes = VI.choose_probes(index, corpus, RT.TOP_K)
+    return index, VI.search(index, vector_queries(spark, sf_dir), RT.TOP_K, exclude_self=True, probes=probes)
+
+
+@register("topk_vectors_cells")
+def q_topk_vectors_cells(spark, sf_dir):
+    """R4 through coarse cells: the query set of ``topk_vectors``, each query in the cells that its calibration asks for."""
+    return _shown(_approximate(spark, sf_dir)[1])
+
+
+@register("vector_cells_recall")
+def q_vector_cells_recall(spark, sf_dir):
+    """Recall at 3 of the cells against exact search over the same query set (at least 0.9)."""
+    index, found = _approximate(spark, sf_dir)
+    return VI.recall(VI.search(index, vector_queries(spark, sf_dir), RT.TOP_K, exclude_self=True), found)
+
+
 @register("vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm "
           "FROM embeddings")
 def q_vector_norms(spark, sf_dir):

@@ -58,6 +58,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def stored(df, name: str):
+    """``df`` written once as Parquet in the shared folder and read back: lineage is cut, columns can be pruned, and a
+    lost executor costs a re-read."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df):
     """Reliable checkpoint of ``df`` in the shared checkpoint folder, computing it once.
 

@@ -1,6 +1,5 @@
-"""Exact top-k against brute force; the bounded query side; chunking and term counts."""
+"""Exact top-k against brute force; chunking and term counts."""
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators import retrieval as RT
@@ -32,13 +31,10 @@ def test_topk_equals_brute_force(spark):
     assert got == sorted(want)
 
 
-def test_fewer_than_k_and_bound(spark, monkeypatch):
+def test_fewer_than_k(spark):
     _, q, c = _vectors(spark)
     out = RT.topk_inner_product(q.limit(5), c.limit(2), 3)
     assert out.groupBy("query_id").count().agg(F.max("count")).first()[0] == 2
-    monkeypatch.setattr(RT, "MAX_QUERIES", 3)
-    with pytest.raises(ValueError, match="bounded"):
-        RT.topk_inner_product(q, c, 3)
 
 
 def test_sentence_split_edges(spark):
