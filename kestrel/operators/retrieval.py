@@ -21,7 +21,8 @@ SENTENCE_BOUNDARY = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
 GROUNDEDNESS_THRESHOLD = 0.45
 TOP_K = 3
 
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+# White space of Unicode, which chunks are stripped of.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -33,9 +34,8 @@ def sentence_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``chunk_id`` is ``<doc_id>-<index>`` with a two-digit index counted after dropping
     empty pieces.  Pure column expressions: split, transform, filter, posexplode.
     """
-    stripped = F.regexp_replace(F.col(text), OUTER_SPACE, "")
-    parts = F.filter(F.transform(F.split(stripped, SENTENCE_BOUNDARY), lambda s: F.regexp_replace(s, OUTER_SPACE, "")),
-                     lambda s: s != "")
+    strip = lambda c: F.btrim(c, F.lit(WHITE_SPACE))
+    parts = F.filter(F.transform(F.split(strip(F.col(text)), SENTENCE_BOUNDARY), strip), lambda s: s != "")
     cols = [F.col(doc_id).alias("doc_id")] + ([F.col(title).alias("doc_title")] if title else [])
     out = docs.select(*cols, F.posexplode(parts).alias("idx", "text"))
     return out.select(
@@ -66,29 +66,6 @@ def term_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataF
     return out.withColumn("norm", norm).select(*keys, "norm", F.explode("_counts").alias("x")).select(*keys, "x.term", "x.tf", "norm")
 
 
-def inverse_frequency(df: Column, n: Column | int) -> Column:
-    return F.log((1 + F.lit(n) if isinstance(n, int) else 1 + n) / (1 + df)) + 1
-
-
-def scores_of_bounded_queries(chunk_terms: DataFrame, chunk_key: str, queries: Sequence[tuple[int, str]], spark) -> DataFrame:
-    """(query_id, ``chunk_key``, score) of every chunk that shares a term with a query of the fixed list ``queries``.
-
-    One pass counts how many chunks hold each query term; the weighted query terms are broadcast (bounded by
-    the list), and only chunk terms that occur in it go on.
-    """
-    own = spark.createDataFrame([(i, t) for i, t in queries], "query_id long, text string")
-    query_terms = term_counts(own, ["query_id"]).drop("norm")
-    listed = [r[0] for r in query_terms.select("term").distinct().collect()]
-    n = chunk_terms.select(chunk_key).distinct().count()
-    df = chunk_terms.where(F.col("term").isin(listed)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = query_terms.join(df, "term", "left").withColumn(
-        "w", F.col("tf") * inverse_frequency(F.coalesce("df", F.lit(0)), n)).select("query_id", "term", "w")
-    length = weighted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    weighted = weighted.join(length, "query_id").select("query_id", "term", (F.col("w") / F.col("qn")).alias("w"))
-    shared = chunk_terms.join(F.broadcast(weighted), "term")
-    return shared.groupBy("query_id", chunk_key).agg(F.round(F.sum(F.col("w") * F.col("tf") / F.col("norm")), 9).alias("score"))
-
-
 def scores_against_fixed_chunks(messages: DataFrame, key: Sequence[str], chunks: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """(``key``, chunk_id, doc_id, chunk_text, score) of every message and chunk of the fixed list that share a term."""
     spark = messages.sparkSession

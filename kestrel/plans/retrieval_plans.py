@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from kestrel.functions import policy_kb as KB
 from kestrel.functions import text_rules as T
 from kestrel.operators import messages as MS
+from kestrel.operators import postings as PO
 from kestrel.operators import retrieval as RT
 from kestrel.operators import vector_index as VI
 from kestrel.plans.registry import register
-from kestrel.sources.tables import read_table
+from kestrel.sources.tables import read_table, spread
 
 
 def vector_corpus(spark, sf_dir):
@@ -160,14 +161,14 @@ def term_sql(text: str) -> str:
 
 @register("sentence_chunks", f"WITH {_CHUNK_CTE} SELECT chunk_id, doc_id, idx, text FROM chunks")
 def q_sentence_chunks(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     return RT.sentence_chunks(docs)
 
 
 @register("chunk_ids", f"WITH {_CHUNK_CTE} SELECT doc_id, count(*) AS n_chunks, max(chunk_id) AS last_chunk_id, "
           "CAST(sum(length(text)) AS BIGINT) AS chunk_chars FROM chunks GROUP BY doc_id")
 def q_chunk_ids(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     c = RT.sentence_chunks(docs)
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("chunk_id").alias("last_chunk_id"),
                                    F.sum(F.length("text")).cast("long").alias("chunk_chars"))
@@ -182,14 +183,23 @@ def all_chunks(spark, sf_dir):
     """Sentence chunks of the knowledge base and of every document, with their document as text."""
     base = spark.createDataFrame([(d, t) for d, _, t in KB.DOCUMENTS], "doc_id string, text string")
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return RT.sentence_chunks(base.unionByName(docs))
+    return RT.sentence_chunks(base.unionByName(spread(docs)))
+
+
+INDEX_SETTING = "kestrel.postings."
+
+
+def write_text_index(spark, sf_dir, path: str) -> None:
+    """The index step: write the postings of all chunks to ``path`` (the caller's, who also removes it) and let this
+    session's queries over ``sf_dir`` read them.  After a change of the sources, write it anew."""
+    PO.build(all_chunks(spark, sf_dir)).save(path)
+    spark.conf.set(INDEX_SETTING + sf_dir, path)
 
 
 def key_topk(spark, sf_dir):
-    words = RT.term_counts(all_chunks(spark, sf_dir), ["chunk_id"])
-    scored = RT.scores_of_bounded_queries(words, "chunk_id", QUERIES_OF_KEY, spark)
-    top = RT.best(scored, ["query_id"], "chunk_id")
-    return top.withColumn("cand_doc", F.regexp_extract("chunk_id", "^(.*)-[0-9]+$", 1))
+    path = spark.conf.get(INDEX_SETTING + sf_dir, None)
+    index = PO.load(spark, path) if path else PO.build(all_chunks(spark, sf_dir))
+    return PO.search(index, QUERIES_OF_KEY).withColumnRenamed("doc_id", "cand_doc")
 
 
 def _key_sql() -> str:
@@ -198,17 +208,17 @@ def _key_sql() -> str:
     asked = ", ".join(f"({i}, {quote(q)})" for i, q in QUERIES_OF_KEY)
     key = ", ".join(f"({i}, {quote(d)})" for i, (_, ds) in enumerate(KB.ANSWER_KEY) for d in ds)
     return f"""{_CHUNK_CTE},
-every AS (SELECT chunk_id, text FROM chunks UNION ALL SELECT * FROM (VALUES {base}) v(chunk_id, text)),
-ct AS (SELECT chunk_id, term, count(*)::DOUBLE AS tf FROM (SELECT chunk_id, {term_sql('text')} AS term FROM every) GROUP BY chunk_id, term),
-cn AS (SELECT chunk_id, sqrt(sum(tf * tf)) AS norm FROM ct GROUP BY chunk_id),
+every AS (SELECT row_number() OVER () AS key, * FROM (SELECT chunk_id, text FROM chunks UNION SELECT * FROM (VALUES {base}) v(chunk_id, text))),
+ct AS (SELECT key, chunk_id, term, count(*)::DOUBLE AS tf FROM (SELECT key, chunk_id, {term_sql('text')} AS term FROM every) GROUP BY key, chunk_id, term),
+cn AS (SELECT key, sqrt(sum(tf * tf)) AS norm FROM ct GROUP BY key),
 asked AS (SELECT CAST(query_id AS BIGINT) AS query_id, text FROM (VALUES {asked}) v(query_id, text)),
 rel AS (SELECT CAST(query_id AS BIGINT) AS query_id, doc_id FROM (VALUES {key}) v(query_id, doc_id)),
 qt AS (SELECT query_id, term, count(*)::DOUBLE AS tf FROM (SELECT query_id, {term_sql('text')} AS term FROM asked) GROUP BY query_id, term),
 fr AS (SELECT term, count(*) AS df FROM ct WHERE term IN (SELECT term FROM qt) GROUP BY term),
 qw AS (SELECT query_id, qt.term, tf * (ln((1 + (SELECT count(*) FROM cn))::DOUBLE / (1 + coalesce(df, 0))) + 1) AS w FROM qt LEFT JOIN fr ON fr.term = qt.term),
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY query_id),
-sc AS (SELECT qw.query_id, ct.chunk_id, round(sum(w / n * tf / norm), 9) AS score
-       FROM ct JOIN qw ON qw.term = ct.term JOIN qn ON qn.query_id = qw.query_id JOIN cn ON cn.chunk_id = ct.chunk_id GROUP BY qw.query_id, ct.chunk_id),
+sc AS (SELECT qw.query_id, ct.key, ct.chunk_id, round(sum(w / n * tf / norm), 9) AS score
+       FROM ct JOIN qw ON qw.term = ct.term JOIN qn ON qn.query_id = qw.query_id JOIN cn ON cn.key = ct.key GROUP BY qw.query_id, ct.key, ct.chunk_id),
 topk AS (SELECT *, regexp_extract(chunk_id, '^(.*)-[0-9]+$', 1) AS doc_id FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc) WHERE rank <= {RT.TOP_K}),
 docs AS (SELECT DISTINCT query_id, doc_id FROM topk),
@@ -250,7 +260,7 @@ def q_retrieval_macro(spark, sf_dir):
           "SELECT chunk_id, doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, round(sqrt(sum(tf * tf)), 6) AS norm FROM t GROUP BY chunk_id, doc_id")
 def q_chunk_text_embedding(spark, sf_dir):
     """R3 on raw text: the sparse term vector of every chunk (its terms, tokens and length before it is brought to unit length)."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     words = RT.term_counts(RT.sentence_chunks(docs), ["chunk_id", "doc_id"])
     return words.groupBy("chunk_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").cast("long").alias("n_tokens"),
                                                    F.round(F.max("norm"), 6).alias("norm"))

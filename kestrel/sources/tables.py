@@ -23,3 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over the session's cores where the table is so small (``SPREAD_BYTES`` by the planner's estimate) that it may lie
+    in a row group or two; a larger table is read as it lies, since a shuffle of it would cost more than it brings."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
