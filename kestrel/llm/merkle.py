@@ -222,7 +222,8 @@ def _siblings(batches, depth: int):
 
 def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row."""
-    packed = partitions(positions(leaves(docs), "source", ["doc_id", "leaf"]), "source", depth)
+    # written before the range partitioning, whose sampling would hash every text a second time
+    packed = partitions(positions(written(leaves(docs), "merkle-leaves"), "source", ["doc_id", "leaf"]), "source", depth)
     trees = written(butterfly(packed), "merkle-trees")
     tops = trees.filter("part = 0").select(F.lit(0).alias("one"), F.col("g").alias("source"), F.col("root").alias("leaf"))
     upper = partitions(positions(tops, "one", ["source"]), "one", depth)
