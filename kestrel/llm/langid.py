@@ -9,7 +9,8 @@ language under a uniform prior.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text if no labelled
 row was learned from; ties go to the language first in alphabetical order; a null id counts as the empty
-text in the split; other columns are ignored; repeated rows give repeated results.
+text in the split; other columns are ignored; repeated rows give repeated results; an empty table gives no rows; a very long text
+is a slice of its own, at some tens of bytes a character.
 """
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from kestrel.llm.shared import plain, ship, shipped, written
 from kestrel.llm.text import LETTER, HashTable, Powers, class_table, code_points, lower_table, mix, prefix, slices, span_hash
@@ -103,8 +105,9 @@ class Model:
     def hashes(self, pre, starts, ends):
         return mix(span_hash(pre, starts, ends, self.powers) + (ends - starts).astype(np.uint64))
 
-    def scores(self, words: list[np.ndarray]) -> np.ndarray:
-        """Score of each (lower-case) word by language: log frequency, or n-grams where it is unseen."""
+    def scores(self, words: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+        """Score of each (lower-case) word by language: log frequency, or n-grams where it is unseen.  ``known`` takes the
+        share of each word that is evidence: 1 for a known word, else of its places with a known n-gram of two characters or more."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         padded = np.full(int(lens.sum() + 2 * len(words)), 0x20, np.uint32)
         first = np.cumsum(lens + 2) - lens - 2
@@ -116,6 +119,8 @@ class Model:
         table, logs = self.words
         row = table.find(self.hashes(pre, first + 1, first + 1 + lens))
         out[row >= 0] = logs[row[row >= 0]]
+        if known is not None:
+            known[:] = row >= 0
         unseen = np.flatnonzero(row < 0)
         if not len(unseen):
             return out
@@ -130,6 +135,8 @@ class Model:
             row = np.full(len(at), -1, np.int64)
             row[fits] = table.find(self.hashes(pre, at[fits], at[fits] + n))
             hit = row >= 0
+            if known is not None and n > 1:
+                known += np.bincount(owner[hit], minlength=len(words)) / (lens + 1)
             for lang in range(len(self.languages)):
                 out[:, lang] += np.bincount(owner[hit], weights=logs[row[hit], lang] / n, minlength=len(words))
             owner, at, end = owner[~hit], at[~hit], end[~hit]
@@ -152,9 +159,10 @@ class Reader:
 
     def _empty(self):
         self.table, self.n = HashTable(16), 0
-        self.rows = np.zeros((1 << 14, len(self.model.languages)))
+        self.rows = np.zeros((1 << 14, len(self.model.languages) + 1))  # the last column: how much of the word is known
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its posterior, and the share of the text's letters that known words and n-grams cover."""
         model = self.model
         cps, offs = code_points(texts)
         letter = model.classes[cps] == LETTER
@@ -162,9 +170,9 @@ class Reader:
         low = model.lower[cps]
         edge = np.diff(np.concatenate(([0], letter.view(np.int8), [0])))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        names, best = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        names, best, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not len(starts) or not model.languages:
-            return names, best
+            return names, best, share
         if self.n > self.CACHE:
             self._empty()
         keys = model.hashes(model.prefix(low), starts, ends)
@@ -173,7 +181,8 @@ class Reader:
         if len(new):
             fresh, at = np.unique(keys[new], return_index=True)
             at = new[at]
-            rows = model.scores([low[s:e] for s, e in zip(starts[at], ends[at])])
+            known = np.zeros(len(at))
+            rows = np.concatenate([model.scores([low[s:e] for s, e in zip(starts[at], ends[at])], known), known[:, None]], axis=1)
             while self.n + len(rows) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[self.n:self.n + len(rows)] = rows
@@ -185,25 +194,28 @@ class Reader:
         post = np.exp(total - total.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         first = post.argmax(axis=1)
+        letters = np.bincount(owner, weights=ends - starts, minlength=len(texts))
+        covered = np.bincount(owner, weights=self.rows[word, -1] * (ends - starts), minlength=len(texts))
         for i in np.unique(owner):
-            names[i], best[i] = model.languages[first[i]], float(post[i, first[i]])
-        return names, best
+            names[i], best[i], share[i] = model.languages[first[i]], float(post[i, first[i]]), float(covered[i] / letters[i])
+        return names, best, share
 
 
 def _predicted(batches, broadcast):
     reader = shipped(broadcast).reader()
     for part in slices(batches, "text"):
-        names, best = reader.predict([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+        found = reader.predict([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
         own = [part.column(i) for i in range(part.num_columns)]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(best, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*own, pa.array(found[0]), *[pa.array(x, pa.float64()) for x in found[1:]]], names=[*part.schema.names, "lang_pred", "score", "known"])
 
 
 def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """``columns`` (``text`` among them) of every row, with ``lang_pred`` and ``score``; nothing is shuffled."""
+    """``columns`` (``text`` among them, none of the new names) of every row, with ``lang_pred``, ``score`` and ``known``; nothing is
+    shuffled."""
     broadcast = ship(docs.sparkSession, model)
     rows = plain(docs, *columns)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(lambda it: _predicted(it, broadcast), f"{kinds}, lang_pred string, score double")
+    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("known", DoubleType())]
+    return rows.mapInArrow(lambda it: _predicted(it, broadcast), StructType([*rows.schema.fields, *new]))
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:

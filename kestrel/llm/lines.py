@@ -8,7 +8,7 @@ document id), so a text that many sites copy stays whole once.
 
 Defined results: a null text stays null (no lines); a document that loses every line has an empty text; a null
 site is a site of its own; repeated rows are treated alike; rows with one ``doc_id`` and different texts stay
-apart; all columns of the input are kept; an empty table gives an empty result.
+apart; all columns of the input are kept (but ones named as the two counts); a long text is split inside its row; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -44,8 +44,8 @@ def cross_site_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = L
     return sure.unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with cross-site lines taken out of ``text``; two columns more: ``n_lines`` and ``n_removed``."""
+def deduped(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """``row`` (the input's row as it came), ``text`` without cross-site lines, ``n_lines`` and ``n_removed``."""
     lines = written(lines_of(docs, site), "lines")
     common = written(cross_site_lines(lines, min_sites, lg_k), "cross-site-lines")
     hits = lines.join(common, ["h1", "h2"]).select("d", "th", "no", "h1", "h2")
@@ -62,11 +62,18 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     stay = F.array_except(F.sequence(F.lit(0), size - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
         F.array_join(F.transform(F.array(split), lambda parts: F.transform(stay, lambda i: F.get(parts, i)))[0], "\n"))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns],
-                         F.when(F.col("row.text").isNull(), 0).otherwise(size).cast("bigint").alias("n_lines"),
+    return joined.select("row", text.alias("text"), F.when(F.col("row.text").isNull(), 0).otherwise(size).cast("bigint").alias("n_lines"),
                          F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_removed"))
 
 
+def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """``docs`` with cross-site lines taken out of ``text``; two columns more, ``n_lines`` and ``n_removed``, in the place of any of
+    these names (in whatever case) in ``docs``."""
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    out = deduped(docs, site, min_sites, lg_k)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own], "n_lines", "n_removed")
+
+
 def dedup_sql(min_sites: int = MIN_SITES) -> str:
     """``doc_id, n_lines, n_removed, kept_sha256`` in DuckDB SQL, over lines themselves instead of their hashes."""
     return f"""

@@ -11,26 +11,28 @@ from pyspark.sql import functions as F
 from kestrel.llm.bpe import encode_documents, read_ranks
 from kestrel.llm.decontam import clean_documents
 from kestrel.llm.langid import UNKNOWN, fit, predict, remainder
-from kestrel.llm.lines import dedup_lines
+from kestrel.llm.lines import deduped
 from kestrel.llm.queries import ranks_path, table
 from kestrel.llm.shared import without, written
 from kestrel.llm.simhash import near_duplicates
 
 MIN_SCORE = 0.5  # of the predicted language: without a majority, the language is not known
+MIN_KNOWN = 0.5  # share of the letters in known words and n-grams: below it, no learned language is evident
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters or without a majority language go."""
+    """Documents whose language is known; those without letters, without a majority language, or whose letters are mostly in no
+    word or n-gram of any learned language go."""
     model = fit(docs.filter(remainder(F.col("doc_id")) != 1))
-    known = predict(docs, model, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return known.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # by place, so that no name clashes
+    known = predict(docs.toDF(*names), model, tuple(names)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("known") >= MIN_KNOWN))
+    return known.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without the repeats of cross-site lines; ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
-    return out.select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`")
-                        for c in docs.columns])
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast("bigint")}
+    return deduped(docs).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

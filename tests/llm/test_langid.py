@@ -64,3 +64,9 @@ def test_fit_takes_only_its_rows(docs_of):
     docs = docs_of([(i, f"w{i}x") for i in range(30)])
     model = fit(docs.filter(remainder(docs["doc_id"]) != 1), sample=5)
     assert model.languages == ["en"] and model.words[0].size <= 5 * 2
+
+
+def test_share_of_known_letters(docs_of):
+    model = fit(docs_of([(i, t) for i, t in enumerate(["the cat sat", "the dog ran"] * 6)]))
+    _, _, known = model.reader().predict(["the cat", "漢字 漢字", "the 漢", "", "theca"])
+    assert known[0] == 1 and known[1] == 0 and known[2] == 0.75 and known[3] == 0 and 0 < known[4] < 1

@@ -57,3 +57,11 @@ def test_many_sites_by_sketch_and_exact_counts(shared):
     keys = cross_site_lines(lines, min_sites=200, lg_k=10)
     found = {r.line for r in shared.createDataFrame([(f"line {k}",) for k in range(1, 7)], "line string").selectExpr("line", "xxhash64(line) h1").join(keys, "h1").collect()}
     assert found == {"line 1", "line 3", "line 4", "line 5"}
+
+
+def test_columns_of_the_counts_names_give_way(docs_of):
+    docs = docs_of([(1, "a\nb")]).selectExpr("*", "'x' as n_removed", "'y' as N_Lines", "1 as `a.b`", "2 as row")
+    out = dedup_lines(docs)
+    assert out.columns == [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    r = out.first()
+    assert (r.n_lines, r.n_removed, r["a.b"], r.text) == (2, 0, 1, "a\nb")

@@ -47,13 +47,17 @@ def test_stages_keep_columns_and_edge_rows(shared, tmp_path):
     rows = [(i, f"the text number {i} of this table {i * 7} has its own words {i * 13}", "en", "a", 5) for i in range(30)]
     rows += [(100, None, "en", "a", 0), (101, "", None, None, 0), (102, "1 2 3", "en", "b", 5), (103, long, "en", "b", 1), (103, long, "en", "b", 1),
              (104, "one id two texts alpha beta gamma delta", "en", "b", 1), (104, "entirely other words stand in this one here", "en", "b", 1), (None, "a text without an id", "en", "c", 1)]
-    docs = shared.createDataFrame([(*r, "extra") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, gone_doc_id string")
+    rows.append((105, "日本語の文章はここにあります。これは学習されていない文字です", None, "b", 5))  # of no learned language
+    extra = ["gone_doc_id", "lang_pred", "score", "known", "n_removed", "N_Lines", "row", "c1", "a.b"]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *extra]
+    docs = shared.createDataFrame([(*r, *extra) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in extra))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(shared, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "gone_doc_id"]
+        assert docs.columns == names
         path = str(tmp_path / os.urandom(4).hex())
         docs.write.parquet(path)
         docs = shared.read.parquet(path)
+    assert all([r[c] for c in extra] == extra for r in docs.collect())
     left = sorted(str(r.doc_id) for r in docs.collect())
     assert left == sorted([*map(str, range(30)), "103", "104", "104", "None"])
     last = corpus_pipeline.STAGES[-1][1](shared, docs, SF)
