@@ -79,6 +79,15 @@ CLASS_NAMES = ["tshirt_top", "trouser", "pullover", "dress", "coat",
 POLICY, RISK, IMAGE = "policy_question", "return_risk_query", "product_category_query"
 
 
+def all_literals() -> list[str]:
+    """Every literal that the rules look for: what keyword rules ask for, and what patterns and exemplars cannot match without."""
+    from kestrel.functions.literal_scan import runs
+
+    payments = [w for p in PAYMENT_METHODS for w in (p.lower(), p.lower().replace("_", " "))]
+    return [*(r for p in INJECTION_PATTERNS for r in runs(p)), *(w for ex, _ in FEW_SHOT_EXAMPLES for w in ex.split()), *IMAGE_KEYWORDS, *RISK_KEYWORDS, *POLICY_KEYWORDS,
+            *(c.lower() for c in CATEGORIES), *payments, *CASH_ON_DELIVERY, "discount"]
+
+
 def injection_pattern(text: Column) -> Column:
     """The first pattern (in list order) found anywhere in the text, else null."""
     return F.coalesce(*[F.when(text.rlike("(?iu)" + p), F.lit(p)) for p in INJECTION_PATTERNS])

@@ -8,18 +8,23 @@ classify that vector with the nearest-centroid scorer.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions import literal_scan as LS
 from kestrel.functions import policy_kb as KB
 from kestrel.functions import text_rules as T
+from kestrel.functions.rules import CATEGORIES, PAYMENT_METHODS
 from kestrel.operators import messages as MS
 from kestrel.operators import multiclass as MC
 from kestrel.operators import retrieval as RT
 from kestrel.plans.orders_plans import t_star
 from kestrel.plans.registry import ORACLE, register
 from kestrel.plans.retrieval_plans import term_sql
-from kestrel.sources.tables import read_table
+from kestrel.sources.tables import read_table, spread
 
 
 def support_turns(spark, sf_dir) -> DataFrame:
@@ -432,11 +437,34 @@ _DX = _features_sql("text")
           f"{_DX['price_inr']} AS price_inr, {_DX['discount_pct']} AS discount_pct, {_DX['product_category']} AS product_category, "
           f"{_DX['payment_method']} AS payment_method, {_mentions_sql('text')} AS mentions_details FROM documents")
 def q_document_message_scan(spark, sf_dir):
-    """C1-C4, C6, C7 over the whole texts of ``documents``."""
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    """C1-C4, C6, C7 over the whole texts of ``documents``: one pass finds the rules' literals, patterns see candidates only."""
+    docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return scan_messages(docs)
+
+
+def scan_messages(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and what the text rules say of ``text`` (null texts: as the rules say of null)."""
     t = F.col("text")
-    f = T.extract_order_features(t)
-    return docs.select("doc_id", T.injection_pattern(t).alias("injection_pattern"), T.exemplar_intent(t).alias("exemplar_intent"),
-                       T.keyword_intent(t).alias("keyword_intent"), T.classify_intent(t)["intent"].alias("intent"),
-                       *[f[c].alias(c) for c in ("price_inr", "discount_pct", "product_category", "payment_method")],
-                       T.mentions_details(t).alias("mentions_details"))
+    scan = LS.Scan(t, T.all_literals())
+    rows = docs.select("doc_id", "text", scan.mask.alias("_found"))
+    found = F.col("_found")
+    has = lambda w: scan.has(found, w) & t.isNotNull()
+    any_of = lambda words: reduce(or_, [has(w) for w in words])
+    injection = F.coalesce(*[F.when(scan.may_match(found, LS.runs(p)) & t.rlike("(?iu)" + p), F.lit(p)) for p in T.INJECTION_PATTERNS])
+    # an exemplar shares three tokens with a text only if three of its tokens stand in it
+    share = reduce(or_, [reduce(add, [has(w).cast("int") for w in dict.fromkeys(ex.split())]) >= T.EXEMPLAR_MIN_OVERLAP for ex, _ in T.FEW_SHOT_EXAMPLES])
+    exemplar = F.when(share, T.exemplar_intent(t))
+    keyword = F.when(any_of(T.IMAGE_KEYWORDS), F.lit(T.IMAGE)).when(any_of(T.RISK_KEYWORDS), F.lit(T.RISK)).when(any_of(T.POLICY_KEYWORDS), F.lit(T.POLICY))
+    digits = scan.may_match(found, [LS.THREE_DIGITS])
+    price = F.when(digits, F.nullif(F.regexp_extract(t, "(?iu)" + T.PRICE_PATTERN, 1), F.lit("")).cast("double"))
+    discount = F.when(scan.may_match(found, ["discount"]), F.nullif(F.regexp_extract(t, "(?iu)" + T.DISCOUNT_PATTERN, 1), F.lit("")).cast("double"))
+    first = lambda pairs: F.coalesce(*[F.when(any_of(words), F.lit(name)) for name, words in pairs])
+    category = first([(c, [c.lower()]) for c in CATEGORIES])
+    payment = first([("COD", T.CASH_ON_DELIVERY), *((p, [p.lower().replace("_", " "), p.lower()]) for p in PAYMENT_METHODS)])
+    d = T.DEFAULT_ORDER_FEATURES
+    details = F.when(t.isNotNull(), (digits & t.rlike("(?iu)" + r"(?:price|₹|rs\.?)\s*\d{3,7}")) | category.isNotNull())
+    rows = rows.withColumns({"injection_pattern": injection, "exemplar_intent": exemplar, "keyword_intent": keyword})  # each once
+    return rows.select("doc_id", "injection_pattern", "exemplar_intent", "keyword_intent", F.coalesce("exemplar_intent", "keyword_intent", F.lit(T.POLICY)).alias("intent"),
+                       F.coalesce(price, F.lit(d["price_inr"])).alias("price_inr"), F.coalesce(discount, F.lit(d["discount_pct"])).alias("discount_pct"),
+                       F.coalesce(category, F.lit(d["product_category"])).alias("product_category"), F.coalesce(payment, F.lit(d["payment_method"])).alias("payment_method"),
+                       details.alias("mentions_details"))
