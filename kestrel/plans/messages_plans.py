@@ -53,7 +53,7 @@ def answered_turns(spark, sf_dir) -> DataFrame:
             F.max(F.when(F.col("rank") == r, F.col("score"))).alias(f"top{r}_score"),
             F.max(F.when(F.col("rank") == r, F.col("doc_id"))).alias(f"top{r}_doc"),
             F.max(F.when(F.col("rank") == r, F.col("chunk_text"))).alias(f"top{r}_text"),
-        )])
+        )], F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "score", "chunk_text"))).alias("retrieved"))  # TOP_K chunks
     turns = turns.join(top12, ["conv_id", "turn"], "left")
     # image branch: the pictures that exist are the exported ones, one for each class
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
@@ -251,18 +251,30 @@ def q_compose_answer(spark, sf_dir):
 
 @register("transcripts_written", "SELECT conv_id, count(*) + 1 AS n_lines, 1 AS n_titles FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def q_transcripts_written(spark, sf_dir):
-    """The transcripts written by the sink, one folder of text for each conversation, and read back."""
+    """The transcripts written by the sink, packed into a file for each partition, and read back."""
+    back = _written_transcripts(spark, sf_dir).select("conv_id", F.explode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("value"))
+    title = F.col("value") == F.format_string("# Conversation %d", F.col("conv_id"))
+    return back.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(title.cast("int")).cast("int").alias("n_titles"))
+
+
+def _written_transcripts(spark, sf_dir):
     import uuid
 
     from kestrel.session import ensure_checkpoint_dir
     from kestrel.sources import sinks
 
-    path = f"{ensure_checkpoint_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/transcripts-{uuid.uuid4().hex}"
     lines = q_transcript_lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", "[\\r\\n]+", " "))  # a line each
     sinks.write_transcripts(lines, path)
-    back = spark.read.schema("value string, conv_id long").text(path)
-    title = F.col("value") == F.format_string("# Conversation %d", F.col("conv_id"))
-    return back.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(title.cast("int")).cast("int").alias("n_titles"))
+    return sinks.read_transcripts(spark, path)
+
+
+@register("transcript_texts")
+def q_transcript_texts(spark, sf_dir):
+    """The whole text of every conversation, read back from the packed files by its segments' offsets."""
+    parts = F.sort_array(F.collect_list(F.struct("part", "text")))
+    whole = _written_transcripts(spark, sf_dir).groupBy("conv_id").agg(F.concat_ws("", F.transform(parts, lambda p: p["text"])).alias("text"))
+    return whole.select("conv_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @register("transcript_lines")
@@ -271,10 +283,8 @@ def q_transcript_lines(spark, sf_dir):
     the user text, intent, guardrail note, retrieved chunks, tool output and answer JSON."""
     a = answered_turns(spark, sf_dir)
     js = {"ignoreNullFields": "false"}
-    retrieved = F.when(F.col("top1_text").isNotNull(), F.concat_ws(
-        "; ", F.concat(F.col("top1_text"), F.lit(" score="), F.round("top1_score", 4).cast("string")),
-        F.when(F.col("top2_text").isNotNull(),
-               F.concat(F.col("top2_text"), F.lit(" score="), F.round("top2_score", 4).cast("string")))))
+    retrieved = F.when(F.size("retrieved") > 0, F.array_join(F.transform("retrieved", lambda c: F.format_string(
+        '[%s] score=%.4f "%s"', c["chunk_id"], F.round(c["score"], 4), c["chunk_text"])), "; "))
     tool = (F.when(F.col("intent") == T.RISK, F.to_json(F.struct(
                 F.round("risk_p", 4).alias("return_probability"), F.col("risk_bucket"), F.col("t_star_rf")), js))
             .when(F.col("intent") == T.IMAGE, F.to_json(F.struct(
@@ -361,7 +371,8 @@ top12 AS (SELECT conv_id, turn,
            max(CASE WHEN rank = 1 THEN score END) AS top1_score, max(CASE WHEN rank = 1 THEN doc_id END) AS top1_doc,
            max(CASE WHEN rank = 1 THEN chunk_text END) AS top1_text,
            max(CASE WHEN rank = 2 THEN doc_id END) AS top2_doc, max(CASE WHEN rank = 2 THEN chunk_text END) AS top2_text,
-           max(CASE WHEN rank = 2 THEN score END) AS top2_score
+           max(CASE WHEN rank = 2 THEN score END) AS top2_score,
+           string_agg('[' || chunk_id || '] score=' || printf('%.4f', round(score, 4)) || ' "' || chunk_text || '"', '; ' ORDER BY rank) AS retrieved
           FROM policy_top GROUP BY conv_id, turn),
 el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 cent AS (SELECT label AS c, list(m ORDER BY pos) AS centroid FROM (
@@ -372,13 +383,13 @@ lg AS (SELECT iv.ivec, iv.file_name, c.c, list_dot_product(CAST(e.embedding AS D
 mx AS (SELECT ivec, max(l) AS lmax FROM lg GROUP BY ivec),
 img AS (SELECT g.file_name, {names}[min(CASE WHEN g.l = m.lmax THEN g.c END) + 1] AS cls,
                round(1.0 / sum(exp(g.l - m.lmax)), 4) AS conf FROM lg g JOIN mx m USING (ivec) GROUP BY g.file_name),
-j AS (SELECT t.*, p.top1_score, p.top1_doc, p.top1_text, p.top2_doc, p.top2_text, p.top2_score, i.cls, i.conf, ts.t,
+j AS (SELECT t.*, p.top1_score, p.top1_doc, p.top1_text, p.top2_doc, p.top2_text, p.top2_score, p.retrieved, i.cls, i.conf, ts.t,
              coalesce(p.top1_score, 0.0) AS top,
              CASE WHEN t.risk_p < ts.t THEN 'Low' WHEN t.risk_p >= ts.t + {R.HIGH_BUCKET_MARGIN} THEN 'High' ELSE 'Medium' END AS bucket
       FROM turns t LEFT JOIN top12 p ON p.conv_id = t.conv_id AND p.turn = t.turn LEFT JOIN img i ON i.file_name = t.file_name, ts)
 , answers AS (
 SELECT conv_id, turn, route, intent, text, intent_method, blocked, injection_pattern,
-  top1_text, top1_score, top2_text, top2_score, risk_p, t, cls, conf,
+  top1_text, top1_score, top2_text, top2_score, retrieved, risk_p, t, cls, conf,
   CASE WHEN intent = '{T.RISK}' THEN bucket END AS risk_bucket,
   CASE WHEN route = 'deflect' THEN '{deflect}'
        WHEN intent = '{T.POLICY}' AND top >= 0.45 THEN
@@ -401,9 +412,7 @@ ORACLE["transcript_lines"] = _compose_sql(
     "SELECT conv_id, turn, concat_ws(' | ', 'Turn ' || CAST(turn AS VARCHAR), 'User: ' || text, "
     "'Intent: ' || coalesce(intent, 'N/A') || ' (method: ' || coalesce(intent_method, 'N/A') || ')', "
     "CASE WHEN blocked THEN '[GUARDRAIL] Blocked -- matched pattern: ' || injection_pattern END, "
-    "CASE WHEN top1_text IS NOT NULL THEN 'Retrieved chunks: ' || concat_ws('; ', "
-    "top1_text || ' score=' || CAST(round(top1_score, 4) AS VARCHAR), "
-    "CASE WHEN top2_text IS NOT NULL THEN top2_text || ' score=' || CAST(round(top2_score, 4) AS VARCHAR) END) END, "
+    "'Retrieved chunks: ' || retrieved, "
     f"CASE WHEN intent = '{T.RISK}' THEN 'Tool output: ' || json_object('return_probability', round(risk_p, 4), "
     "'risk_bucket', risk_bucket, 't_star_rf', t)::VARCHAR "
     f"WHEN intent = '{T.IMAGE}' THEN 'Tool output: ' || json_object('predicted_class', cls, 'confidence', round(conf, 4))::VARCHAR END, "
@@ -412,6 +421,10 @@ ORACLE["transcript_lines"] = _compose_sql(
     "FROM answers")
 
 
+ORACLE["transcript_texts"] = ("SELECT conv_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256 FROM (SELECT conv_id, "
+                              "string_agg(regexp_replace(line, '[\\r\\n]+', ' ', 'g') || chr(10), '' ORDER BY turn) AS text FROM (" + ORACLE["transcript_lines"] + ") GROUP BY conv_id)")
+
+
 _GROUND = f"""grd AS (SELECT r.conv_id, r.turn, round(coalesce(max(p.score), 0.0), 4) AS top_score,
   coalesce(max(p.score), 0.0) >= {RT.GROUNDEDNESS_THRESHOLD} AS grounded
   FROM resolved r LEFT JOIN policy_top p ON p.conv_id = r.conv_id AND p.turn = r.turn WHERE r.intent = '{T.POLICY}' GROUP BY r.conv_id, r.turn)"""

@@ -220,6 +220,32 @@ def q_order_features_scan(spark, sf_dir):
     return sinks.read_orders_csv(spark, path)
 
 
+DAMAGE_EVERY = 50
+
+
+@register("orders_csv_quarantine", f"""SELECT kind, count(*) AS n_records, CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum(fields) AS BIGINT) AS n_fields FROM (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % {DAMAGE_EVERY} < 2 THEN 'bad' ELSE 'good' END AS kind, CASE WHEN o_orderkey % {DAMAGE_EVERY} = 1 THEN 3 ELSE 13 END AS fields
+  FROM orders) GROUP BY kind""")
+def q_orders_csv_quarantine(spark, sf_dir):
+    """The order table as CSV with damaged records (a price that is no number, a record cut after three fields), scanned with
+    its typed schema: the good rows and the quarantine, with the sums of their ids and numbers of fields."""
+    import uuid
+
+    from kestrel.session import ensure_checkpoint_dir
+    from kestrel.sources import sinks
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/damaged-csv-{uuid.uuid4().hex}"
+    line = F.to_csv(F.struct(*FEATURE_COLUMNS))
+    hurt = F.pmod("order_id", F.lit(DAMAGE_EVERY))
+    line = F.when(hurt == 0, F.regexp_replace(line, "^([^,]*,[^,]*,)[^,]*", "$1abc")).when(hurt == 1, F.substring_index(line, ",", 3)).otherwise(line)
+    order_features(spark, sf_dir).select(line.alias("value")).write.text(path)
+    good, bad = sinks.split_bad_records(sinks.read_orders_csv(spark, path, header=False, on_bad="mark"))
+    good = good.select(F.lit("good").alias("kind"), F.col("order_id").alias("id"), F.lit(len(FEATURE_COLUMNS)).alias("fields"))
+    fields = F.split(sinks.BAD_RECORD, ",", -1)
+    bad = bad.select(F.lit("bad").alias("kind"), fields[0].cast("long").alias("id"), F.size(fields).alias("fields"))
+    return good.unionByName(bad).groupBy("kind").agg(F.count(F.lit(1)).alias("n_records"), F.sum("id").alias("id_sum"), F.sum("fields").alias("n_fields"))
+
+
 _F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END"
 _GROUPS_SQL = " UNION ALL ".join(
     f"SELECT '{g}' AS dim, {g} AS item, count(*) AS n, sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, "

@@ -1,8 +1,8 @@
 """Sinks (S2-S4, S8): result tables as CSV, nested reports as JSON, transcripts as text.
 
 Only result tables (a sweep, a confusion matrix, a report row) are coalesced to one file;
-per-conversation transcripts are written by partition column, one folder per conversation,
-by all tasks in parallel, without gathering any conversation into one row.
+transcripts are packed into one file for each partition by all tasks in parallel, without gathering any conversation
+into one row.
 """
 from __future__ import annotations
 
@@ -28,17 +28,27 @@ def write_report_json(df: DataFrame, path: str) -> None:
 
 def write_transcripts(lines: DataFrame, path: str, key: str = "conv_id", order: Sequence[str] = ("turn",),
                       line: str = "line", num_partitions: int | None = None) -> None:
-    """One text folder per conversation, its lines in turn order.
+    """The transcripts of all conversations, packed into one text file for each partition (``sources.transcripts``).
 
-    Rows are range-partitioned on (conversation, turn) and sorted within each partition, then
-    streamed to the writer: nothing gathers a conversation into one row or one task.  A very
-    long conversation spans several consecutive range partitions, i.e. several part files in
-    its folder whose name order (part number) is turn order.
+    Rows are range-partitioned on (conversation, turn) and sorted within each partition, then streamed to the writer:
+    nothing gathers a conversation into one row or one task.  A very long conversation spans several partitions.
     """
-    n = num_partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from kestrel.sources.transcripts import NAME, TranscriptSource
+
+    spark = lines.sparkSession
+    spark.dataSource.register(TranscriptSource)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [key, *order]
     ordered = lines.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    ordered.select(key, F.col(line).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    ordered.select(F.col(key).cast("long").alias("conv_id"), F.col(line).alias("line")).write.format(NAME).mode("append").save(path)
+
+
+def read_transcripts(spark, path: str) -> DataFrame:
+    """``conv_id, part, text``: every segment that ``write_transcripts`` published."""
+    from kestrel.sources.transcripts import NAME, TranscriptSource
+
+    spark.dataSource.register(TranscriptSource)
+    return spark.read.format(NAME).load(path)
 
 
 def write_vector_table(df: DataFrame, path: str, vec: str = "embedding") -> None:
@@ -52,10 +62,31 @@ def write_vector_table(df: DataFrame, path: str, vec: str = "embedding") -> None
     unit_vectors(df, vec).write.mode("overwrite").parquet(path)
 
 
-def read_orders_csv(spark, path: str) -> DataFrame:
-    """The typed 13-column orders table from CSV (explicit schema, no inference)."""
-    schema = ("order_id long, product_category string, price_inr double, discount_pct double, "
-              "payment_method string, customer_tenure_days int, num_previous_orders int, "
-              "num_previous_returns int, delivery_distance_km double, delivery_days int, "
-              "is_weekend_order int, rating_given double, returned int")
-    return spark.read.schema(schema).option("header", True).csv(path)
+ORDERS_SCHEMA = ("order_id long, product_category string, price_inr double, discount_pct double, "
+                 "payment_method string, customer_tenure_days int, num_previous_orders int, "
+                 "num_previous_returns int, delivery_distance_km double, delivery_days int, "
+                 "is_weekend_order int, rating_given double, returned int")
+BAD_RECORD = "_bad_record"
+
+
+def read_orders_csv(spark, path: str, header: bool = True, on_bad: str = "fail") -> DataFrame:
+    """The typed 13-column orders table from CSV (explicit schema, no inference; a header is held to it).
+
+    A record whose field does not parse, or that has fewer or more fields, is bad: ``on_bad`` is ``fail`` (a query stops at the
+    first bad value that it reads) or ``mark`` (the record's text stands in the column ``_bad_record``, which is null for good ones;
+    ``split_bad_records`` parts them).  An empty field is a null, not a fault.
+    """
+    mode = {"fail": "FAILFAST", "mark": "PERMISSIVE"}[on_bad]
+    schema = ORDERS_SCHEMA + (f", {BAD_RECORD} string" if on_bad == "mark" else "")
+    return (spark.read.schema(schema).option("header", header).option("enforceSchema", not header).option("mode", mode)
+            .option("columnPruning", False)  # else the number of fields would not be checked where a query reads a few
+            .option("columnNameOfCorruptRecord", BAD_RECORD).csv(path))
+
+
+def split_bad_records(marked: DataFrame, name: str = "orders") -> tuple[DataFrame, DataFrame]:
+    """The good rows, typed, and the quarantine (``_bad_record``: the records as they stand in the file); the files are read
+    once, into the shared folder."""
+    from kestrel.session import stored
+
+    held = stored(marked, f"{name}-marked")
+    return held.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD), held.where(F.col(BAD_RECORD).isNotNull()).select(BAD_RECORD)
