@@ -14,12 +14,15 @@ with other values each time, one occurrence that passes by itself is enough: the
 document less place in the item), or of the shifts of a stretch as long as the item (two grids, half of it apart),
 so that words put in or left out do not cut an occurrence.
 
+An item none of whose windows has enough literal words (a few words, mostly numbers or names) has no template that would tell
+it from chance: it is matched by its surface windows, word for word with its numbers and names.
+
 Documents are first sieved by a bit table of fixed size made from the benchmark's windows: what it lets
 through by chance does not survive the join, and nothing that matches is lost.  The join itself is a plain
 equi-join, so a large benchmark is shuffled, not broadcast.
 
 Defined results: null or empty texts hold no windows; an item under ``window`` words is one window of its own
-length (items without ``literals`` literal words, or null ones, match nothing); repeated rows and items give
+length (null items and those of one or two words match nothing); repeated rows and items give
 one hit; rows (and items) with one id, or null, and different texts stay apart; other columns are ignored; an empty
 table on either side gives no hits.
 """
@@ -41,6 +44,7 @@ SIEVE_BITS = 1 << 22
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mg", "g", "kg", "lb", "ml", "l", "s", "sec", "min", "h", "hr", "days", "weeks", "years",
          "miles", "meters", "metres", "hours", "minutes", "seconds", "dollars", "euros", "cents", "percent", "usd", "eur", "kmh", "mph", "degrees")
 NUMBER, UNIT, NAME = 1, 2, 3
+SURFACE, SURFACE_WORDS = 3, 3  # the way of items without a template, and the fewest words of such an item
 SHIFT, OUTER = 32, b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -96,6 +100,13 @@ def ways(words, item: bool):
         yield way, (c1, c2, kind, h1, first), kind != kinds[0] if way else None, kinds[0] if item else kind
 
 
+def surface(words):
+    """The words as they are, as a reading without placeholders; its hashes are its own."""
+    _, h1, h2, first = words
+    salt = np.uint64(SURFACE << 40)
+    return mix(h1 + salt), mix(h2 + salt), np.zeros(len(h1), np.uint8), h1, first
+
+
 def windows(canon, pw: Powers, size: int, literals: int, holds=None, counted=None):
     """All windows of ``size`` words with enough literals: (first hash, second hash, row, first word)."""
     c1, c2, kind, _, first = canon
@@ -141,14 +152,23 @@ def _item_windows(batches, size: int, literals: int):
         words = canonical(data, offs, pw)
         first = words[-1]
         count = np.diff(first)
+        told = np.zeros(len(count), bool)  # items with a template
         for way, canon, holds, counted in ways(words, True):
             w1, w2, row, at = windows(canon, pw, size, literals, holds, counted)
+            told[row] = True
             yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, size), way)
             for short in np.unique(count[(count < size) & (count >= literals)]).tolist():
                 w1, w2, row, at = windows(canon, pw, short, literals, holds, counted)
                 own = count[row] == short
                 w1, w2, row, at = w1[own], w2[own], row[own], at[own]
+                told[row] = True
                 yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, short), way)
+        canon = surface(words)
+        for n in np.unique(np.minimum(count[~told & (count >= SURFACE_WORDS)], size)).tolist():
+            w1, w2, row, at = windows(canon, pw, n, 0)
+            own = ~told[row] & (np.minimum(count, size)[row] == n)
+            w1, w2, row, at = w1[own], w2[own], row[own], at[own]
+            yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, n), SURFACE)
 
 
 def sieve_places(w1: np.ndarray) -> np.ndarray:
@@ -170,6 +190,13 @@ def _doc_windows(batches, size: int, literals: int, sieve):
                 w1, w2, row, at = w1[own], w2[own], row[own], at[own]
                 if len(at):
                     yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, n), way)
+        canon = surface(words)
+        for n in sieve.value["surface"]:
+            w1, w2, row, at = windows(canon, pw, n, 0)
+            own = bits[sieve_places(w1)] > 0
+            w1, w2, row, at = w1[own], w2[own], row[own], at[own]
+            if len(at):
+                yield _batch(part.column(0), row, w1, w2, at - first[row], slots(canon, at, n), SURFACE)
 
 
 def _sieve(items: DataFrame, size: int) -> dict:
@@ -182,8 +209,9 @@ def _sieve(items: DataFrame, size: int) -> dict:
     bits = np.zeros(SIEVE_BITS, np.uint8)
     for row in blocks.toLocalIterator():
         bits[row["block"] * 32768 + np.array(row["inside"], np.int64)] = 1
-    shorts = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most ``size`` lengths
-    return {"bits": np.packbits(bits).tobytes(), "sizes": shorts or [size]}
+    lengths = items.select("n", (F.col("way") == SURFACE).alias("surface")).distinct().collect()  # at most twice ``size`` rows
+    return {"bits": np.packbits(bits).tobytes(), "sizes": sorted(r["n"] for r in lengths if not r["surface"]) or [size],
+            "surface": sorted(r["n"] for r in lengths if r["surface"])}
 
 
 def _keyed(rows: DataFrame, id_col: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from kestrel.llm.decontam import LITERALS, OUTER, SHARE, UNITS, WINDOW, clean_documents, contaminated
+from kestrel.llm.decontam import LITERALS, OUTER, SHARE, SURFACE_WORDS, UNITS, WINDOW, clean_documents, contaminated
 
 PUNCT = OUTER.decode()
 
@@ -38,12 +38,20 @@ def runs(words, size):
             yield i, tuple(c for c, _ in w), [low for c, low in w if c != low]
 
 
+def surfaces(words, size):
+    for i in range(len(words) - size + 1):
+        yield i, tuple(low for _, low in words[i:i + size]), []
+
+
 def brute(docs, items):
     out = set()
     for item, text in dict(items).items():
         words = template(text)
         size = min(len(words), WINDOW)
         own = list(runs(words, size)) if len(words) >= LITERALS else []
+        plain = not own and len(words) >= SURFACE_WORDS  # no template: word for word
+        if plain:
+            own = list(surfaces(words, size))
         index = {}
         for i, key, slots in own:
             index.setdefault(key, []).append((i, slots))
@@ -52,7 +60,7 @@ def brute(docs, items):
             for d, t in docs:
                 if d != doc or not own:
                     continue
-                for _, key, slots in runs(template(t), size):
+                for _, key, slots in (surfaces if plain else runs)(template(t), size):
                     for i, item_slots in index.get(key, ()):
                         found.add(i)
                         for a, b in zip(item_slots, slots):
@@ -87,7 +95,8 @@ def test_equals_brute_force(docs_of, shared):
     want = brute(rows, ITEMS)
     assert got == want
     assert {(100, 0), (101, 0), (103, 1), (104, 2), (None, 7), (109, 7), (110, 7)} <= {g[:2] for g in got}
-    assert not {102, 105, 108} & {g[0] for g in got} - {102}
+    assert (105, 6) in {g[:2] for g in got}  # numbers only: found word for word
+    assert not {102, 108} & {g[0] for g in got} - {102}
     kept = clean_documents(docs_of(rows), bench)
     bad = {w[0] for w in want}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in bad)
@@ -121,3 +130,12 @@ def test_names_that_open_sentences_and_copies_in_other_case(docs_of, shared):
     bench = shared.createDataFrame([(0, apples), (1, rich)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.windows <= r.item_windows) for r in contaminated(docs_of(rows), bench).collect()}
     assert got == {(1, 0, True), (2, 0, True), (8, 0, True), *[(i, 1, True) for i in (3, 4, 5, 6, 7, 9)]}
+
+
+def test_items_without_a_template_match_word_for_word(docs_of, shared):
+    items = [(0, "What is 17 + 25?"), (1, "Compute 12 * 34 - 56 / 7 + 89."), (2, "Who wrote Hamlet?"), (3, "Yes."), (4, ITEMS[1][1])]
+    rows = [(1, "Exam. What is 17 + 25? Write it."), (2, "what is 17 + 26?"), (3, "compute 12 * 34 - 56 / 7 + 89"), (4, "Compute 12 * 34 - 56 / 7 + 88, or less"),
+            (5, "who WROTE hamlet, and when"), (6, "Who wrote Macbeth?"), (7, "Yes. And yes."), (8, ITEMS[1][1].replace("60", "75")), (9, "17 25 what is")]
+    bench = shared.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(rows), bench).collect()}
+    assert got == {(1, 0), (3, 1), (5, 2), (8, 4)} == {b[:2] for b in brute(rows, items)}
