@@ -5,8 +5,11 @@ every scoring and evaluation pass is a distributed transform.
 """
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -134,26 +137,56 @@ def importance_rows(spark, model, slot_names: list[str]) -> DataFrame:
         .orderBy(F.col("importance").desc(), "feature")
 
 
+def _published(spark, path: str) -> list[dict]:
+    """The manifest entries of the versions that were published at ``path``, oldest first (one small row for each)."""
+    try:
+        rows = spark.read.text(f"{path}/manifest").collect()
+    except AnalysisException:
+        return []
+    return sorted((json.loads(r[0]) for r in rows), key=lambda m: m["number"])
+
+
+def _checksum(spark, folder: str) -> str:
+    """One checksum over the names and contents of an artefact's files, which tasks read (a model's files are few and bounded)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.substring_index("path", "/versions/", -1)
+    held = files.where(~F.substring_index("path", "/", -1).rlike("^[._]")).select(name.alias("name"), F.sha2("content", 256).alias("sum")).collect()
+    return hashlib.sha256("\n".join(f"{n} {s}" for n, s in sorted(map(tuple, held))).encode()).hexdigest()
+
+
+def _publish(spark, path: str, entry: dict) -> None:
+    """The last step of a save: one manifest line names the version; before it, nobody reads the version."""
+    spark.createDataFrame([(json.dumps(entry),)], "entry string").coalesce(1).write.mode("append").text(f"{path}/manifest")
+
+
 def save_model(model, meta: dict, path: str) -> None:
-    """The fitted model directory plus a one-row JSON metadata table next to it."""
+    """The fitted model and its JSON metadata as a new version below ``path``, published by a manifest line that is written last.
+
+    A save that stops on its way leaves a folder that no manifest names, and readers go on with the older version.
+    """
     from pyspark.sql import SparkSession
 
-    model.write().overwrite().save(f"{path}/model")
     s = SparkSession.getActiveSession()
-    s.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    number = max((m["number"] for m in _published(s, path)), default=0) + 1
+    version = f"v{number:06d}-{uuid.uuid4().hex}"
+    folder = f"{path}/versions/{version}"
+    model.write().overwrite().save(f"{folder}/model")
+    s.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{folder}/meta")
+    _publish(s, path, {"number": number, "version": version, "checksum": _checksum(s, folder)})
 
 
 def load_model(path: str, loader=PipelineModel):
-    """Reload model and metadata; a clear error when either is missing."""
+    """The newest published version's model and metadata; a clear error when there is none or its files were changed."""
     from pyspark.sql import SparkSession
 
     s = SparkSession.getActiveSession()
-    try:
-        model = loader.load(f"{path}/model")
-        meta = json.loads(s.read.text(f"{path}/meta").first()[0])
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"no saved model at {path}: train and save it first") from e
-    return model, meta
+    found = _published(s, path)
+    if not found:
+        raise FileNotFoundError(f"no saved model at {path}: train and save it first")
+    folder = f"{path}/versions/{found[-1]['version']}"
+    if _checksum(s, folder) != found[-1]["checksum"]:
+        raise ValueError(f"the files of {found[-1]['version']} at {path} are not those that were published")
+    return loader.load(f"{folder}/model"), json.loads(s.read.text(f"{folder}/meta").first()[0])
 
 
 def permutation_importance(test: DataFrame, id_col: str, label: str, columns: list[str], scorer,

@@ -62,7 +62,7 @@ def test_answers(spark, turns, monkeypatch):
     got = {(r.conv_id, r.turn): r for r in P.q_compose_answer(spark, SF01).collect()}
     assert len(got) == turns.count()
     assert got[1, 4].answer == T.DEFLECTION_ANSWER and got[1, 4].route == "deflect"
-    assert "K05" in {d for d, _, _ in KB.DOCUMENTS} and got[1, 14].source == "policy_kb"
+    assert "unwanted" in {d for d, _, _ in KB.DOCUMENTS} and got[1, 14].source == "policy_kb"
     assert got[1, 0].risk_bucket in ("Low", "Medium", "High") and got[1, 0].answer.startswith("This order has")
     assert got[1, 8].answer.startswith("This product image is classified as")
     assert got[1, 11].answer.startswith(T.REFUSAL_PREFIX) and got[1, 11].confidence == 0.0

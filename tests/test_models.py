@@ -93,6 +93,36 @@ def test_missing_model_has_clear_error(spark, tmp_path):
         M.load_model(str(tmp_path / "absent"), LogisticRegressionModel)
 
 
+def test_a_save_that_stops_leaves_the_older_version(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.linalg import VectorUDT, Vectors
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), i % 2) for i in range(10)], StructType([StructField("features", VectorUDT()), StructField("y", IntegerType())]))
+    path = str(tmp_path / "model")
+    first = LogisticRegression(labelCol="y", maxIter=1).fit(df)
+    M.save_model(first, {"v": 1}, path)
+    monkeypatch.setattr(M, "_publish", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError, match="stopped"):
+        M.save_model(LogisticRegression(labelCol="y", maxIter=20).fit(df), {"v": 2}, path)
+    monkeypatch.undo()
+    model, meta = M.load_model(path, LogisticRegressionModel)
+    assert meta == {"v": 1} and model.intercept == first.intercept
+    M.save_model(LogisticRegression(labelCol="y", maxIter=20).fit(df), {"v": 3}, path)
+    assert M.load_model(path, LogisticRegressionModel)[1] == {"v": 3}
+    newest = sorted(glob.glob(f"{path}/versions/v000002-*/meta/part-*"))
+    for name in newest:  # the published one and the one that stopped share the number
+        with open(name, "w") as f:
+            f.write("{}")
+        for crc in glob.glob(name.replace("part-", ".part-") + ".crc"):
+            os.remove(crc)
+    with pytest.raises(ValueError, match="published"):
+        M.load_model(path, LogisticRegressionModel)
+
+
 def test_medians_of_tied_columns_over_the_boundary(spark):
     n = 2 * P.BOUNDARY_ROWS + 4000
     for rows in (n, n + 1):
