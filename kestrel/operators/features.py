@@ -9,11 +9,14 @@ uses ``running_scan`` so a customer holding a third of all orders is split over
 """
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions import rules as R
 from kestrel.functions.hashing import uniform
+from kestrel.operators.incremental import incremental_scan
 from kestrel.operators.scan import running_scan
 from kestrel.sources.tables import read_table
 
@@ -81,9 +84,14 @@ def order_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_history(base: DataFrame, num_blocks: int | None = None) -> DataFrame:
-    """Point-in-time history (F4): previous orders and returns, tenure since first order."""
-    hist = running_scan(
+def customer_history(base: DataFrame, num_blocks: int | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
+    """Point-in-time history (F4): previous orders and returns, tenure since first order.
+
+    With ``batch`` (state folder, number), ``base`` holds the orders of one batch only and the customers' earlier orders come from
+    the carries of the batches before it (``incremental_scan``).
+    """
+    scan = partial(incremental_scan, path=batch[0], batch=batch[1]) if batch else running_scan
+    hist = scan(
         base, ["customer_id"], ["order_day", "order_id"],
         {
             "num_previous_orders": ("count", None),

@@ -8,6 +8,8 @@ across tasks.
 """
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +21,7 @@ from kestrel.functions import text_rules as T
 from kestrel.functions.rules import logistic_score, safe_div
 from kestrel.operators.retrieval import GROUNDEDNESS_THRESHOLD
 from kestrel.operators.risk import risk_bucket_col
+from kestrel.operators.incremental import incremental_scan
 from kestrel.operators.scan import running_scan
 
 
@@ -37,14 +40,15 @@ def guard_and_route(turns: DataFrame, text: str = "text") -> DataFrame:
 
 
 # ------------------------------------------------------------------ C6-C9, C12
-def carry_context(routed: DataFrame, text: str = "text", num_blocks: int | None = None) -> DataFrame:
+def carry_context(routed: DataFrame, text: str = "text", num_blocks: int | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
     """C9 (+ C8): resolve the order features and image path each turn acts on.
 
     A risk turn uses its own text's features when it mentions details or when no earlier
     risk turn set any; otherwise the carried ones.  The carried features therefore come
     from the latest detailed risk turn so far, or else from the conversation's first risk
     turn.  The image path is the latest path named on an image turn.  New conversations
-    start empty (the scan key is ``conv_id``).
+    start empty (the scan key is ``conv_id``).  With ``batch`` (state folder, number), ``routed`` holds the turns of one
+    batch only and what they carry comes from the batches before it (``incremental_scan``).
     """
     t = F.col(text)
     is_risk = F.col("intent") == T.RISK
@@ -54,11 +58,12 @@ def carry_context(routed: DataFrame, text: str = "text", num_blocks: int | None
         "_risk_text": F.when(is_risk, t),
         "_path_here": F.when(is_image, T.image_path(t)),
     })
-    df = running_scan(df, ["conv_id"], ["turn"], {
+    scan = partial(incremental_scan, path=batch[0], batch=batch[1]) if batch else running_scan
+    df = scan(df, ["conv_id"], ["turn"], {
         "_last_detail": ("last", "_detail_text", True),
         "_first_risk": ("first_nonnull", "_risk_text", True),
         "image_path": ("last", "_path_here", True),
-    }, num_blocks)
+    }, num_blocks=num_blocks)
     src = F.coalesce(F.col("_last_detail"), F.col("_first_risk"))
     df = df.withColumn("features_source_text", F.when(is_risk, src))
     df = df.withColumn("order_features", F.when(is_risk, T.extract_order_features(src)))

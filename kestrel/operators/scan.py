@@ -145,5 +145,5 @@ def running_scan(
             final.append(F.coalesce(off, lo).alias(name))
         else:  # first: when an earlier block holds the key, its first row is there
             final.append(F.when(F.col("_o_rows").isNotNull(), off).otherwise(lo).alias(name))
-    base_cols = [c for c in df.columns if c != _CONST]
+    base_cols = [f"`{c}`" for c in df.columns if c != _CONST]
     return out.select(*base_cols, *final)

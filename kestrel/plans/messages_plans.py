@@ -24,6 +24,7 @@ from kestrel.operators import retrieval as RT
 from kestrel.plans.orders_plans import t_star
 from kestrel.plans.registry import ORACLE, register
 from kestrel.plans.retrieval_plans import term_sql
+from kestrel.session import new_folder
 from kestrel.sources.tables import read_table, spread
 
 
@@ -215,14 +216,53 @@ def q_image_path_carry(spark, sf_dir):
     return resolved_turns(spark, sf_dir).where(F.col("intent") == T.IMAGE).select("conv_id", "turn", "image_path")
 
 
+PICTURE_TURNS = f"""picture_turns AS (
+  SELECT coalesce(vec_id, -1) // 8 AS conv_id, coalesce(vec_id, -1) % 8 AS turn,
+         CASE WHEN vec_id % 3 = 0 THEN 'Which category is the picture exports/class' || coalesce(label, -1) || '/' || vec_id || '.png of?'
+              ELSE 'Please classify the same image once more' END AS text
+  FROM embeddings)"""
+
+
+def picture_turns(spark, sf_dir) -> DataFrame:
+    """The exported pictures as image turns, eight to a conversation: every third id names its picture, the others carry it."""
+    vec = F.col("vec_id")
+    named = F.concat(F.lit("Which category is the picture exports/class"), F.coalesce("label", F.lit(-1)).cast("string"), F.lit("/"), vec.cast("string"),
+                     F.lit(".png of?"))
+    key = F.coalesce(vec, F.lit(-1)).cast("long")
+    return read_table(spark, sf_dir, "embeddings", ["vec_id", "label"]).select(
+        F.expr("coalesce(vec_id, -1) div 8").alias("conv_id"), (key % 8).alias("turn"),
+        F.when(vec % 3 == 0, named).otherwise("Please classify the same image once more").alias("text"))
+
+
+@register("picture_path_carry", f"WITH {_routed_sql().replace(_turns_sql(), PICTURE_TURNS + ', support_turns AS (SELECT * FROM picture_turns)')} "
+          f"SELECT conv_id, turn, image_path FROM ctx WHERE intent = '{T.IMAGE}'")
+def q_picture_path_carry(spark, sf_dir):
+    turns = MS.carry_context(MS.guard_and_route(picture_turns(spark, sf_dir)))
+    return turns.where(F.col("intent") == T.IMAGE).select("conv_id", "turn", "image_path")
+
+
 @register("order_context_carry", f"WITH {_resolved_sql()} SELECT conv_id, turn, mentions_details, price_inr, discount_pct, "
           f"product_category, payment_method FROM resolved WHERE intent = '{T.RISK}'")
 def q_order_context_carry(spark, sf_dir):
-    r = resolved_turns(spark, sf_dir).where(F.col("intent") == T.RISK)
+    return _order_context(resolved_turns(spark, sf_dir))
+
+
+def _order_context(resolved: DataFrame) -> DataFrame:
     f = F.col("order_features")
-    return r.select("conv_id", "turn", "mentions_details", f["price_inr"].alias("price_inr"),
-                    f["discount_pct"].alias("discount_pct"), f["product_category"].alias("product_category"),
-                    f["payment_method"].alias("payment_method"))
+    return resolved.where(F.col("intent") == T.RISK).select(
+        "conv_id", "turn", "mentions_details", f["price_inr"].alias("price_inr"), f["discount_pct"].alias("discount_pct"),
+        f["product_category"].alias("product_category"), f["payment_method"].alias("payment_method"))
+
+
+@register("order_context_batches", ORACLE["order_context_carry"])
+def q_order_context_batches(spark, sf_dir):
+    """C9 over the turns in two batches, before and from the middle turn number on; the second reads its own turns and the carries."""
+    turns = support_turns(spark, sf_dir)
+    middle = (turns.agg(F.max("turn")).first()[0] or 0) // 2
+    path = new_folder(spark, "conversation-carries")
+    first, second = (MS.carry_context(MS.guard_and_route(turns.where(half)), batch=(path, i)) for i, half in enumerate(
+        (F.coalesce(F.col("turn") <= middle, F.lit(True)), F.col("turn") > middle)))
+    return _order_context(first.unionByName(second))
 
 
 _FRESH = _features_sql("s.text")

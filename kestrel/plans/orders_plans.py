@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from kestrel.operators import evaluate as E
 from kestrel.operators import risk
-from kestrel.operators.features import FEATURE_COLUMNS, order_features
+from kestrel.operators.features import FEATURE_COLUMNS, customer_history, order_base, order_features
 from kestrel.plans.oracle_orders import sweep_cte, with_orders
 from kestrel.plans.prep_plans import split_sql, test_scores_sql
-from kestrel.plans.registry import register
+from kestrel.plans.registry import ORACLE, register
+from kestrel.session import new_folder
+from kestrel.sources.tables import read_table
 
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,19 @@ def q_customer_history(spark, sf_dir):
         "order_id", "customer_id", "num_previous_orders", "num_previous_returns", "customer_tenure_days")
 
 
+@register("customer_history_batches", ORACLE["customer_history"])
+def q_customer_history_batches(spark, sf_dir):
+    """F4 over the orders in two batches, before and from the middle day on; the second reads its own orders and the carries."""
+    base = order_base(spark, sf_dir)
+    day = read_table(spark, sf_dir, "orders", ["o_orderdate"]).select(F.unix_date(F.to_date("o_orderdate")).alias("d"))
+    low, high = day.agg(F.min("d"), F.max("d")).first()
+    middle = F.date_from_unix_date(F.lit(((low or 0) + (high or 0)) // 2))
+    path = new_folder(spark, "customer-carries")
+    first, second = (customer_history(base.where(half), batch=(path, i)) for i, half in enumerate(
+        (F.coalesce(F.col("order_day") < middle, F.lit(True)), F.col("order_day") >= middle)))
+    return first.unionByName(second).select("order_id", "customer_id", "num_previous_orders", "num_previous_returns", "customer_tenure_days")
+
+
 @register("prev_return_ratio", with_orders(
     "q AS (SELECT 1) SELECT order_id, round(prev_return_ratio, 6) AS prev_return_ratio FROM order_features"))
 def q_prev_return_ratio(spark, sf_dir):

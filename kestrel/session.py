@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,12 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared folder; it is not made yet."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df, name: str):
     """``df`` written once as Parquet in the shared folder and read back: lineage is cut, columns can be pruned, and a
     lost executor costs a re-read."""
-    import uuid
-
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
