@@ -1,7 +1,7 @@
 import random
 import re
 
-from kestrel.llm.decontam import LITERALS, OUTER, SHARE, SURFACE_WORDS, UNITS, WINDOW, clean_documents, contaminated
+from kestrel.llm.decontam import LITERALS, OUTER, SHARE, SURFACE_WORDS, UNITS, WINDOW, clean_documents, contaminated, item_classes
 
 PUNCT = OUTER.decode()
 
@@ -139,3 +139,31 @@ def test_items_without_a_template_match_word_for_word(docs_of, shared):
     bench = shared.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(rows), bench).collect()}
     assert got == {(1, 0), (3, 1), (5, 2), (8, 4)} == {b[:2] for b in brute(rows, items)}
+
+
+def test_runs_of_names_are_one_name(docs_of, shared):
+    apples = "Then Tom buys 5 apples and later Tom eats 2 of them, so how many apples does Tom have left?"
+    duo = "At noon Ann Lee met Bob Ray near the old mill and gave Bob Ray all of the 12 letters that Ann Lee wrote to him."
+    rows = [(1, apples.replace("Tom", "Maria Lopez")), (2, apples.replace("Tom", "Maria de Lopez")), (3, duo.replace("Ann Lee", "Eve").replace("Bob Ray", "Carl Otto Haas")),
+            (4, apples.replace("Tom", "Maria, Lopez,")), (5, "In June Maria Lopez and Carl Otto Haas went home."),
+            (6, "Then Ann Bee buys 5 apples and later Carl Dow eats 2 of them, so how many apples does Eve Fox have left?")]
+    bench = shared.createDataFrame([(0, apples), (1, duo)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.slot_share for r in contaminated(docs_of(rows), bench).collect()}
+    assert {(1, 0), (3, 1)} <= set(got) and not {5} & {d for d, _ in got}
+
+
+def test_items_of_one_template_are_a_class(docs_of, shared):
+    names = [f"{a}{b}" for a in ("Al", "Bo", "Cy", "Di") for b in ("an", "el", "is", "or", "ud")]
+    ask = "When {} has {} red apples and then sells {} of them, how many red apples does {} still have?"
+    rnd = random.Random(3)
+    fill = lambda i: ask.format(names[i % 20], rnd.randrange(100, 900), rnd.randrange(10, 99), names[i % 20])
+    items = [(i, fill(i)) for i in range(60)] + [(100, ITEMS[1][1]), (101, ask.format("Tom", 7, 7, "Tom"))]
+    rows = [(i, f"So it is. {fill(7 * i)}") for i in range(60)] + [(500, ITEMS[1][1])]
+    bench = shared.createDataFrame(items, "item_id bigint, text string")
+    got = contaminated(docs_of(rows), bench, links=True).collect()
+    big = [r for r in got if r.item_id == 0]
+    assert sorted(r.doc_id for r in big) == list(range(60)) and all(r.n_items == 60 and r.windows == r.item_windows and r.slot_share == 1.0 for r in big)
+    assert {(r.doc_id, r.n_items) for r in got if r.item_id == 100} == {(500, 1)}
+    assert len(got) <= 2 * len(rows)  # the item whose two numbers are one value is a class of its own
+    assert {(r.item_id, r.class_item_id, r.n_items) for r in item_classes(bench).collect()} == {*[(i, 0, 60) for i in range(60)], (100, 100, 1), (101, 101, 1)}
+    assert item_classes(bench.limit(0)).count() == 0
