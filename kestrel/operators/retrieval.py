@@ -3,7 +3,7 @@
 Vector search takes a table of queries in blocks of bounded size (``vector_index``).  Text search compares a fixed list (the
 knowledge base) with a table of any size in one pass, or a list of queries with a postings index (``postings``).
 
-Texts are scored sparsely in the JVM: a query's terms weigh their inverse document frequency, a chunk's terms
+Texts are scored sparsely: a query's terms weigh their inverse document frequency, a chunk's terms
 their count, and both sides are brought to unit length, so a score is a cosine between 0 and 1.
 """
 from __future__ import annotations
@@ -11,8 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # FIXED VALUES
 # Splitting rule of the sentence splitter: after . ! ? and white space (of Unicode), before an ASCII capital.
@@ -51,19 +54,37 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """``keys``, ``term``, its count ``tf`` and the row's vector length ``norm`` (square root of summed squares).
+    """``keys``, ``term``, its count ``tf`` and the row's vector length ``norm``: ``term_vectors`` with a row for each term."""
+    return term_vectors(df, keys, text).select(*keys, "norm", F.explode(F.arrays_zip("terms", "tfs")).alias("x")) \
+        .select(*keys, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), "norm")
 
-    Counted inside each row (sorted terms, run lengths), so rows stay in their task; ``keys`` may repeat.
+
+def term_vectors(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """``keys``, the different ``terms`` of the row, their counts ``tfs``, the number of all ``tokens`` and the vector length ``norm``
+    (square root of summed squares).  One row for each row, counted for a batch of rows at a time, so rows stay in their task; ``keys`` may repeat.
     """
-    sorted_terms = F.array_sort(terms(F.col(text)))
-    numbered = F.transform(sorted_terms, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    # transform(array(x), f)[0] names a value, so that it is computed once
-    runs = F.transform(F.array(numbered), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["t"] != x["t"])))[0]
-    counts = F.transform(F.array(runs), lambda r: F.transform(r, lambda x, i: F.struct(
-        x["t"].alias("term"), (F.coalesce(F.get(r, i + 1)["i"], F.size("_terms")) - x["i"]).cast("double").alias("tf"))))[0]
-    out = df.withColumn("_terms", sorted_terms).withColumn("_counts", counts)
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"]))
-    return out.withColumn("norm", norm).select(*keys, "norm", F.explode("_counts").alias("x")).select(*keys, "x.term", "x.tf", "norm")
+    own = df.select(*keys, terms(F.col(text)).alias("_terms"))
+    return own.mapInArrow(_counted, T.StructType([*own.schema.fields[:-1], *VECTOR]))
+
+
+VECTOR = [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.DoubleType())),
+          T.StructField("tokens", T.LongType()), T.StructField("norm", T.DoubleType())]
+
+
+def _counted(batches):
+    """(keys..., terms) to (keys..., different terms, counts, length of the vector); a null list has no terms."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        width = max(len(words.dictionary), 1)
+        found, count = np.unique(np.repeat(np.arange(len(size)), size) * width + np.asarray(words.indices, dtype=np.int64), return_counts=True)
+        row, tf = found // width, count.astype(float)
+        norm = np.sqrt(np.bincount(row, weights=tf * tf, minlength=len(size)))
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(size))))), pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(found % width))),
+                                          pa.ListArray.from_arrays(ends, pa.array(tf)), pa.array(size), pa.array(norm)],
+                                         names=[*batch.schema.names[:-1], "terms", "tfs", "tokens", "norm"])
 
 
 def scores_against_fixed_chunks(messages: DataFrame, key: Sequence[str], chunks: Sequence[tuple[str, str, str, str]]) -> DataFrame:

@@ -261,6 +261,6 @@ def q_retrieval_macro(spark, sf_dir):
 def q_chunk_text_embedding(spark, sf_dir):
     """R3 on raw text: the sparse term vector of every chunk (its terms, tokens and length before it is brought to unit length)."""
     docs = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
-    words = RT.term_counts(RT.sentence_chunks(docs), ["chunk_id", "doc_id"])
-    return words.groupBy("chunk_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").cast("long").alias("n_tokens"),
+    vectors = RT.term_vectors(RT.sentence_chunks(docs), ["chunk_id", "doc_id"]).where(F.size("terms") > 0)
+    return vectors.groupBy("chunk_id", "doc_id").agg(F.sum(F.size("terms")).alias("n_terms"), F.sum("tokens").alias("n_tokens"),
                                                    F.round(F.max("norm"), 6).alias("norm"))
