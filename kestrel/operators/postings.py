@@ -28,6 +28,7 @@ from kestrel.session import stored
 
 BLOCK_CHUNKS = 4096
 FIRST = 2
+PARTITION_ROWS = 2_000_000  # postings that one task sorts, some 200 MB
 LENGTH_CLASSES = 4  # classes of vector length in each doubling
 ALL = ""  # the term of every chunk (no term is empty): its postings count the chunks
 
@@ -124,6 +125,11 @@ def _packed(table, start):
                                       names=["term", "block", "n", "top", "postings"])
 
 
+def partitions(spark: SparkSession, postings: int) -> int:
+    """Tasks that postings are shuffled to: the session's number, or more, so that a task has some PARTITION_ROWS at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // PARTITION_ROWS))
+
+
 def build(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> Postings:
     """Index ``chunks`` (chunk_id, doc_id, text) in the shared folder: one scan of the texts, one shuffle of their postings."""
     spark = chunks.sparkSession
@@ -133,7 +139,7 @@ def build(chunks: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> Postings:
     split = F.element_at(F.create_map(*[F.lit(x) for k, n in (counts or {0: 1}).items() for x in (k, -(-n // block_chunks))]), F.col("kind"))
     # the class stands in the high digits, so that a block holds chunks of one length class
     flat = flat.withColumn("block", F.col("kind").cast("long") * F.lit(1 << 32) + F.pmod("key", split.cast("long")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions(spark, flat.count())
     # by range of terms, so that a search reads the files and row groups of its terms; a frequent term spans several tasks
     ranged = flat.select("term", "block", "key", "impact").repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block", "key")
     return Postings(stored(ranged.mapInArrow(_blocks, BLOCKS), "postings-blocks"), flat.where(F.col("term") == ALL).select("key", "chunk_id", "doc_id"))
@@ -154,10 +160,11 @@ def weights(index: Postings, queries: Sequence[tuple[int, str]]) -> list[tuple[i
 
 
 def _scored(index: Postings, listed: Sequence[str], wanted: DataFrame) -> DataFrame:
-    """``query_id, key, score`` of every chunk in the (query, term, w, block) rows ``wanted``."""
-    held = index.blocks.where(F.col("term").isin(list(listed))).select("term", "block", "postings").join(wanted, ["term", "block"])
+    """``query_id, key, score`` of every chunk in the (query, term, w, block, n) rows ``wanted``."""
+    n = partitions(index.blocks.sparkSession, wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    held = index.blocks.where(F.col("term").isin(list(listed))).select("term", "block", "postings").join(wanted.drop("n"), ["term", "block"])
     flat = held.select("query_id", "w", F.explode("postings").alias("p")).select("query_id", F.col("p.key").alias("key"), (F.col("w") * F.col("p.impact")).alias("part"))
-    return flat.groupBy("query_id", "key").agg(F.round(F.sum("part"), 9).alias("score"))
+    return flat.repartition(n, "query_id", "key").groupBy("query_id", "key").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def _kth(scored: DataFrame, k: int) -> DataFrame:
@@ -179,8 +186,8 @@ def visits(index: Postings, queries: Sequence[tuple[int, str]], k: int = TOP_K,
     w = weights(index, queries)
     listed = list({t for _, t, _ in w})
     w = index.blocks.sparkSession.createDataFrame(w, "query_id long, term string, w double")
-    rows = index.blocks.where(F.col("term").isin(listed)).select("term", "block", "top").join(F.broadcast(w), "term")
-    rows = stored(rows.select("query_id", "term", "w", "block", "top"), "postings-bounds")
+    rows = index.blocks.where(F.col("term").isin(listed)).select("term", "block", "n", "top").join(F.broadcast(w), "term")
+    rows = stored(rows.select("query_id", "term", "w", "block", "n", "top"), "postings-bounds")
     bounds = rows.groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
     best = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
     opening = _local(bounds.withColumn("place", F.row_number().over(best)).where(F.col("place") <= first).select("query_id", "block"))
