@@ -100,7 +100,17 @@ def tokens(text: Column) -> Column:
 
 def exemplar_intent(text: Column) -> Column:
     """Intent of the first exemplar sharing at least 3 tokens, else null."""
-    toks = tokens(text)
+    return intent_of_tokens(tokens(text))
+
+
+def exemplar_tokens(text: Column) -> Column:
+    """The different tokens of a text that stand in any exemplar: all that ``intent_of_tokens`` needs of a long text."""
+    every = dict.fromkeys(t for ex, _ in FEW_SHOT_EXAMPLES for t in ex.split())
+    return F.array_intersect(tokens(text), F.array(*map(F.lit, every)))
+
+
+def intent_of_tokens(toks: Column) -> Column:
+    """C2 of a text's tokens."""
     arms = []
     for ex, intent in FEW_SHOT_EXAMPLES:
         ex_toks = F.array(*[F.lit(t) for t in dict.fromkeys(ex.split())])

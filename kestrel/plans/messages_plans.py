@@ -506,7 +506,9 @@ def scan_messages(docs: DataFrame) -> DataFrame:
     injection = F.coalesce(*[F.when(scan.may_match(found, LS.runs(p)) & t.rlike("(?iu)" + p), F.lit(p)) for p in T.INJECTION_PATTERNS])
     # an exemplar shares three tokens with a text only if three of its tokens stand in it
     share = reduce(or_, [reduce(add, [has(w).cast("int") for w in dict.fromkeys(ex.split())]) >= T.EXEMPLAR_MIN_OVERLAP for ex, _ in T.FEW_SHOT_EXAMPLES])
-    exemplar = F.when(share, T.exemplar_intent(t))
+    # each text is cut into tokens once, not for each exemplar
+    rows = rows.withColumn("_tokens", F.when(share, T.exemplar_tokens(t)))
+    exemplar = F.when(F.col("_tokens").isNotNull(), T.intent_of_tokens(F.col("_tokens")))
     keyword = F.when(any_of(T.IMAGE_KEYWORDS), F.lit(T.IMAGE)).when(any_of(T.RISK_KEYWORDS), F.lit(T.RISK)).when(any_of(T.POLICY_KEYWORDS), F.lit(T.POLICY))
     digits = scan.may_match(found, [LS.THREE_DIGITS])
     price = F.when(digits, F.nullif(F.regexp_extract(t, "(?iu)" + T.PRICE_PATTERN, 1), F.lit("")).cast("double"))
