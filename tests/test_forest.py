@@ -122,3 +122,9 @@ def test_scores_and_written_model_equal_the_trees(spark):
     p = sum(FO.grow(x, y, FO.bootstrap(keys, 42, t), np.arange(600), [best["max_depth"]], w, 2, 42, t)[0][0] for t in range(best["num_trees"])) / best["num_trees"]
     got = {r.id: r.score for r in M.positive_score(model.transform(rows)).select("id", "score").collect()}
     assert all(got[i] == pytest.approx(v) for i, v in zip(ids, p))
+
+
+def test_null_label_is_an_error(spark):
+    rows = spark.range(20).selectExpr("id", "if(id = 3, null, cast(id % 2 as int)) y", "cast(id % 5 as int) fold").withColumn("features", array_to_vector(F.array(F.col("id") / 1.0)))
+    with pytest.raises(ValueError, match="never null"):
+        M.forest_grid_search(rows, "y", "id", n_trees=(2,), depths=(2,))
